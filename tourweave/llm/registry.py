@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import byte_bpe, chat_format, ring_sharding, secret_scan, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
+    "op3_chat_format": chat_format.op3_chat_format,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op7_ring_sharding": ring_sharding.op7_ring_sharding,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.OP3_SQL,
+}
