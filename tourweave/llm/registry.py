@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, ring_sharding, secret_scan, simhash_dedup
+from . import byte_bpe, chat_format, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_quality_bradley_terry": quality_bt.op5_quality_bradley_terry,
+    "op6_pstable_ann": pstable_ann.op6_pstable_ann,
     "op7_ring_sharding": ring_sharding.op7_ring_sharding,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op10_template_decontamination": template_decontam.op10_template_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
