@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, template_decontam
+from . import byte_bpe, chat_format, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, suffix_tree_lm, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pstable_ann": pstable_ann.op6_pstable_ann,
     "op7_ring_sharding": ring_sharding.op7_ring_sharding,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_suffix_tree_lm": suffix_tree_lm.op9_suffix_tree_lm,
     "op10_template_decontamination": template_decontam.op10_template_decontamination,
 }
 
