@@ -168,6 +168,25 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def encode_columns(docs: DataFrame, vocabulary: str, pattern: str, carry: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The columns in ``carry``, then ``n_tokens`` and ``ids`` (an array of integers)."""
+    with open(vocabulary, "rb") as file:
+        shipped = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shipped.value, pattern)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [np.frombuffer(coder.encode(x), "<i4") for x in part.column("__text").to_pylist()]
+                sizes = pa.array([len(x) for x in ids], pa.int64())
+                flat = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), sizes, flat], [*carry, "n_tokens", "ids"])
+
+    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return docs.select(*carry, text_or_empty(text_col).alias("__text")).mapInArrow(run, ", ".join([*fields, "n_tokens long", "ids array<int>"]))
+
+
 def decode(rows: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(doc_id, decoded)`` from packed ids."""
     with open(vocabulary, "rb") as file:

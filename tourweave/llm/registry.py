@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, suffix_tree_lm, template_decontam
+from . import byte_bpe, chat_format, html_text, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, suffix_tree_lm, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
+    "op2_html_text": html_text.op2_html_text,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_quality_bradley_terry": quality_bt.op5_quality_bradley_terry,
