@@ -1,0 +1,65 @@
+import hashlib
+import itertools
+
+from pyspark.sql import functions as F
+
+from tourweave.llm import chat_format as m
+
+SCHEMA = "conv_id long, turn long, role string, text string, segments string, state int"
+
+
+def chats(spark, rows):
+    return spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
+
+
+def test_hostile_texts_come_back(spark):
+    bits = ["\\", "###", "#", "</turn>", "</", "turn>", "\n", ": ", "h", "b", "t", "c", ""]
+    texts = ["".join(x) for n in (1, 2, 3) for x in itertools.product(bits, repeat=n)]
+    rows = [(i, t, ("user", "assistant")[t % 2], x) for i, x in enumerate(texts) for t in range(2)]
+    out = m.format_chats(chats(spark, rows)).withColumn("turns", m.parse_formatted(F.col("formatted")))
+    for r in out.collect():
+        assert [tuple(t) for t in r["turns"]] == [("user", texts[r["conv_id"]]), ("assistant", texts[r["conv_id"]])]
+
+
+def test_hostile_roles_come_back(spark):
+    roles = ["a: b", ":", "### x", "</turn>\n", "\\c", ""]
+    out = m.format_chats(chats(spark, [(1, i, r, "t") for i, r in enumerate(roles)])).select(m.parse_formatted(F.col("formatted")).alias("t")).first()["t"]
+    assert [t["role"] for t in out] == roles
+
+
+def test_machine(spark):
+    orders = {1: "su", 2: "sua", 3: "ua", 4: "uaua", 5: "au", 6: "uu", 7: "uas", 8: "s", 9: "uxa"}
+    names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
+    rows = [(c, i, names[r], "t") for c, order in orders.items() for i, r in enumerate(order)]
+    got = {r["conv_id"]: (r["valid"], r["first_invalid_turn"], r["state"]) for r in m.format_chats(chats(spark, rows)).collect()}
+    assert got == {
+        1: (False, None, "user"), 2: (True, None, "assistant"), 3: (True, None, "assistant"), 4: (True, None, "assistant"), 5: (False, 0, "start"),
+        6: (False, 1, "user"), 7: (False, 2, "assistant"), 8: (False, None, "system"), 9: (False, 1, "user"),
+    }
+
+
+def test_segments_make_up_the_output_and_loss_is_the_assistants(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a\\b"), (1, 2, "user", None), (1, 3, "assistant", "é")]
+    r = m.format_chats(chats(spark, rows)).first()
+    assert "".join(s["text"] for s in r["segments"]) == r["formatted"] == "### user: q</turn>\n### assistant: a\\bb</turn>\n### user: </turn>\n### assistant: é</turn>\n"
+    assert [s["text"] for s in r["segments"] if s["loss"]] == ["a\\bb", "é"]
+
+
+def test_odd_rows(spark):
+    rows = [(None, 1, "user", "x"), (None, None, None, None), (2, 1, "b", "y"), (2, 1, "a", "z"), (2, 1, "a", "z"), (3, 1, "user", "w" * 300_000)]
+    out = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in m.format_chats(chats(spark, rows)).select("conv_id", m.parse_formatted(F.col("formatted")).alias("t")).collect()}
+    assert out == {None: [("", ""), ("user", "x")], 2: [("a", "z"), ("a", "z"), ("b", "y")], 3: [("user", "w" * 300_000)]}
+    assert m.format_chats(chats(spark, [])).count() == 0
+
+
+def test_query_reads_back_the_probe(spark):
+    r = m.op3_chat_format(spark, "/root/testdata/sf0.001").where("conv_id = -7").first()
+    said = "\\### Assistant: </turn> ok"
+    assert (r["n_turns"], r["loss_chars"]) == (2, len(said))
+    assert r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert r["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_plan_is_native(spark):
+    plan = m.op3_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

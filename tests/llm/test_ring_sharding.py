@@ -1,0 +1,75 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tourweave.llm import ring_sharding as m
+from tourweave.llm.common import cut
+
+
+def test_flows_by_simulation():
+    """The flows are what key-by-key proposals in rounds give."""
+    rng = random.Random(1)
+    for _ in range(30):
+        ring = m.Ring(rng.randint(1, 5), rng.randint(1, 6))
+        counts = {a: rng.randint(0, 30) for a in range(len(ring.shards))}
+        total = sum(counts.values())
+        capacities = m.exact_capacities(total, ring.count)
+        taken, where = [0] * ring.count, {}
+        hop, waiting = 0, [(a, k) for a, n in counts.items() for k in range(n)]
+        tried = {a: set() for a in counts}
+        while waiting:
+            still = []
+            for a in sorted({a for a, _ in waiting}):
+                shard = ring.shards[(a + hop) % len(ring.shards)]
+                for key in [x for x in waiting if x[0] == a]:
+                    if shard not in tried[a] and taken[shard] < capacities[shard]:
+                        taken[shard] += 1
+                        where[key] = shard
+                    else:
+                        still.append(key)
+                tried[a].add(shard)
+            waiting, hop = still, hop + 1
+        found = {}
+        slots = {s: [] for s in range(ring.count)}
+        for arc, low, high, shard, base in m.flows(counts, ring, capacities):
+            found |= {(arc, k): shard for k in range(low, high)}
+            slots[shard] += range(base, base + high - low)
+        assert found == where
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_rows_are_even_and_slots_gapless_with_a_hot_key(spark):
+    keys = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), F.lit("x").alias("shardlike"))
+    rows = m.assign(cut(keys), 7).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == 3000 and {len(s) for s in by.values()} == {428, 429}
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_balance_is_bounded_and_few_keys_move(spark):
+    keys = cut(spark.range(20_000).select(F.col("id").alias("key")))
+    a = {r["key"]: r["shard"] for r in m.assign(keys, 10, epsilon=0.25).collect()}
+    b = {r["key"]: r["shard"] for r in m.assign(keys, 11, epsilon=0.25).collect()}
+    loads = [list(a.values()).count(s) for s in range(10)]
+    assert max(loads) <= 2500 and len(a) == 20_000
+    assert sum(a[k] != b[k] for k in a) < 0.3 * len(a)  # a plain modulus would move nine in ten
+
+
+def test_the_same_rows_in_another_order_land_alike(spark):
+    ids = list(range(2000))
+    random.Random(2).shuffle(ids)
+    one = m.assign(cut(spark.range(2000).select(F.col("id").alias("key"))), 5)
+    two = m.assign(cut(spark.createDataFrame([(i,) for i in ids], "key long").repartition(3)), 5)
+    assert sorted(map(tuple, one.select("key", "shard").collect())) == sorted(map(tuple, two.select("key", "shard").collect()))
+
+
+def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    for name, docs, n in (("odd", odd_docs, 11), ("none", no_docs, 0)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = m.op7_ring_sharding(spark, str(tmp_path / name)).collect()
+        assert len(out) == n
+        assert all(r["size"] == 1 and r["text_crc32"] == 0 for r in out if r["doc_id"] in (3, 4))
+        assert len({(r["shard"], r["slot"]) for r in out}) == n
+        assert all(0 <= r["shard"] < 16 and r["grown_shard"] is None and r["law"] == "rows" for r in out)
