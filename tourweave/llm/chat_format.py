@@ -107,7 +107,7 @@ def parse_formatted(formatted: Column, template: Template = CHAT) -> Column:
     body = F.transform(parts, lambda p: F.substring(p, F.lit(len(template.opening) + 1), F.length(p)))
 
     def turn(p: Column) -> Column:
-        at = F.locate_column(p, template.heading) if hasattr(F, "locate_column") else F.instr(p, F.lit(template.heading))
+        at = F.instr(p, F.lit(template.heading))
         role = F.substring(p, F.lit(1), at - 1)
         text = F.substring(p, at + len(template.heading), F.length(p))
         return F.struct(unescape(role, ROLE_ESCAPES).alias("role"), unescape(text).alias("text"))
@@ -122,7 +122,7 @@ def _quoted(mark: str) -> str:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "\\### Assistant: </turn> ok"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     chats = format_chats(rows.unionByName(probe))
     back = chats.withColumn("turns", parse_formatted(F.col("formatted")))
     # under the loss mask: the flagged segments, unescaped
