@@ -11,27 +11,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import delivery as D
-from ..functions.text import upper_median
+from ..functions.text import core, upper_median
 
 #: Where the columns begin, as shares of the page width, if they were not measured.
 DEFAULT_COLUMNS = {"delivery": 0.318, "class": 0.545, "number": 0.6, "number_end": 0.675}
 
 
 def prepare(words: DataFrame, layout: DataFrame) -> DataFrame:
-    """Words that have a text and finite boxes, with centre, height and deskewed position.
+    """Words that have a text and finite boxes, with height and positions freed of skew and lean.
 
-    ``layout(page_id, slope, drift_m, drift_b, drift_x0)``.
+    ``layout(page_id, slope[, drift_m, drift_b, drift_x0, drift_y0])``.  A word of a straightened
+    line (``line_x``, ``line_y``) takes the line's height.
     """
-    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
-    box = [F.col(c) for c in ("x0", "x1", "y0", "y1")]
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
     fine = F.trim(F.coalesce("text", F.lit(""))) != ""
-    for c in box:
-        fine = fine & F.coalesce(finite(c), F.lit(False))
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    out = words.where(fine).join(layout, "page_id").withColumn("x", x).withColumn("y", y)
-    out = out.withColumn("yd", F.col("y") - F.coalesce("slope", F.lit(0.0)) * F.col("x")).withColumn("h", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))
-    drift = F.coalesce(F.col("drift_m") + F.col("drift_b") * (F.col("x") - F.col("drift_x0")), F.lit(0.0)) if "drift_m" in layout.columns else F.lit(0.0)
-    return out.withColumn("xd", F.col("x0") - drift * F.col("y"))
+    for c in ("x0", "x1", "y0", "y1"):
+        fine = fine & finite(F.col(c))
+    out = words.where(fine).join(layout, "page_id").withColumn("x", F.col("x0")).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
+    slope = F.coalesce("slope", F.lit(0.0))
+    level = F.col("y") - slope * (F.col("x0") + F.col("x1")) / 2
+    if "line_y" in words.columns:
+        level = F.when(finite(F.col("line_x")) & finite(F.col("line_y")), F.col("line_y") - slope * F.col("line_x")).otherwise(level)
+    out = out.withColumn("yd", level).withColumn("h", F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))
+    if "drift_m" not in layout.columns:
+        return out.withColumn("xd", F.col("x0"))
+    return out.withColumn("xd", F.col("x0") - drift_at(F.col("x0")) * (F.col("y") - F.coalesce("drift_y0", F.lit(0.0))))
+
+
+def drift_at(x: Column) -> Column:
+    """The lean of columns at x, from a layout's coefficients."""
+    lean = F.coalesce(F.col("drift_m") + F.col("drift_b") * (x - F.col("drift_x0")), F.lit(0.0))
+    return F.greatest(F.lit(-0.1), F.least(F.lit(0.1), lean))
 
 
 def pair_slopes(points: DataFrame, least_gap: Column, keys: list[str]) -> DataFrame:
@@ -77,29 +87,61 @@ def column_drift(anchors: DataFrame, pages: DataFrame) -> DataFrame:
     keys = ["page_id", "family", "width"]
     spread = a.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("span")).where((F.col("n") >= 3) & (F.col("span") >= 0.3 * F.col("width")))
     usable = a.join(spread.select(*keys), keys)
-    first = pair_slopes(usable, F.lit(0.0), keys).where(F.abs("slope") <= 0.12)
+    first = pair_slopes(usable, 0.12 * F.col("width"), keys).where(F.abs("slope") <= 0.12)
     residual = usable.join(first, keys).withColumn("r", F.col("y") - F.col("slope") * F.col("x"))
     middle = residual.groupBy(*keys).agg(upper_median(F.collect_list("r")).alias("mid"))
     kept = residual.join(middle, keys).where(F.abs(F.col("r") - F.col("mid")) < 0.02 * F.col("width"))
-    again = pair_slopes(kept.select(*keys, "pos", "x", "y"), F.lit(0.0), keys)
-    fits = again.join(kept.groupBy(*keys).agg(F.count("*").alias("w"), F.avg("y").alias("mx")), keys).where("w >= 3")
+    again = pair_slopes(kept.select(*keys, "pos", "x", "y"), 0.12 * F.col("width"), keys)
+    fits = again.join(kept.groupBy(*keys).agg(F.count("*").alias("w"), upper_median(F.collect_list("y")).alias("mx")), keys).where("w >= 3")
     w, d, x = F.col("w"), F.col("slope"), F.col("mx")
     s = fits.groupBy("page_id", "width").agg(F.count("*").alias("k"), (F.max("mx") - F.min("mx")).alias("apart"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * d).alias("sd"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * d).alias("sxd"))
     bend = F.when((F.col("k") >= 2) & (F.col("apart") > 0.2 * F.col("width")), F.try_divide(F.col("sxd") - F.col("sx") * F.col("sd") / F.col("sw"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw")))
-    return s.select("page_id", F.greatest(F.lit(-0.1), F.least(F.lit(0.1), F.col("sd") / F.col("sw"))).alias("drift_m"), F.coalesce(bend, F.lit(0.0)).alias("drift_b"), (F.col("sx") / F.col("sw")).alias("drift_x0"))
+    return s.select("page_id", (F.col("sd") / F.col("sw")).alias("drift_m"), F.coalesce(bend, F.lit(0.0)).alias("drift_b"), (F.col("sx") / F.col("sw")).alias("drift_x0"))
+
 
+#: Header words by their letters, how many letters and edits are allowed, and how
+#: far from the class column they begin, in page widths.
+HEADER_WORDS = {
+    "lief": ("lief", 2, 8, 2, 0.04, 0.085), "preis": ("preis", 3, 6, 2, 0.155, 0.215), "kasse": ("kasse", 3, 99, 1, 0.25, 0.4),
+    "lieferung": ("lieferung", 6, 99, 3, -0.26, -0.19), "kunde": ("kunde", 4, 99, 1, -0.6, -0.4),
+}
 
-def find_header(words: DataFrame, pages: DataFrame, labels: list[str]) -> DataFrame:
-    """Per label the topmost word close to it, and how many labels a page has: ``(page_id, label, x0, y0, found)``.
-    Pages with fewer than two are without a header."""
-    named = F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(x).alias("label")) for i, x in enumerate(labels))))
-    from ..functions.text import core
 
-    near = words.withColumn("l", named).where(F.levenshtein(core(F.col("text")), core(F.col("l.label"))) <= F.floor(F.length("l.label") / 5))
-    top = Window.partitionBy("page_id", "l.label").orderBy("y0", "x0", "word_id")
-    first = near.withColumn("n", F.row_number().over(top)).where("n = 1")
-    counted = first.withColumn("found", F.count("*").over(Window.partitionBy("page_id"))).where("found >= 2")
-    return counted.join(pages, "page_id").select("page_id", F.col("l.label").alias("label"), "x0", "y0", "found")
+def find_header(words: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(page_id, class_x, class_y, lief_x, preis_x, lieferung_x, n_found, score)`` of pages whose class column is found.
+
+    The topmost word close to the class column's title fixes it; if its box is wide, its left
+    end and where the title would begin at its right end are both tried, and the other titles
+    and what stands in the columns below decide.
+    """
+    w = words.join(pages, "page_id").withColumn("c", core(F.col("text"))).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
+    edits = lambda c, word: F.levenshtein(c, F.lit(word))
+    titled = w.where((F.length("c") >= 4) & (edits(F.col("c"), "klasse") <= 2) & (edits(F.col("c"), "klasse") < edits(F.col("c"), "kasse")))
+    first = titled.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("y", "word_id"))).where("n = 1")
+    wide = F.col("x1") - F.col("x0") > 0.065 * F.col("width")
+    guesses = F.when(wide, F.array(F.col("x0"), F.col("x1") - 0.051 * F.col("width"))).otherwise(F.array(F.col("x0")))
+    tried = first.select("page_id", F.col("y").alias("ky"), F.posexplode(guesses).alias("guess", "kx"))
+    seen = w.join(tried, "page_id")
+    off = (F.col("x0") - F.col("kx")) / F.col("width")
+    near, below = F.abs(F.col("y") - F.col("ky")) <= 0.06 * F.col("width"), (F.col("y") > F.col("ky")) & (F.col("y") < F.col("ky") + 0.5 * F.col("width"))
+    found = []
+    for name, (word, least, most, k, low, high) in HEADER_WORDS.items():
+        close = edits(F.substring("c", 1, 4) if name == "lief" else F.col("c"), word) <= k
+        found.append(F.min_by(F.when(near & close & F.length("c").between(least, most) & off.between(low, high), F.col("x0")), F.when(near & close & F.length("c").between(least, most) & off.between(low, high), F.struct("y", "word_id"))).alias(f"{name}_x"))
+    body = (D.canonical_word(F.col("text")).isin("Lieferpaket", "Kollektion") & off.between(-0.25, -0.17)) | (F.lower("text").eqNullSafe("neu") & off.between(-0.01, 0.05))
+    scored = seen.groupBy("page_id", "guess", "kx", "ky").agg(*found, F.count_if(below & body).alias("hits"))
+    n = sum(F.col(f"{x}_x").isNotNull().cast("int") for x in HEADER_WORDS)
+    best = scored.withColumn("n_found", n).withColumn("score", 2 * F.col("n_found") + F.col("hits"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "guess"))).where("r = 1")
+    return best.select("page_id", F.col("kx").alias("class_x"), F.col("ky").alias("class_y"), "lief_x", "preis_x", "lieferung_x", "n_found", "score")
+
+
+def measured_columns(headers: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where the columns begin by the header's words; a missing word's place follows from the class column."""
+    h = headers.join(pages, "page_id")
+    k, w = F.col("class_x"), F.col("width")
+    lieferung, lief, preis = F.coalesce("lieferung_x", k - 0.22 * w), F.coalesce("lief_x", k + 0.062 * w), F.coalesce("preis_x", k + 0.183 * w)
+    return h.select("page_id", (lieferung - 0.012 * w).alias("delivery"), (k - 0.006 * w).alias("class"), F.greatest(k + 0.045 * w, lief - 0.009 * w).alias("number"), F.least(preis - 0.014 * w, lief + 0.085 * w).alias("number_end"))
 
 
 def columns(measured: DataFrame, pages: DataFrame) -> DataFrame:

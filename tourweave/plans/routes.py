@@ -69,7 +69,8 @@ def reorder(stops: DataFrame, orders: DataFrame, strict: bool = False) -> tuple[
     """
     ranked = orders.select("tour_id", F.posexplode("ids").alias("__rank", "stop_id"))
     checks = ranked.groupBy("tour_id").agg(F.count("*").alias("asked"), F.count_distinct("stop_id").alias("distinct"))
-    here = stops.join(ranked, ["tour_id", "stop_id"], "left")
+    once = ranked.groupBy("tour_id", "stop_id").agg(F.min("__rank").alias("__rank"))
+    here = stops.join(once, ["tour_id", "stop_id"], "left")
     seen = here.groupBy("tour_id").agg(F.count("*").alias("n"), F.count_distinct("stop_id").alias("n_ids"), F.count("__rank").alias("found"), F.count_if(F.col("__rank").isNotNull() & ~is_open(F.col("status"))).alias("closed"))
     state = checks.join(seen, "tour_id", "left")
     code = F.when((F.col("asked") != F.col("distinct")) | (F.col("n") != F.col("n_ids")) | (F.coalesce("found", F.lit(0)) != F.col("asked")), "tour_changed").when(F.col("closed") > 0, "status_changed")

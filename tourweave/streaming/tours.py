@@ -97,7 +97,8 @@ def stream(events: DataFrame, start: DataFrame, navigate: bool = True) -> DataFr
         for action in _in_order(told):
             tour.apply(action, navigate)
         _, *values = tour.row(key[0])
-        kept.update((values[0], values[1], values[2], values[3], values[4]))
+        ids, statuses, *counts = values  # the state takes plain Python values only
+        kept.update(([int(i) for i in ids], [str(x) for x in statuses], *map(int, counts)))
         yield pd.DataFrame([tour.row(key[0])], columns=COLUMNS)
 
     joined = events.select("tour_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action").join(start, "tour_id")
