@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import proxies as P
 from ..functions.text import upper_median
-from ..operators import layout as Y
+from ..operators import cells as C, layout as Y
 
 QUERIES, SQL = {}, {}
 
@@ -164,3 +164,23 @@ SELECT page_id, list_sort(list(gap))[count(*) // 2 + 1] AS gap FROM g WHERE gap
 def median_gaps(spark, d):
     rows = words(spark, d).select("page_id", F.col("y0").alias("yd"), F.lit(12.0).alias("h"), F.col("y0").alias("row_id")).distinct()
     return Y.median_gap(rows)
+
+
+@query("cell_boxes", """
+WITH c AS (SELECT o_orderkey AS stop_id, (o_orderkey % 900)::DOUBLE AS yd, (8 + o_orderkey % 8)::DOUBLE AS h FROM orders),
+v(kind, variant, tall, along, scale) AS (VALUES ('label', 0, false, false, 2.0), ('label', 1, true, false, 2.0), ('number', 0, false, false, 2.0), ('number', 1, false, false, 3.0), ('number', 2, true, false, 2.0), ('number', 3, true, true, 2.0), ('number', 4, true, true, 2.5))
+SELECT stop_id, kind, variant, floor(((CASE WHEN kind = 'number' THEN 660 ELSE 540 END) - (CASE WHEN kind = 'label' OR along THEN 320 ELSE 600 END) + 1.2::DOUBLE * h) * scale + 0.5)::BIGINT AS width,
+       floor((2 * (CASE WHEN tall THEN 1.5::DOUBLE ELSE 0.62::DOUBLE END) * h + 1.2::DOUBLE * h) * scale::DOUBLE + 0.500001)::BIGINT AS height FROM c, v""")
+def cell_boxes(spark, d):
+    k = F.col("o_orderkey")
+    cells = P.table(spark, d, "orders").select(k.alias("stop_id"), (k % 900).cast("double").alias("yd"), (k % 8 + 8).cast("double").alias("h"), F.lit(0.01).alias("slope"), F.lit(320.0).alias("label_x0"), F.lit(540.0).alias("label_x1"), F.lit(600.0).alias("number_x0"), F.lit(660.0).alias("number_x1"))
+    return C.cell_boxes(cells).select("stop_id", "kind", "variant", "width", "height")
+
+
+@query("pair_lines", """
+WITH l AS (SELECT l_orderkey AS read_id, l_linenumber AS line_no, min(l_quantity) AS confidence, CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN '41/ 40' WHEN 1 THEN '41' WHEN 2 THEN 'text' ELSE '35 40 text' END AS text FROM lineitem GROUP BY ALL)
+SELECT read_id, any_value(text) AS text, any_value(confidence) AS confidence FROM l WHERE text = '41/ 40' GROUP BY read_id HAVING count(*) = 1""")
+def pair_lines(spark, d):
+    rows = P.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("line_no")).agg(F.min("l_quantity").alias("confidence"))
+    k = (F.col("read_id") + F.col("line_no")) % 4
+    return C.pair_lines(rows.withColumn("text", F.when(k == 0, "41/ 40").when(k == 1, "41").when(k == 2, "text").otherwise("35 40 text")))

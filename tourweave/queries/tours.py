@@ -424,3 +424,16 @@ FROM (SELECT o_orderkey, (o_orderkey % 20000 + 30) // 60 AS m, ((o_orderkey * 79
 def driving_times(spark, d):
     key = F.col("o_orderkey")
     return P.table(spark, d, "orders").select("o_orderkey", X.driving_time(key % 20_000).alias("driving_time"), X.kilometres((key * 7919) % 3_000_000).alias("km"))
+
+
+@query("router_requests", SP + """
+SELECT tour_id AS plan_id, concat('r/trip/v1/driving/', p, '?source=first&destination=any&roundtrip=false&overview=full&geometries=geojson&steps=false') AS trip,
+       concat('r/route/v1/driving/', p, '?overview=full&geometries=geojson&steps=false') AS route
+FROM (SELECT tour_id, string_agg(printf('%.6f,%.6f', lon, lat), ';' ORDER BY pos) AS p, count(*) AS n, bool_and(abs(lat) <= 90) AS fine FROM points GROUP BY tour_id) WHERE fine AND n BETWEEN 2 AND 81""")
+def router_requests(spark, d):
+    return store.router_requests(P.points(spark, d), "r")
+
+
+@query("geocoder_requests", S + "SELECT stop_id AS request_id, concat('g?q=', url_encode(concat_ws(', ', nullif(address, ''), postal)), '&lang=de&limit=5&countrycode=AT') AS body FROM stops")
+def geocoder_requests(spark, d):
+    return store.geocoder_requests(P.stops(spark, d), "g", "AT")

@@ -181,6 +181,25 @@ def paced(requests: DataFrame, call: Callable[[str], str], interval: float = 1.1
     return requests.select(F.col(id_col).cast("string").alias("id"), F.col(body_col).alias("body")).coalesce(1).mapInPandas(run, "request_id string, response string, error string")
 
 
+def geocoder_requests(stops: DataFrame, service: str, country: str | None = None, limit: int = 5) -> DataFrame:
+    """``(request_id, body)``: the address of each query; only address and postal line leave the house."""
+    query = X.url_component(X.join_parts(", ", F.col("address"), F.col("postal")))
+    tail = f"&lang=de&limit={limit}" + (f"&countrycode={country}" if country else "")
+    return stops.select(F.col("stop_id").alias("request_id"), F.concat(F.lit(f"{service}?q="), query, F.lit(tail)).alias("body"))
+
+
+def router_requests(points: DataFrame, service: str) -> DataFrame:
+    """``(plan_id, trip, route)``: the two questions of a plan of 2 to 81 valid points, coordinates to six places."""
+    from ..functions.geo import valid_point
+
+    at = F.struct("pos", F.concat(F.format_string("%.6f", "lon"), F.lit(","), F.format_string("%.6f", "lat")).alias("c"))
+    tours = points.groupBy(F.col("tour_id").alias("plan_id")).agg(F.sort_array(F.collect_list(at)).alias("p"), F.bool_and(valid_point(F.col("lat"), F.col("lon"))).alias("fine"))
+    path = F.array_join(F.transform("p", lambda x: x["c"]), ";")
+    shape = "overview=full&geometries=geojson&steps=false"
+    trip = F.concat(F.lit(f"{service}/trip/v1/driving/"), path, F.lit(f"?source=first&destination=any&roundtrip=false&{shape}"))
+    return tours.where(F.col("fine") & F.size("p").between(2, 81)).select("plan_id", trip.alias("trip"), F.concat(F.lit(f"{service}/route/v1/driving/"), path, F.lit(f"?{shape}")).alias("route"))
+
+
 CANDIDATES = "features array<struct<geometry:struct<coordinates:array<double>>,properties:struct<name:string,street:string,housenumber:string,postcode:string,city:string,town:string,village:string,district:string,country:string,countrycode:string,type:string>>>"
 
 
