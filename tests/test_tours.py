@@ -156,3 +156,29 @@ def test_the_fold_keeps_all_stops(statuses, actions):
         tour.apply(a)
         assert sorted(tour.ids) == list(range(len(statuses))) and len(tour.statuses) == len(statuses)
         assert not statuses or 0 <= tour.index < len(statuses)
+
+
+def test_apply_and_undo(spark):
+    s = stops(spark, "a:done", "b:pending", "c:pending")
+    tours = spark.createDataFrame([(1, 1, None)], "tour_id long, current_index int, undo struct<before:array<string>,after:array<string>,current:string>")
+    orders = spark.createDataFrame([(1, ["c", "b"])], "tour_id long, ids array<string>")
+    t, moved, _ = routes.apply_plans(tours, s, orders)
+    r = t.first()
+    assert (ids(moved), r["current_index"], list(r["undo"])) == (["a", "c", "b"], 1, [["a", "b", "c"], ["a", "c", "b"], "b"])
+    same, _, _ = routes.apply_plans(tours, s, spark.createDataFrame([(1, ["b", "c"])], "tour_id long, ids array<string>"))
+    assert (same.first()["current_index"], same.first()["undo"]) == (1, None)
+    back_t, back = routes.undo_plans(t, moved)
+    assert ids(back) == ["a", "b", "c"] and tuple(back_t.first()) == (1, 1, None)
+    closed_t, _ = routes.undo_plans(t, moved.withColumn("status", F.when(F.col("stop_id") == "b", "done").otherwise(F.col("status"))))
+    assert closed_t.first()["current_index"] == 2
+    stale = t.withColumn("map_key", F.lit("old"))
+    r = routes.saved(stale, s, "2024-01-01 00:00:00").first()
+    assert r["undo"] is None and r["map_key"] is None
+    assert routes.saved(stale, moved, "2024-01-01 00:00:00").first()["undo"] is not None
+
+
+def test_snapshots_are_valid(spark):
+    plans = routes.select_plans(spark.createDataFrame([answer()], ANSWER))
+    points = spark.createDataFrame([(1, i, 48.0, 15.0 + i, x, "n", "a") for i, x in enumerate((None, "b", "c"))], "plan_id long, pos int, lat double, lon double, id string, name string, address string")
+    shot = routes.snapshots(plans, points)
+    assert shot.select(routes.valid_snapshot(*(F.col(c) for c in ("version", "order", "points", "before", "after")))).first()[0]

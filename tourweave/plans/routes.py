@@ -146,3 +146,64 @@ def undo(stops: DataFrame, undos: DataFrame) -> DataFrame:
     back = able.select("tour_id", F.posexplode("before").alias("__pos", "stop_id"))
     joined = stops.join(back, ["tour_id", "stop_id"], "left")
     return joined.withColumn("pos", F.coalesce(F.col("__pos").cast("long"), F.col("pos"))).select(*stops.columns)
+
+
+def _order(stops: DataFrame, name: str) -> DataFrame:
+    return stops.groupBy("tour_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stop_id"))), lambda s: s["stop_id"]).alias(name))
+
+
+def apply_plans(tours: DataFrame, stops: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(tours, stops, errors)`` after ``orders(tour_id, ids)``.
+
+    ``tours(tour_id, current_index, undo)``, ``undo`` of (before, after, current).  A tour whose
+    order changes starts at its first planned stop and can be undone; one whose order stays
+    keeps its index and what could be undone before.
+    """
+    moved, errors = reorder(stops, orders)
+    both = _order(stops, "__before").join(_order(moved, "__after"), "tour_id").join(orders.select("tour_id", F.col("ids")[0].alias("__first")), "tour_id", "left")
+    joined = tours.join(both, "tour_id", "left")
+    changed = F.coalesce(F.col("__before") != F.col("__after"), F.lit(False))
+    current = F.try_element_at("__before", F.col("current_index") + 1)
+    undo_ = F.struct(F.col("__before").alias("before"), F.col("__after").alias("after"), current.alias("current"))
+    index = F.greatest(F.array_position("__after", F.col("__first")) - 1, F.lit(0)).cast("int")
+    after = joined.select("tour_id", F.when(changed, index).otherwise(F.col("current_index")).alias("current_index"), F.when(changed, undo_).otherwise(F.col("undo")).alias("undo"))
+    return after, moved, errors
+
+
+def undo_plans(tours: DataFrame, stops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(tours, stops)`` with the orders before the plans where they are available.
+
+    The index goes back to the stop that was current then if it is still open, else to the
+    first open one, else to 0; the record is used up.
+    """
+    able = tours.where("undo IS NOT NULL").join(_order(stops, "__now"), "tour_id").where(undo_available(F.col("__now"), F.col("undo.before"), F.col("undo.after")))
+    back = undo(stops, able.select("tour_id", "undo.before", "undo.after"))
+    open_ = back.where(is_open(F.col("status"))).groupBy("tour_id").agg(F.min("pos").alias("__first"))
+    was = back.where(is_open(F.col("status"))).select("tour_id", F.col("stop_id").alias("__current"), F.col("pos").alias("__pos"))
+    marked = able.select("tour_id", F.col("undo.current").alias("__current")).join(was, ["tour_id", "__current"], "left").join(open_, "tour_id", "left")
+    index = F.coalesce("__pos", "__first", F.lit(0)).cast("int")
+    done = tours.join(marked.select("tour_id", index.alias("__index")), "tour_id", "left")
+    gone = F.when(F.col("__index").isNull(), F.col("undo"))
+    return done.select("tour_id", F.coalesce("__index", "current_index").alias("current_index"), gone.alias("undo")), back
+
+
+def saved(tours: DataFrame, stops: DataFrame, now) -> DataFrame:
+    """Tours as they are stored: undo records and maps that no longer fit are dropped, the time is set.
+
+    ``tours(tour_id, current_index, undo, map_key)``; ``map_key`` is the key of the stops a map was made for.
+    """
+    fits = tours.join(_order(stops, "__now"), "tour_id", "left").join(tour_keys(stops).select("tour_id", F.col("tour_key").alias("__key")), "tour_id", "left")
+    keep = undo_available(F.col("__now"), F.col("undo.before"), F.col("undo.after"))
+    return fits.select("tour_id", "current_index", F.when(keep, F.col("undo")).alias("undo"), F.when(F.col("map_key") == F.col("__key"), F.col("map_key")).alias("map_key"), F.lit(now).cast("timestamp").alias("updated_at"))
+
+
+def snapshots(plans: DataFrame, points: DataFrame) -> DataFrame:
+    """``(plan_id, version, order, points, before, after)``: what a map of a plan is drawn from.
+
+    ``plans`` as from ``select_plans``; ``points(plan_id, pos, lat, lon, id, name, address)``, a
+    null id for a start of its own.  Notes and legs are left out.
+    """
+    held = points.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon", "id", "name", "address"))).alias("p"))
+    short = lambda r: F.struct(r["duration"].alias("duration"), r["distance"].alias("distance"))
+    bare = F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"), x["id"].alias("id"), x["name"].alias("name"), x["address"].alias("address")))
+    return plans.where("error IS NULL").join(held, "plan_id").select("plan_id", F.lit(1).alias("version"), "order", bare.alias("points"), short(F.col("before")).alias("before"), short(F.col("after")).alias("after"))
