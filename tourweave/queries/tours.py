@@ -409,7 +409,7 @@ def upserted_tours(spark, d):
 @query("meta_lookup", "SELECT (SELECT min(c_custkey)::VARCHAR FROM customer) AS current, CAST(NULL AS VARCHAR) AS missing")
 def meta_lookup(spark, d):
     meta = P.table(spark, d, "customer").agg(F.lit("currentTourId").alias("key"), F.min("c_custkey").cast("string").alias("value"))
-    return store.meta_value(meta, "currentTourId").withColumnRenamed("value", "current").crossJoin(store.meta_value(meta, "autoNav").withColumnRenamed("value", "missing"))
+    return store.meta_values(meta, current="currentTourId", missing="autoNav")
 
 
 @query("file_names", "SELECT p_partkey, regexp_replace(p_name || '/ä ß', '(?i)[^a-z0-9äöüß_-]+', '_', 'g') AS file_name FROM part")

@@ -27,9 +27,10 @@ def delete(old: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
     return old.join(gone.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns)
 
 
-def meta_value(meta: DataFrame, key: str) -> DataFrame:
-    """One row: the value of a key, null if it is missing."""
-    return meta.where(F.col("key") == key).agg(F.first("value").alias("value"))
+def meta_values(meta: DataFrame, **keys: str) -> DataFrame:
+    """One row: the value of each key under the given name, null if it is missing."""
+    found = meta.where(F.col("key").isin(list(keys.values())))
+    return found.agg(*(F.max(F.when(F.col("key") == key, F.col("value"))).alias(name) for name, key in keys.items()))
 
 
 class Store:
@@ -91,9 +92,10 @@ def migrate(existing: DataFrame, generations: list[DataFrame]) -> DataFrame:
         text = lambda c: F.col(c) if c in g.columns else F.lit("")  # noqa: E731, B023
         rows = g.select(F.lit(i).alias("__gen"), "pos", text("name").alias("name"), text("address").alias("address"), text("postal").alias("postal"))
         tagged = rows if tagged is None else tagged.unionByName(rows)
-    newest = tagged.agg(F.min("__gen").alias("__gen"))
-    none = existing.limit(1).agg((F.count("*") == 0).alias("none")).where("none")
-    return tagged.join(newest, "__gen").crossJoin(none).select("pos", "name", "address", "postal")  # one row at most on that side
+    if not existing.isEmpty():
+        tagged = tagged.where("false")
+    newest = tagged.agg(F.min("__gen").alias("__gen"))  # one row
+    return tagged.join(F.broadcast(newest), "__gen").select("pos", "name", "address", "postal")
 
 
 # --- lists and backups -----------------------------------------------------------------------------
