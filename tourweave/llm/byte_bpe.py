@@ -4,7 +4,7 @@ The text is cut into pieces by a pattern; each piece is merged on its own.  A se
 over the piece's byte positions stores at every node the least ``(rank, position)`` of the
 pairs that start below it, so the root is always the leftmost pair of least rank.  A merge
 joins two live neighbours in a linked list and makes three point updates of logarithmic
-cost: a piece of n bytes takes O(n log n), however long it is.
+cost: a piece of n bytes takes O(n log n) steps, however long it is.
 
 The vocabulary file is read once on the driver and broadcast (its size is that of the file,
 whatever the corpus).  Workers keep the encodings of recent pieces and of the stretches
@@ -19,6 +19,7 @@ ids decode to null.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,10 @@ from .common import table, text_or_empty
 CACHE_ENTRIES = 300_000
 #: A stretch longer than this is not remembered.
 CACHE_LENGTH = 64
+#: Children of a node of the segment tree.
+FAN = 16
+_NONE = 1 << 62
+_BYTES = [bytes([b]) for b in range(256)]
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -42,46 +47,51 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one piece: always merge the leftmost adjacent pair of least rank."""
+    """The ids of one piece: always merge the leftmost adjacent pair of least rank.
+
+    The tree has ``FAN`` children a node: leaf i holds ``rank << 32 | i`` of the pair that
+    starts at byte i, each node above the least of its children.  A piece of ``FAN`` bytes or
+    fewer is a root with its leaves.
+    """
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
     if not n:
         return []
-    width = 1 << (n - 1).bit_length()
-    none = 1 << 62
     get = ranks.get
-    part: list[bytes] = [piece[i : i + 1] for i in range(n)]
+    part = list(map(_BYTES.__getitem__, piece))
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    tree = [none] * (2 * width)
-    for i in range(n - 1):
-        if (r := get(piece[i : i + 2])) is not None:
-            tree[width + i] = r << 32 | i
-    for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    while (least := tree[1]) != none:
+    leaves = [_NONE if (r := get(piece[i : i + 2])) is None else r << 32 | i for i in range(n)]
+    leaves[n - 1] = _NONE  # the last byte starts no pair
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    top, deep = levels[-1], len(levels) > 1
+    while (least := min(top)) != _NONE:
         i = least & 0xFFFFFFFF
         j = after[i]
         k = after[j]
-        part[i] += part[j]
+        part[i] = joined = part[i] + part[j]
         after[i] = k
-        here = left = none
+        leaves[j] = _NONE
         if k < n:
             before[k] = i
-            if (r := get(part[i] + part[k])) is not None:
-                here = r << 32 | i
-        if (h := before[i]) >= 0 and (r := get(part[h] + part[i])) is not None:
-            left = r << 32 | h
-        for at, value in ((width + i, here), (width + j, none), (width + h, left)) if h >= 0 else ((width + i, here), (width + j, none)):
-            while tree[at] != value:  # up to the first node that stays the same
-                tree[at] = value
-                other = tree[at ^ 1]
-                if other < value:
-                    value = other
-                at >>= 1
-                if not at:
-                    break
+            r = get(joined + part[k])
+            leaves[i] = _NONE if r is None else r << 32 | i
+        else:
+            leaves[i] = _NONE
+        if (h := before[i]) >= 0:
+            r = get(part[h] + joined)
+            leaves[h] = _NONE if r is None else r << 32 | h
+        if deep:
+            for at in (i, j, h) if h >= 0 else (i, j):
+                for depth in range(1, len(levels)):
+                    at //= FAN
+                    low = min(levels[depth - 1][at * FAN : at * FAN + FAN])
+                    if levels[depth][at] == low:
+                        break
+                    levels[depth][at] = low
     ids, i = [], 0
     while i < n:
         ids.append(ranks[part[i]])
@@ -105,6 +115,10 @@ class _Bounded(dict):
         return value
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class ByteBPE:
     """Encoder and decoder for one vocabulary and pattern; ids travel as packed uint32."""
 
@@ -118,8 +132,14 @@ class ByteBPE:
         self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.by_piece = _Bounded(lambda s: np.array(merge_piece(s.encode("utf-8", "replace"), ranks), "<u4").tobytes(), entries)
-        self.by_stretch = _Bounded(lambda s: b"".join([self.by_piece[p] for p in self.pieces.findall(" " + s)]), entries)
+        self.by_piece = _Bounded(lambda s: _packed(merge_piece(s.encode("utf-8", "replace"), ranks)), entries)
+        self.by_stretch = _Bounded(self._stretch, entries)
+
+    def _stretch(self, s: str) -> bytes:
+        # a space and Latin letters are one piece under the patterns that may be cut at spaces
+        if s.isalpha() and max(s) < "\u0250":
+            return self.by_piece[" " + s]
+        return b"".join([self.by_piece[p] for p in self.pieces.findall(" " + s)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
