@@ -81,3 +81,18 @@ def test_odd_rows(spark):
     out = m.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted((r["page_id"] or 0, r["text"][:9]) for r in out) == [(0, "x"), (1, ""), (2, ""), (2, ""), (3, "no markup"), (4, "w w w w w")]
     assert m.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_formulas_drawings_and_forms_are_visible():
+    cases = {
+        "<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>TeX</annotation></semantics></math> holds": "so x=1 holds",
+        "<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>0</mn></mtd></mtr></mtable></math>": "1 0",
+        "<p>a<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs/><path d='M0'/><text x=1>North</text><text>South</text></svg>b": "a North South b",
+        "<map name=m>go <area href=x><a href=y>there</a></map>": "go there",
+        "<object data=x><param name=a>instead</object> of it": "instead of it",
+        "Size <select><option>small<option selected>large<optgroup label=more><option>huge</select> chosen": "Size small large more huge chosen",
+        "".join(f"<input type={t} value={t}1> " for t in ("search", "email", "tel", "url", "number", "hidden", "password", "checkbox")): "search1 email1 tel1 url1 number1",
+        "<desc>an unknown element</desc>": "an unknown element",
+    }
+    for page, text in cases.items():
+        assert m.extract_text(page) == text

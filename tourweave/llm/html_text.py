@@ -6,7 +6,9 @@ ends the head at the first body content and ignores stray end tags.  The rendere
 tree without recursion and emits all visible text:
 
 * hidden are scripts, styles, templates, the head with its title, elements with ``hidden`` or
-  an inline ``display: none`` or ``visibility: hidden``, and closed-off form machinery;
+  an inline ``display: none`` or ``visibility: hidden``, data lists, what only stands in for
+  frames and media that cannot be shown, and the descriptions and definitions within svg and
+  math; formulas, the text of drawings, maps and objects, and the options of a select are inline;
 * blocks start on lines of their own; paragraphs, headings, lists, tables, quotes and
   preformatted text are set off by one empty line (adjacent margins collapse);
 * list items get ``- `` or their number and hang under it, nested lists are indented;
@@ -35,7 +37,14 @@ from .common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
-HIDDEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist map select".split())
+HIDDEN = frozenset("head title script style template noscript iframe noembed noframes audio video canvas datalist".split())
+#: Hidden within svg or math only.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_HIDDEN = frozenset("desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
+#: Inline, but apart from what stands before and after.
+APART = frozenset("option optgroup select text mtr mlabeledtr mtd svg math".split())
+#: Inputs whose value is not shown as text.
+UNSHOWN_INPUT = frozenset("hidden password checkbox radio file image range color".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre xmp blockquote table figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside details dialog dd div dt figcaption footer form header hgroup legend li main nav section summary caption center textarea tr td th thead tbody tfoot".split())
 ENDS_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption textarea legend".split())
@@ -144,6 +153,9 @@ def build(html: str) -> Node:
                         break
         elif tag := m["start"] or m["odd"]:
             tag, attrs = tag.lower(), _attributes(m["attrs"] or m["rest"] or "")
+            foreign = any(depth.get(t) for t in FOREIGN)
+            if foreign and tag in FOREIGN_HIDDEN:
+                attrs["hidden"] = ""
             if depth.get("head") and tag not in HEAD_ONLY and tag != "head":
                 close({"head"}, set())
             if tag in ("html", "head", "body") and (depth.get(tag) or tag == "head" and depth.get("body")):
@@ -154,7 +166,7 @@ def build(html: str) -> Node:
                 close(*IMPLIED[tag])
             if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 push("tr", {})
-            if tag in VOID:
+            if tag in VOID or ((foreign or tag in FOREIGN) and (m["attrs"] or "").endswith("/")):
                 open_[-1].children.append(Node(tag, attrs))
                 continue
             node = push(tag, attrs)
@@ -261,6 +273,10 @@ def render(root: Node) -> str:
             if tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu") and bool(lists)
                 flow.block(1 if tag in SPACED and not nested else 0)
+            if tag in APART:
+                flow.write(" ", False)
+                if tag == "optgroup" or (tag == "option" and not node.children):
+                    flow.write(node.attrs.get("label", ""), False)
             if tag in ("pre", "xmp", "textarea"):
                 pre += 1
             elif tag in ("ul", "ol", "menu"):
@@ -299,7 +315,7 @@ def render(root: Node) -> str:
                 if visible(child) and child.attrs.get("alt"):
                     flows[-1].write(child.attrs["alt"], False)
             elif child.tag == "input":
-                if visible(child) and child.attrs.get("type", "").lower() in ("button", "submit", "reset", "text", "") and child.attrs.get("value"):
+                if visible(child) and child.attrs.get("type", "").lower() not in UNSHOWN_INPUT and child.attrs.get("value"):
                     flows[-1].write(child.attrs["value"], False)
             elif child.tag not in VOID and visible(child):
                 stack.append([child, 0])
@@ -318,6 +334,8 @@ def render(root: Node) -> str:
                 tables[-1].append([])
             tables[-1][-1].append((max(1, _number(node.attrs.get("colspan"), 1)), flow.lines))
             continue
+        if tag in APART:
+            flow.write(" ", False)
         if tag in BLOCK:
             flow.block(0)
         if tag in ("pre", "xmp", "textarea"):
