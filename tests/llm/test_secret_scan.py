@@ -115,3 +115,25 @@ def test_overlapping_spans_become_one_mark(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert m.redact(docs).first()["text"] == "é [assign] tail"
     assert m.scan(docs)[0].select(m.spans_text(F.col("spans"))).first()[0] == "assign:2:40,hex:8:40"
+
+
+def test_no_line_of_a_key_survives_redaction(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "abcd"] + ["Zm9vYg=="]
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    body = "\n".join(lines)
+    texts = {
+        1: f"before {head}\n{body}\n{foot} after",
+        2: f"before {head}\n{fields}{body}\n{foot} after",
+        3: f"before {head}\n{body}\n\nAnd then the prose goes on, after",
+        4: f"key = '{head}\\n" + "\\n".join(lines) + f"\\n{foot}' after",
+        5: f"before {head}\n{body}\n{head}\n{body}\n{foot} after",
+        6: f"before {head} " + " ".join(lines) + " after",
+        7: f"before {head} is only named, after",
+    }
+    clean = {r["doc_id"]: r["text"] for r in m.redact(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, text in clean.items():
+        assert not any(x in text for x in [*lines, "PRIVATE KEY"]) and text.endswith("after") and "[" in text, (i, text)
+    assert clean[1] == clean[2] == "before [pem] after"
+    assert clean[3].endswith("And then the prose goes on, after") and clean[7] == "before [pem] is only named, after"
+    assert m.find_spans(f"{head}\n" * 20_000, m.EXTENDED)[-1][0] == "pem"

@@ -61,11 +61,15 @@ BASE = Rule(
         Kind("hex", r"(?<![0-9a-f])[0-9a-f]{32,}"),
     ),
 )
+# a key's header fields and lines of base64, also quoted or with escaped line ends
+_BREAK = r"""(?:\\[nrt]|[\s>|"',;#*])"""
+_BODY = rf"""(?:{_BREAK}*+[A-Z][A-Za-z]*+-[A-Za-z-]++:[^\n\\]*+)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_BREAK}++[A-Za-z0-9+/]++(?:={{1,2}}|(?=\s*(?:\\[nr]|["'\n]|\Z))))?+"""
 EXTENDED = Rule(
     "extended",
-    1,
+    2,
     (
-        Kind("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+        # to the matching end line; where that is missing, to the end of the base64
+        Kind("pem", rf"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----|{_BODY})"),
         Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
         Kind("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     ),
