@@ -226,14 +226,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(by_fp, "fp", "left")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without all but one row of each component, columns unchanged.
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one row of each component of ``found(doc_id, text_key, component_id, root)``, columns unchanged.
 
     The row with the component's least id stays (least ``text_key``, if several rows carry
     that id; a row without an id only where the component has no other); of rows that repeat
     both, one stays.
     """
-    found = simhash_components(docs, id_col, text_col, **options)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("text_key").alias("text_key"), F.count("*").alias("copies"))
     a, b, c = internal("id"), internal("key"), internal("copies")
     kept = cut(kept.select(F.col("doc_id").alias(a), F.col("text_key").alias(b), F.col("copies").alias(c)))
@@ -247,6 +246,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return once.unionByName(again)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``keep_first`` leaves of each component of near fingerprints."""
+    return keep_first(docs, simhash_components(docs, id_col, text_col, **options), id_col, text_col)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
