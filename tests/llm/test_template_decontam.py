@@ -94,3 +94,16 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 9
     assert m.contaminated(no_docs, items).count() == 0 and m.contaminated(odd_docs, items.where("false")).count() == 0
     assert m.drop_contaminated(odd_docs, items.where(F.lit(False))).count() == 11
+
+
+def test_verbatim_copies_count_whatever_their_slots(spark):
+    numbers = "Find the sum of the numbers: 12 45 78 90 11 22 33 44 55 66 77"
+    shop = "A small shop by the river sells fresh bread, red apples and green pears every morning, sells 5 cakes and 5 buns to each guest"
+    docs = [(1, numbers), (2, f"so: {numbers} and more"), (3, shop.replace("5 buns", "6 buns")), (4, "Find the sum of the numbers: 12 45 and nothing else of it at all here")]
+    assert found(spark, docs, [(1, numbers), (2, shop)]) == {(1, 1): "exact", (2, 1): "exact", (3, 2): "exact"}
+
+
+def test_numbers_changed_in_an_item_of_numbers(spark):
+    numbers = "Find the sum of the numbers: 12 45 78 90 11 22 33 44 55 66 77"
+    docs = [(1, "Find the sum of the numbers: 1 2 3 4 5 6 7 8 9 10 11"), (2, "Find the sum of the numbers: 1 2 3 4 5 6 7 8 9 1 1")]
+    assert found(spark, docs, [(1, numbers)]) == {(1, 1): "template"}

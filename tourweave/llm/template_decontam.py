@@ -9,10 +9,15 @@ window of its own length.  Benchmark windows with hardly any literal words are n
 unless the item has no other.
 
 Hits are gathered per document, item and alignment (position in the document less position in
-the item).  An alignment counts if it covers ``COVER`` tokens or the whole item.  Then the
-slots (tokens with a placeholder) of the covered stretch are compared: ``exact`` if all values
-agree, ``template`` if each value of the item always stands for one value of the document and
-the reverse (a re-parameterised copy), else the alignment is no match.
+the item) and only find the alignment.  There the whole item is compared token by token; tokens
+are alike if their canonical forms agree.  It counts
+
+* if the windows found, or all runs of ``WINDOW`` tokens that are alike, stretch over ``COVER``
+  tokens or the whole item, and the slots (tokens with a placeholder) of that stretch agree:
+  ``exact`` if all values do, ``template`` if each value of the item always stands for one value
+  of the document and the reverse (a re-parameterised copy);
+* else as ``exact``, if ``COVER`` tokens in a row or the whole item are alike with all values
+  the same, whatever the slots elsewhere.
 
 The windows of the benchmark are broadcast only if a count finds them few (``BROADCAST_ROWS``);
 otherwise the join shuffles by the window's hash.
@@ -97,25 +102,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = exploded.join(wanted.where(F.col("size") == size), "h").select("doc_id", "text_key", "pos", "item_key", "item_pos", "size")
         hits = found if hits is None else hits.unionByName(found)
     aligned = hits.groupBy("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("size")).alias("hi"))
-    aligned = aligned.join(items, "item_key").where((F.col("hi") - F.col("lo") >= COVER) | (F.col("hi") - F.col("lo") >= F.size("item_raw")))
-    aligned = cut(aligned.select("doc_id", "text_key", "item_key", "shift", "lo", "hi"))
+    aligned = cut(aligned)
 
-    # only the documents that a stretch was found in are read again, for the values of the slots
+    # only the documents that an alignment was found in are read again, to compare the items
     a, b = internal("id"), internal("key")
     stretches = aligned.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b)).agg(F.collect_set(F.struct("item_key", "shift", "lo", "hi")).alias("found"))
     again = texts.join(stretches, F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("text_key") == F.col(b)))
-    again = again.select("doc_id", "text_key", _tokens("raw").alias("doc_raw"), "found").select("doc_id", "text_key", "doc_raw", F.explode("found").alias("f"))
-    length = F.col("f.hi") - F.col("f.lo")
-    there = again.select("doc_id", "text_key", F.col("f.item_key").alias("item_key"), F.col("f.lo").alias("lo"), length.alias("covered"), F.slice("doc_raw", F.col("f.lo") + F.col("f.shift") + 1, length).alias("ours"))
-    pairs = F.arrays_zip(F.slice("canon", F.col("lo") + 1, F.col("covered")).alias("c"), F.slice("item_raw", F.col("lo") + 1, F.col("covered")).alias("theirs"), F.col("ours").alias("ours"))
+    again = again.select("doc_id", "text_key", "raw", canonical(F.col("raw")).alias("c"), "found")
+    again = again.select("doc_id", "text_key", *(_tokens(x).alias(y) for x, y in (("raw", "doc_raw"), ("c", "doc_canon"))), F.explode("found").alias("f"))
+    there = again.join(items, again["f.item_key"] == items["item_key"])
+    skip = F.greatest(F.lit(0), -F.col("f.shift"))
+    length = F.least(F.size("item_raw"), F.size("doc_raw") - F.col("f.shift")) - skip
+    ours = [F.slice(f"doc_{x}", skip + F.col("f.shift") + 1, length).alias(f"d{x[0]}") for x in ("raw", "canon")]
+    theirs = [F.slice(x, skip + 1, length).alias(f"i{y}") for x, y in (("item_raw", "r"), ("canon", "c"))]
+    there = there.select("doc_id", "text_key", "item_id", F.size("item_raw").alias("whole"), (F.col("f.lo") - skip).alias("lo"), (F.col("f.hi") - skip).alias("hi"), F.arrays_zip(*ours, *theirs).alias("tokens"))
     bare = lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+\z", "")
-    slots = F.transform(F.filter(pairs, lambda p: p["c"].rlike(f"[{NUMBER}-{UNIT}]")), lambda p: F.struct(bare(p["theirs"]).alias("t"), bare(p["ours"]).alias("o")))
-    judged = there.join(items, "item_key").select("doc_id", "text_key", "item_id", "covered", F.array_distinct(slots).alias("s"))
+    open_ = lambda x: x.rlike(f"[{NUMBER}-{UNIT}]")
+
+    def compare(p: Column) -> Column:
+        alike, slot = p["dc"] == p["ic"], open_(p["ic"])
+        t, o = bare(p["ir"]), bare(p["dr"])
+        return F.struct(alike.alias("alike"), (alike & ((t == o) | ~slot)).alias("same"), slot.alias("slot"), t.alias("t"), o.alias("o"))
+
+    there = there.withColumn("tokens", F.transform("tokens", compare))
+    zero = F.struct(*(F.lit(0).alias(x) for x in ("at", "run", "alike", "most")), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+
+    def step(s: Column, p: Column) -> Column:
+        """The longest run with all the same, and where runs of a window's size that are alike begin and end."""
+        run, alike, at = F.when(p["same"], s["run"] + 1).otherwise(0), F.when(p["alike"], s["alike"] + 1).otherwise(0), s["at"] + 1
+        long = alike >= F.least(F.lit(WINDOW), F.col("whole"))
+        lo = F.when(long & (s["lo"] < 0), at - alike).otherwise(s["lo"])
+        return F.struct(at.alias("at"), run.alias("run"), alike.alias("alike"), F.greatest(s["most"], run).alias("most"), lo.alias("lo"), F.when(long, at).otherwise(s["hi"]).alias("hi"))
+
+    there = there.withColumn("m", F.aggregate("tokens", zero, step))
+    pairs = lambda lo, hi: F.array_distinct(F.transform(F.filter(F.slice("tokens", lo + 1, hi - lo), lambda p: p["slot"]), lambda p: F.struct(p["t"].alias("t"), p["o"].alias("o"))))
+    stretch = lambda lo, hi: F.struct(F.lit(True).alias("by_slots"), (hi - lo).alias("covered"), pairs(lo, hi).alias("s"))
+    none = F.struct(F.lit(False).alias("by_slots"), F.col("m.most").alias("covered"), F.array().cast("array<struct<t:string,o:string>>").alias("s"))
+    enough = lambda n: (n >= COVER) | (n >= F.col("whole"))
+    wider = F.when(F.col("m.lo") >= 0, stretch(F.col("m.lo"), F.col("m.hi")))
+    judged = there.select("doc_id", "text_key", "item_id", "whole", F.explode(F.array(F.when(enough(F.col("m.most")), none), stretch(F.col("lo"), F.col("hi")), wider)).alias("x"))
+    judged = judged.where(F.col("x").isNotNull() & enough(F.col("x.covered"))).select("doc_id", "text_key", "item_id", "x.by_slots", "x.covered", "x.s")
     one_to_one = (F.size(F.array_distinct(F.transform("s", lambda p: p["t"]))) == F.size("s")) & (F.size(F.array_distinct(F.transform("s", lambda p: p["o"]))) == F.size("s"))
     same = F.forall("s", lambda p: p["t"] == p["o"])
     kind = F.when(same, "exact").when(one_to_one, "template")
-    judged = judged.select("doc_id", "text_key", "item_id", kind.alias("kind"), "covered", F.size("s").alias("slots")).where("kind IS NOT NULL")
-    best = F.max(F.struct((F.col("kind") == "exact").alias("exact"), "covered", F.col("slots"))).alias("best")
+    judged = judged.select("doc_id", "text_key", "item_id", kind.alias("kind"), "by_slots", "covered", F.size("s").alias("slots")).where("kind IS NOT NULL")
+    best = F.max(F.struct("by_slots", (F.col("kind") == "exact").alias("exact"), "covered", F.col("slots"))).alias("best")
     out = judged.groupBy("doc_id", "text_key", "item_id").agg(best)
     return out.select("doc_id", "text_key", "item_id", F.when(F.col("best.exact"), "exact").otherwise("template").alias("kind"), F.col("best.covered").alias("covered"), F.col("best.slots").alias("slots"))
 
