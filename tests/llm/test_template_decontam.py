@@ -107,3 +107,16 @@ def test_numbers_changed_in_an_item_of_numbers(spark):
     numbers = "Find the sum of the numbers: 12 45 78 90 11 22 33 44 55 66 77"
     docs = [(1, "Find the sum of the numbers: 1 2 3 4 5 6 7 8 9 10 11"), (2, "Find the sum of the numbers: 1 2 3 4 5 6 7 8 9 1 1")]
     assert found(spark, docs, [(1, numbers)]) == {(1, 1): "template"}
+
+
+def test_names_that_begin_sentences(spark):
+    alice = "Alice has 5 apples and 3 pears. Bob has 7 plums. Alice gives Bob 2 apples. How many apples does Alice have now?"
+    carol = alice.replace("Alice", "Carol").replace("Bob", "David").replace("has 5", "has 6").replace("and 3", "and 4").replace("has 7", "has 9")
+    short = "Emma buys 4 green pens at the market."
+    docs = [
+        (1, carol), (2, "A question. " + carol + " And more."), (3, carol.replace("David 2", "Emil 2")),
+        (4, "Then: " + short.replace("Emma", "Jonas").replace("4", "6")), (5, "We saw that Jonas buys 6 green pens at the market."),
+        (6, short.lower()), (7, "Nobody there buys 6 red pens at the market."),
+    ]
+    got = found(spark, docs, [(1, alice), (2, short)])
+    assert got == {(1, 1): "template", (2, 1): "template", (4, 2): "template", (5, 2): "template", (6, 2): "exact"}

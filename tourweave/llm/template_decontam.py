@@ -8,9 +8,13 @@ all documents are hash-joined with those of the benchmark; an item shorter than
 window of its own length.  Benchmark windows with hardly any literal words are not used,
 unless the item has no other.
 
+A capitalised word that begins a sentence may be a name or not.  Documents are hashed with such
+words as names, unless they are ``COMMON``; the windows of an item are looked for with its own
+as names, as words, and with only the first as a word.
+
 Hits are gathered per document, item and alignment (position in the document less position in
 the item) and only find the alignment.  There the whole item is compared token by token; tokens
-are alike if their canonical forms agree.  It counts
+are alike if their canonical forms agree, with first words as words or as names.  It counts
 
 * if the windows found, or all runs of ``WINDOW`` tokens that are alike, stretch over ``COVER``
   tokens or the whole item, and the slots (tokens with a placeholder) of that stretch agree:
@@ -47,6 +51,15 @@ UNITS = (
     "day", "weeks", "week", "months", "month", "years", "year", "percent", "dollars", "dollar", "euros", "euro", "cents", "pounds", "mph", "kmh", "kwh", "w", "kw",
 )
 
+#: Words that begin sentences and are no names.
+COMMON = (
+    "The", "An?", "This", "That", "These", "Those", "There", "Here", "It", "Its", "He", "She", "They", "We", "You", "I", "His", "Her", "Their", "Our", "Your", "My",
+    "What", "Which", "Who", "Whom", "Whose", "Where", "When", "Why", "How", "If", "In", "On", "At", "By", "For", "From", "With", "Without", "Of", "To", "As", "After", "Before",
+    "During", "While", "Since", "Until", "Because", "Although", "Though", "Then", "Than", "Thus", "So", "But", "And", "Or", "Nor", "Not", "No", "Yes", "Each", "Every", "All", "Some",
+    "Any", "Both", "Either", "Neither", "One", "Is", "Are", "Was", "Were", "Be", "Do", "Does", "Did", "Has", "Have", "Had", "Can", "Could", "Will", "Would", "Should", "Shall", "May",
+    "Might", "Must", "Let", "Suppose", "Assume", "Given", "Find", "Compute", "Calculate", "Determine", "Consider", "Please",
+)
+
 
 def tokens_text(text: Column) -> Column:
     """The tokens with one space between."""
@@ -54,10 +67,12 @@ def tokens_text(text: Column) -> Column:
     return F.regexp_replace(spaced, r" (?=[^\p{L}\p{N} ]+(?: |\z))", "")
 
 
-def canonical(tokens: Column) -> Column:
-    """The canonical form of ``tokens_text``, with as many spaces."""
+def canonical(tokens: Column, opened: bool = False) -> Column:
+    """The canonical form of ``tokens_text``, with as many spaces; ``opened``: first words of sentences are names too."""
     # a capitalised word after a letter, digit or comma and one space
-    named = F.regexp_replace(tokens, r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*", NAME)
+    name = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+    first = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{'|'.join(COMMON)})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
+    named = F.regexp_replace(tokens, f"{name}|{first}" if opened else name, NAME)
     numbers = F.regexp_replace(F.lower(named), r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
     units = F.regexp_replace(numbers, f"(?<={NUMBER} ?)(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", UNIT)
     return F.regexp_replace(units, f"[^\\p{{L}}\\p{{N}} {NUMBER}-{UNIT}]+", "")
@@ -76,10 +91,13 @@ def _tokens(name: str) -> Column:
 def _benchmark_windows(items: DataFrame) -> DataFrame:
     """``(item_key, size, item_pos, h)``."""
     w = F.least(F.lit(WINDOW), F.size("canon"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("canon") - w + 1), lambda i: F.struct(i.alias("at"), F.slice("canon", i, w).alias("w")))
-    rows = items.where(F.size("canon") > 0).select("item_key", w.alias("size"), F.explode(starts).alias("x"))
+    forms = F.array("canon", "opened", F.concat(F.slice("canon", 1, 1), F.slice("opened", 2, F.greatest(F.size("opened") - 1, F.lit(0)))))
+    starts = lambda form: F.transform(F.sequence(F.lit(1), F.size("canon") - w + 1), lambda i: F.struct(i.alias("at"), F.slice(form, i, w).alias("w")))
+    rows = items.where(F.size("canon") > 0).select("item_key", w.alias("size"), F.explode(F.array_distinct(F.flatten(F.transform(forms, starts)))).alias("x"))
     literal = F.size(F.filter("x.w", lambda t: (t != "") & ~t.rlike(f"[{NUMBER}-{UNIT}]")))
     rows = rows.select("item_key", "size", (F.col("x.at") - 1).alias("item_pos"), F.xxhash64("x.w").alias("h"), literal.alias("literal"))
+    # of the forms of a window, the one with the most literals decides
+    rows = rows.withColumn("literal", F.max("literal").over(Window.partitionBy("item_key", "item_pos")))
     most = F.max("literal").over(Window.partitionBy("item_key"))
     return rows.withColumn("most", most).where(F.col("literal") >= F.least(F.lit(LITERALS), F.col("most"))).select("item_key", "size", "item_pos", "h")
 
@@ -87,15 +105,15 @@ def _benchmark_windows(items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``(doc_id, text_key, item_id, kind, covered, slots)``, a row per document and item that match."""
     items = benchmark.select(F.col(item_col).alias("item_id"), tokens_text(F.col("text")).alias("raw")).where("raw <> ''").distinct()
-    items = items.select("item_id", F.xxhash64("item_id", "raw").alias("item_key"), _tokens("raw").alias("item_raw"), canonical(F.col("raw")).alias("c"))
-    items = cut(items.select("item_id", "item_key", "item_raw", _tokens("c").alias("canon")))
+    items = items.select("item_id", F.xxhash64("item_id", "raw").alias("item_key"), _tokens("raw").alias("item_raw"), canonical(F.col("raw")).alias("c"), canonical(F.col("raw"), True).alias("o"))
+    items = cut(items.select("item_id", "item_key", "item_raw", _tokens("c").alias("canon"), _tokens("o").alias("opened")))
     wanted = cut(_benchmark_windows(items))
     rows, sizes = wanted.count(), [r["size"] for r in wanted.select("size").distinct().collect()]  # at most WINDOW sizes
     wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted
     items = F.broadcast(items) if rows <= BROADCAST_ROWS else items
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), tokens_text(F.col(text_col)).alias("raw")).where("raw <> ''")
-    split = texts.select("doc_id", "text_key", canonical(F.col("raw")).alias("c")).select("doc_id", "text_key", _tokens("c").alias("canon"))
+    split = texts.select("doc_id", "text_key", canonical(F.col("raw"), True).alias("c")).select("doc_id", "text_key", _tokens("c").alias("canon"))
     hits = None
     for size in sorted(sizes, reverse=True) or [WINDOW]:
         exploded = split.select("doc_id", "text_key", F.posexplode(windows(F.col("canon"), size)).alias("pos", "h"))
@@ -108,21 +126,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     a, b = internal("id"), internal("key")
     stretches = aligned.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b)).agg(F.collect_set(F.struct("item_key", "shift", "lo", "hi")).alias("found"))
     again = texts.join(stretches, F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("text_key") == F.col(b)))
-    again = again.select("doc_id", "text_key", "raw", canonical(F.col("raw")).alias("c"), "found")
-    again = again.select("doc_id", "text_key", *(_tokens(x).alias(y) for x, y in (("raw", "doc_raw"), ("c", "doc_canon"))), F.explode("found").alias("f"))
+    again = again.select("doc_id", "text_key", "raw", canonical(F.col("raw")).alias("c"), canonical(F.col("raw"), True).alias("o"), "found")
+    again = again.select("doc_id", "text_key", *(_tokens(x).alias(y) for x, y in (("raw", "doc_raw"), ("c", "doc_canon"), ("o", "doc_opened"))), F.explode("found").alias("f"))
     there = again.join(items, again["f.item_key"] == items["item_key"])
     skip = F.greatest(F.lit(0), -F.col("f.shift"))
     length = F.least(F.size("item_raw"), F.size("doc_raw") - F.col("f.shift")) - skip
-    ours = [F.slice(f"doc_{x}", skip + F.col("f.shift") + 1, length).alias(f"d{x[0]}") for x in ("raw", "canon")]
-    theirs = [F.slice(x, skip + 1, length).alias(f"i{y}") for x, y in (("item_raw", "r"), ("canon", "c"))]
+    ours = [F.slice(f"doc_{x}", skip + F.col("f.shift") + 1, length).alias(f"d{x[0]}") for x in ("raw", "canon", "opened")]
+    theirs = [F.slice(x, skip + 1, length).alias(f"i{y}") for x, y in (("item_raw", "r"), ("canon", "c"), ("opened", "o"))]
     there = there.select("doc_id", "text_key", "item_id", F.size("item_raw").alias("whole"), (F.col("f.lo") - skip).alias("lo"), (F.col("f.hi") - skip).alias("hi"), F.arrays_zip(*ours, *theirs).alias("tokens"))
     bare = lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+\z", "")
     open_ = lambda x: x.rlike(f"[{NUMBER}-{UNIT}]")
 
     def compare(p: Column) -> Column:
-        alike, slot = p["dc"] == p["ic"], open_(p["ic"])
+        same = p["dc"] == p["ic"]
+        alike = same | (p["do"] == p["io"])
+        slot = open_(p["ic"]) | (alike & open_(p["io"]))
         t, o = bare(p["ir"]), bare(p["dr"])
-        return F.struct(alike.alias("alike"), (alike & ((t == o) | ~slot)).alias("same"), slot.alias("slot"), t.alias("t"), o.alias("o"))
+        return F.struct(alike.alias("alike"), (alike & ((t == o) | (same & ~open_(p["ic"])))).alias("same"), slot.alias("slot"), t.alias("t"), o.alias("o"))
 
     there = there.withColumn("tokens", F.transform("tokens", compare))
     zero = F.struct(*(F.lit(0).alias(x) for x in ("at", "run", "alike", "most")), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
