@@ -1,20 +1,23 @@
 r"""Benchmark decontamination by template canonicalisation.
 
 Only DataFrame functions are used.  A text's tokens are its runs of non-space characters (a
-token of punctuation alone joins the one before).  Canonical tokens are lower-cased, without
-punctuation, and with typed placeholders: numbers U+E000, names (a capitalised word within
-a sentence) U+E001, units after a number U+E002.  Windows of ``WINDOW`` canonical tokens of
-all documents are hash-joined with those of the benchmark; an item shorter than that is one
-window of its own length.  Benchmark windows with hardly any literal words are not used,
-unless the item has no other.
+token of punctuation alone joins the one before).  A token has three forms, which depend on
+the token alone (a unit also on a number right before it), never on where its sentence begins:
 
-A capitalised word that begins a sentence may be a name or not.  Documents are hashed with such
-words as names, unless they are ``COMMON``; the windows of an item are looked for with its own
-as names, as words, and with only the first as a word.
+* ``folded``: lower-cased, without punctuation;
+* ``slotted``: like that, with typed placeholders: numbers U+E000, names (a capitalised word that
+  is not ``COMMON``) U+E001, units after a number U+E002;
+* ``numbered``: placeholders for numbers and units, names folded.
+
+Windows of ``WINDOW`` tokens of all documents, folded and slotted, are hash-joined with those of
+the benchmark in all three forms (numbered ones are what a document in lower case has as slotted).
+An item shorter than that is one window of its own length, so a text that holds a whole item is
+found however short the item is; ``least_tokens`` leaves out items below it.  Folded windows are
+all used; windows with placeholders that hardly have a literal word are not.
 
 Hits are gathered per document, item and alignment (position in the document less position in
 the item) and only find the alignment.  There the whole item is compared token by token; tokens
-are alike if their canonical forms agree, with first words as words or as names.  It counts
+are alike if their folded or slotted forms agree.  It counts
 
 * if the windows found, or all runs of ``WINDOW`` tokens that are alike, stretch over ``COVER``
   tokens or the whole item, and the slots (tokens with a placeholder) of that stretch agree:
@@ -23,17 +26,23 @@ are alike if their canonical forms agree, with first words as words or as names.
 * else as ``exact``, if ``COVER`` tokens in a row or the whole item are alike with all values
   the same, whatever the slots elsewhere.
 
-The windows of the benchmark are broadcast only if a count finds them few (``BROADCAST_ROWS``);
-otherwise the join shuffles by the window's hash.
+So a verbatim run of ``COVER`` tokens, or of a whole shorter item, is found at any place, in any case.
+
+The windows of the benchmark, its items and the documents with hits are broadcast only if a count
+finds them few (``BROADCAST_ROWS``); otherwise the joins shuffle.
 
 Edge cases: null and empty texts match nothing; documents with a null id are matched like
 others; rows that repeat id and text are one document; rows that share an id but not the text
 are matched one by one and share the result row of their id; items that repeat an id are
 separate texts under one id; empty tables give an empty result; other columns are ignored.
+Every repetition in a pattern is possessive or of one character class, so that texts of any
+length are read without recursion.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,17 +50,18 @@ from .common import cut, internal, table
 
 WINDOW = 8
 COVER = 13
-#: A benchmark window needs this many tokens without a placeholder.
+#: A benchmark window with placeholders needs this many tokens without one.
 LITERALS = 4
 BROADCAST_ROWS = 1_000_000
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+#: English; the units of other languages are the caller's to pass.
 UNITS = (
     "km", "cm", "mm", "m", "mi", "miles", "mile", "ft", "feet", "inches", "inch", "meters", "metres", "meter", "metre", "kg", "g", "mg", "lb", "lbs",
     "tons", "ton", "grams", "gram", "l", "ml", "liters", "litres", "hours", "hour", "h", "minutes", "minute", "min", "seconds", "second", "s", "days",
     "day", "weeks", "week", "months", "month", "years", "year", "percent", "dollars", "dollar", "euros", "euro", "cents", "pounds", "mph", "kmh", "kwh", "w", "kw",
 )
 
-#: Words that begin sentences and are no names.
+#: Words that are capitalised where they begin a sentence and are no names.
 COMMON = (
     "The", "An?", "This", "That", "These", "Those", "There", "Here", "It", "Its", "He", "She", "They", "We", "You", "I", "His", "Her", "Their", "Our", "Your", "My",
     "What", "Which", "Who", "Whom", "Whose", "Where", "When", "Why", "How", "If", "In", "On", "At", "By", "For", "From", "With", "Without", "Of", "To", "As", "After", "Before",
@@ -67,82 +77,123 @@ def tokens_text(text: Column) -> Column:
     return F.regexp_replace(spaced, r" (?=[^\p{L}\p{N} ]+(?: |\z))", "")
 
 
-def canonical(tokens: Column, opened: bool = False) -> Column:
-    """The canonical form of ``tokens_text``, with as many spaces; ``opened``: first words of sentences are names too."""
-    # a capitalised word after a letter, digit or comma and one space
-    name = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
-    first = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!(?:{'|'.join(COMMON)})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
-    named = F.regexp_replace(tokens, f"{name}|{first}" if opened else name, NAME)
-    numbers = F.regexp_replace(F.lower(named), r"\p{N}+(?:[.,:/]\p{N}+)*", NUMBER)
-    units = F.regexp_replace(numbers, f"(?<={NUMBER} ?)(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", UNIT)
-    return F.regexp_replace(units, f"[^\\p{{L}}\\p{{N}} {NUMBER}-{UNIT}]+", "")
+def folded(tokens: Column) -> Column:
+    """Lower case without punctuation, with as many spaces as ``tokens_text``."""
+    return F.regexp_replace(F.lower(tokens), r"[^\p{L}\p{N} ]+", "")
+
+
+def marked(tokens: Column, units: Sequence[str] = UNITS) -> Column:
+    """Like ``folded``, with placeholders for numbers and units, and ``NAME`` before each name."""
+    # the look-behinds come after the letter, so that most places fail on one character class
+    named = F.regexp_replace(tokens, r"(\p{Lu}(?<![\p{L}\p{M}\p{N}].)\p{Ll}[\p{L}\p{M}]*+)", f"{NAME}$1")
+    named = F.regexp_replace(named, rf"{NAME}(?=(?:{'|'.join(COMMON)})(?![\p{{L}}\p{{M}}]))", "")
+    number = r"\p{N}++(?:[.,:/]\p{N}++)*+"
+    # a chain of numbers is tried from its start only, or a long one without a unit would take quadratic time
+    chain = r"\p{N}(?<!\p{N}.)(?<!\p{N}[.,:/].)\p{N}*+(?:[.,:/]\p{N}++)*+"
+    measured = F.regexp_replace(F.lower(named), rf"{chain}( ?)(?:{'|'.join(units)})(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1{UNIT}") if units else F.lower(named)
+    return F.regexp_replace(F.regexp_replace(measured, number, NUMBER), f"[^\\p{{L}}\\p{{N}} {NUMBER}-{UNIT}]+", "")
+
+
+def numbered(marked_text: Column) -> Column:
+    return F.replace(marked_text, F.lit(NAME), F.lit(""))
 
 
-def windows(tokens: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` tokens."""
-    starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size)))
+def slotted(marked_text: Column) -> Column:
+    return F.regexp_replace(marked_text, rf"{NAME}[\p{{L}}\p{{N}}]*+", NAME)
 
 
 def _tokens(name: str) -> Column:
     return F.when(F.length(name) > 0, F.split(name, " ")).otherwise(F.array().cast("array<string>"))
 
 
+def _hashes(name: str) -> Column:
+    return F.transform(_tokens(name), lambda t: F.xxhash64(t))
+
+
+def windows(hashes: Column, size: int) -> Column:
+    """A hash of each window of ``size`` tokens, of the hashes of its tokens."""
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
+    # item by item: a slice copies the whole array each time; the hash of an array is the same
+    return F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
+
+
+def _open(token: Column) -> Column:
+    return token.rlike(f"[{NUMBER}-{UNIT}]")
+
+
 def _benchmark_windows(items: DataFrame) -> DataFrame:
-    """``(item_key, size, item_pos, h)``."""
-    w = F.least(F.lit(WINDOW), F.size("canon"))
-    forms = F.array("canon", "opened", F.concat(F.slice("canon", 1, 1), F.slice("opened", 2, F.greatest(F.size("opened") - 1, F.lit(0)))))
-    starts = lambda form: F.transform(F.sequence(F.lit(1), F.size("canon") - w + 1), lambda i: F.struct(i.alias("at"), F.slice(form, i, w).alias("w")))
-    rows = items.where(F.size("canon") > 0).select("item_key", w.alias("size"), F.explode(F.array_distinct(F.flatten(F.transform(forms, starts)))).alias("x"))
-    literal = F.size(F.filter("x.w", lambda t: (t != "") & ~t.rlike(f"[{NUMBER}-{UNIT}]")))
-    rows = rows.select("item_key", "size", (F.col("x.at") - 1).alias("item_pos"), F.xxhash64("x.w").alias("h"), literal.alias("literal"))
-    # of the forms of a window, the one with the most literals decides
-    rows = rows.withColumn("literal", F.max("literal").over(Window.partitionBy("item_key", "item_pos")))
-    most = F.max("literal").over(Window.partitionBy("item_key"))
-    return rows.withColumn("most", most).where(F.col("literal") >= F.least(F.lit(LITERALS), F.col("most"))).select("item_key", "size", "item_pos", "h")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """``(item_key, whole, size, item_pos, h)`` of the folded, slotted and numbered windows; ``whole`` is the item's size."""
+    w = F.least(F.lit(WINDOW), F.size("folded"))
+    starts = lambda form: F.transform(F.sequence(F.lit(1), F.size("folded") - w + 1), lambda i: F.struct(i.alias("at"), F.slice(form, i, w).alias("w")))
+    forms = F.array_distinct(F.concat(*(starts(x) for x in ("folded", "slotted", "numbered"))))
+    rows = items.where(F.size("folded") > 0).select("item_key", F.size("folded").alias("whole"), w.alias("size"), F.explode(forms).alias("x"))
+    literal = F.size(F.filter("x.w", lambda t: (t != "") & ~_open(t)))
+    rows = rows.select("item_key", "whole", "size", (F.col("x.at") - 1).alias("item_pos"), F.xxhash64(F.transform("x.w", lambda t: F.xxhash64(t))).alias("h"), literal.alias("literal"), F.exists("x.w", _open).alias("open"))
+    most = F.max(F.when(F.col("open"), F.col("literal"))).over(Window.partitionBy("item_key"))
+    # placeholders alone would match any number or name
+    enough = F.col("literal") >= F.greatest(F.lit(1), F.least(F.lit(LITERALS), F.col("most")))
+    return rows.withColumn("most", most).where(~F.col("open") | enough).select("item_key", "whole", "size", "item_pos", "h").distinct()
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` (cut from its lineage), broadcast where it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", units: Sequence[str] = UNITS, least_tokens: int = 1
+) -> DataFrame:
     """``(doc_id, text_key, item_id, kind, covered, slots)``, a row per document and item that match."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens_text(F.col("text")).alias("raw")).where("raw <> ''").distinct()
-    items = items.select("item_id", F.xxhash64("item_id", "raw").alias("item_key"), _tokens("raw").alias("item_raw"), canonical(F.col("raw")).alias("c"), canonical(F.col("raw"), True).alias("o"))
-    items = cut(items.select("item_id", "item_key", "item_raw", _tokens("c").alias("canon"), _tokens("o").alias("opened")))
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens_text(F.col(item_text_col)).alias("raw")).where("raw <> ''").distinct()
+    items = items.select("item_id", F.xxhash64("item_id", "raw").alias("item_key"), "raw", folded(F.col("raw")).alias("f"), marked(F.col("raw"), units).alias("m"))
+    items = items.select("item_id", "item_key", "raw", "f", slotted(F.col("m")).alias("s"), numbered(F.col("m")).alias("n"))
+    forms = {"raw": "item_raw", "f": "folded", "s": "slotted", "n": "numbered"}
+    items = cut(items.select("item_id", "item_key", *(_tokens(a).alias(b) for a, b in forms.items())).where(F.size("item_raw") >= least_tokens))
     wanted = cut(_benchmark_windows(items))
-    rows, sizes = wanted.count(), [r["size"] for r in wanted.select("size").distinct().collect()]  # at most WINDOW sizes
-    wanted = F.broadcast(wanted) if rows <= BROADCAST_ROWS else wanted
-    items = F.broadcast(items) if rows <= BROADCAST_ROWS else items
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), tokens_text(F.col(text_col)).alias("raw")).where("raw <> ''")
-    split = texts.select("doc_id", "text_key", canonical(F.col("raw"), True).alias("c")).select("doc_id", "text_key", _tokens("c").alias("canon"))
-    hits = None
-    for size in sorted(sizes, reverse=True) or [WINDOW]:
-        exploded = split.select("doc_id", "text_key", F.posexplode(windows(F.col("canon"), size)).alias("pos", "h"))
-        found = exploded.join(wanted.where(F.col("size") == size), "h").select("doc_id", "text_key", "pos", "item_key", "item_pos", "size")
-        hits = found if hits is None else hits.unionByName(found)
-    aligned = hits.groupBy("doc_id", "text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("size")).alias("hi"))
-    aligned = cut(aligned)
-
-    # only the documents that an alignment was found in are read again, to compare the items
+    sizes = [r["size"] for r in wanted.select("size").distinct().collect()] or [WINDOW]  # at most WINDOW sizes
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).where("text <> ''")
+    split = texts.select("doc_id", "text_key", tokens_text(F.col("text")).alias("raw")).select("doc_id", "text_key", folded(F.col("raw")).alias("f"), marked(F.col("raw"), units).alias("m"))
+    split = split.select("doc_id", "text_key", "f", slotted(F.col("m")).alias("s")).select("doc_id", "text_key", _hashes("f").alias("hf"), _hashes("s").alias("hs"))
+    # the windows of all sizes and of both forms stand in one array: position p of n tokens at size w is p mod (n - w + 1)
+    parts = [windows(F.col(c), size) for size in sizes for c in ("hf", "hs")]
+    # the size stands below the explode, which would else carry the whole array with every window
+    split = split.select("doc_id", "text_key", F.size("hf").alias("n"), "hf", "hs")
+    hits = split.select("doc_id", "text_key", "n", F.posexplode(F.concat(*parts)).alias("at", "h")).join(_few(wanted), "h")
+    pos, before = F.lit(None).cast("int"), F.lit(0)
+    for size in sizes:
+        each = F.greatest(F.col("n") - size + 1, F.lit(0))
+        here = (F.col("at") >= before) & (F.col("at") < before + 2 * each) & (F.col("size") == size)
+        pos = F.when(here, F.pmod(F.col("at") - before, F.greatest(each, F.lit(1)))).otherwise(pos)
+        before = before + 2 * each
+    hits = hits.select("doc_id", "text_key", "item_key", "whole", "item_pos", "size", pos.alias("pos")).where("pos IS NOT NULL")
+    aligned = hits.groupBy("doc_id", "text_key", "item_key", "whole", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("size")).alias("hi"))
+
+    # only the documents that an alignment was found in are read again, to cut out what stands against the item
     a, b = internal("id"), internal("key")
-    stretches = aligned.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b)).agg(F.collect_set(F.struct("item_key", "shift", "lo", "hi")).alias("found"))
-    again = texts.join(stretches, F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("text_key") == F.col(b)))
-    again = again.select("doc_id", "text_key", "raw", canonical(F.col("raw")).alias("c"), canonical(F.col("raw"), True).alias("o"), "found")
-    again = again.select("doc_id", "text_key", *(_tokens(x).alias(y) for x, y in (("raw", "doc_raw"), ("c", "doc_canon"), ("o", "doc_opened"))), F.explode("found").alias("f"))
-    there = again.join(items, again["f.item_key"] == items["item_key"])
-    skip = F.greatest(F.lit(0), -F.col("f.shift"))
-    length = F.least(F.size("item_raw"), F.size("doc_raw") - F.col("f.shift")) - skip
-    ours = [F.slice(f"doc_{x}", skip + F.col("f.shift") + 1, length).alias(f"d{x[0]}") for x in ("raw", "canon", "opened")]
-    theirs = [F.slice(x, skip + 1, length).alias(f"i{y}") for x, y in (("item_raw", "r"), ("canon", "c"), ("opened", "o"))]
-    there = there.select("doc_id", "text_key", "item_id", F.size("item_raw").alias("whole"), (F.col("f.lo") - skip).alias("lo"), (F.col("f.hi") - skip).alias("hi"), F.arrays_zip(*ours, *theirs).alias("tokens"))
+    stretches = cut(aligned.groupBy(F.col("doc_id").alias(a), F.col("text_key").alias(b)).agg(F.collect_set(F.struct("item_key", "whole", "shift", "lo", "hi")).alias("found")))
+    again = texts.join(_few(stretches), F.col("doc_id").eqNullSafe(F.col(a)) & (F.col("text_key") == F.col(b)))
+    again = again.select("doc_id", "text_key", tokens_text(F.col("text")).alias("raw"), "found")
+    again = again.select("doc_id", "text_key", "raw", folded(F.col("raw")).alias("f"), slotted(marked(F.col("raw"), units)).alias("s"), "found")
+    again = again.select("doc_id", "text_key", "found", *(_tokens(x).alias(y) for x, y in (("raw", "doc_raw"), ("f", "doc_folded"), ("s", "doc_slotted"))))
+
+    def cut_out(hit: Column) -> Column:
+        skip, end = F.greatest(F.lit(0), -hit["shift"]), F.least(hit["whole"], F.size("doc_raw") - hit["shift"])
+        token = lambda i: F.struct(*(F.get(f"doc_{x}", hit["shift"] + i).alias(f"d{x[0]}") for x in ("raw", "folded", "slotted")))
+        return F.struct(hit["item_key"].alias("item_key"), skip.alias("skip"), (hit["lo"] - skip).alias("lo"), (hit["hi"] - skip).alias("hi"), F.transform(F.sequence(skip, end - 1), token).alias("d"))
+
+    there = again.select("doc_id", "text_key", F.explode(F.transform("found", cut_out)).alias("hit")).select("doc_id", "text_key", "hit.*").distinct().join(_few(items), "item_key")
+    theirs = [F.slice(x, F.col("skip") + 1, F.size("d")).alias(f"i{y}") for x, y in (("item_raw", "r"), ("folded", "f"), ("slotted", "s"), ("numbered", "n"))]
+    there = there.select("doc_id", "text_key", "item_id", F.size("item_raw").alias("whole"), "lo", "hi", F.arrays_zip(*(F.col(f"d.{x}").alias(x) for x in ("dr", "df", "ds")), *theirs).alias("tokens"))
     bare = lambda x: F.regexp_replace(F.lower(x), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+\z", "")
-    open_ = lambda x: x.rlike(f"[{NUMBER}-{UNIT}]")
 
     def compare(p: Column) -> Column:
-        same = p["dc"] == p["ic"]
-        alike = same | (p["do"] == p["io"])
-        slot = open_(p["ic"]) | (alike & open_(p["io"]))
+        equal = p["df"] == p["if"]
+        alike = equal | (p["ds"] == p["is"]) | (p["ds"] == p["in"])
         t, o = bare(p["ir"]), bare(p["dr"])
-        return F.struct(alike.alias("alike"), (alike & ((t == o) | (same & ~open_(p["ic"])))).alias("same"), slot.alias("slot"), t.alias("t"), o.alias("o"))
+        # of a number its inner marks count, of other tokens they do not
+        same = (t == o) | (equal & ~p["if"].rlike(r"\p{N}"))
+        return F.struct(alike.alias("alike"), (alike & same).alias("same"), (alike & _open(p["is"])).alias("slot"), t.alias("t"), F.when(same, t).otherwise(o).alias("o"))
 
     there = there.withColumn("tokens", F.transform("tokens", compare))
     zero = F.struct(*(F.lit(0).alias(x) for x in ("at", "run", "alike", "most")), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
@@ -171,11 +222,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select("doc_id", "text_key", "item_id", F.when(F.col("best.exact"), "exact").otherwise("template").alias("kind"), F.col("best.covered").alias("covered"), F.col("best.slots").alias("slots"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that match no benchmark item, columns unchanged."""
     a, b = internal("id"), internal("key")
-    bad = cut(contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct())
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")
+    bad = cut(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct())
+    return docs.join(_few(bad), F.col(id_col).cast("long").eqNullSafe(F.col(a)) & (F.xxhash64(text_col) == F.col(b)), "left_anti")
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
