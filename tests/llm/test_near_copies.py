@@ -58,6 +58,16 @@ def test_members_that_no_leader_is_near_are_found(spark):
     assert {r["doc_id"] for r in kept.collect()} == brute_force(rows) == {0}
 
 
+def test_a_group_whose_members_are_near_its_first_text_only(spark, monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 7)
+    monkeypatch.setattr(m, "AGAINST", 50)
+    rng = random.Random(9)
+    first = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = [(i, " ".join(edited(rng, first, rng.randrange(9)))) for i in range(160)]
+    kept = m.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == brute_force(rows)
+
+
 def test_the_stage_drops_what_simhash_at_two_bits_keeps(spark):
     import corpus_pipeline
     from tourweave.llm import simhash_dedup
