@@ -88,6 +88,19 @@ def test_the_ledger_scans_each_blob_and_rule_version_once(spark, tmp_path):
     assert {(r["rule"], r["version"]) for r in fresh.collect()} == {("base", 2)} and fresh.count() == 2
 
 
+def test_repeated_ledger_rows_count_once(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1 and secret: 123456789")], "doc_id long, text string")
+    _, fresh = m.scan(docs)
+    twice = fresh.unionByName(fresh).unionByName(fresh)
+    found, more = m.scan(docs, ledger=twice)
+    assert more.count() == 0 and [tuple(x) for x in found.first()["spans"]] == [tuple(x) for x in m.scan(docs)[0].first()["spans"]]
+
+
+def test_columns_of_the_caller_stay_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", "b", "s", "x")], "doc_id long, text string, __blob string, __spans string, blob string")
+    assert m.redact(docs).collect() == [(1, "[assign]", "b", "s", "x")]
+
+
 def test_update_ledger_on_disk(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token=abcdefgh1"), (2, None)], "doc_id long, text string")
     path = str(tmp_path / "ledger")

@@ -9,6 +9,9 @@ back to all paths by address.
 Spans are ``(kind, start, end)`` in code points, end exclusive; each kind is searched from
 the left without overlaps over the whole text.
 
+Of the ledger only the rows of the batch's blobs are grouped.  Ledger rows that repeat a (blob,
+rule, version), as two writers or a retried append leave them, count once.
+
 Edge cases: null text counts as empty (no findings); repeated rows are returned once each;
 a null ``doc_id`` is kept; an empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import internal, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -89,7 +92,7 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame | None = None, rules: Sequen
     blobs = paths.groupBy("blob").agg(F.first("text").alias("text"))
     wanted = [f"{r.name}:{r.version}" for r in rules]
     if ledger is not None:
-        done = ledger.select("blob", F.concat_ws(":", "rule", "version").alias("r")).where(F.col("r").isin(wanted)).groupBy("blob").agg(F.collect_set("r").alias("done"))
+        done = ledger.join(blobs.select("blob"), "blob", "left_semi").select("blob", F.concat_ws(":", "rule", "version").alias("r")).where(F.col("r").isin(wanted)).groupBy("blob").agg(F.collect_set("r").alias("done"))
         blobs = blobs.join(done, "blob", "left")
     else:
         blobs = blobs.withColumn("done", F.lit(None).cast("array<string>"))
@@ -111,10 +114,6 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame | None = None, rules: Sequen
     return blobs.select("blob", "text", "rules").mapInArrow(run, LEDGER)
 
 
-def _address(docs: DataFrame, text_col: str) -> Column:
-    return F.sha2(text_or_empty(text_col), 256)
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """``(findings, fresh)``.
 
@@ -126,14 +125,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     known = fresh
     if ledger is not None:
         in_use = F.concat_ws(":", "rule", "version").isin([f"{r.name}:{r.version}" for r in rules])
-        known = fresh.unionByName(ledger.where(in_use).select(*fresh.columns))
+        known = fresh.unionByName(ledger.where(in_use).join(paths.select("blob"), "blob", "left_semi").select(*fresh.columns))
     return paths.select("doc_id", "blob").join(by_blob(known, rules), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("spans")), fresh
 
 
 def by_blob(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``(blob, spans)`` in order, for the blobs that have any."""
     order = F.create_map(*(F.lit(x) for pair in ((k.name, i) for i, k in enumerate(k for r in rules for k in r.kinds)) for x in pair))
-    one = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    scans = F.collect_set(F.struct("rule", "version", "spans"))
+    one = ledger.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.transform(scans, lambda s: s["spans"])).alias("spans"))
     ranked = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(order, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return one.select("blob", F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
@@ -158,8 +158,9 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; overlapping spans become one mark, of the first kind."""
     found = by_blob(scan_unseen(docs.select(text_or_empty(text_col).alias("text")).withColumn("blob", F.sha2("text", 256)), None, rules), rules)
-    found = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__blob", _address(docs, text_col)).join(found, "__blob", "left")
+    blob, spans = internal("blob"), internal("spans")
+    found = found.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.withColumn(blob, F.sha2(text_or_empty(text_col), 256)).join(found, blob, "left")
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -167,8 +168,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
         gap = F.when(s["start"] >= state["at"], F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.concat(state["out"], gap).alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
 
-    cleaned = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(cleaned)).select(*docs.columns)
+    cleaned = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return joined.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(cleaned)).select(*docs.columns)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
