@@ -4,19 +4,21 @@ Every shard owns ``vnodes`` positions on a ring of 64-bit hashes.  A key belongs
 that ends at the next virtual node clockwise.  Shards have capacities; the keys of an arc
 that find its shard full continue clockwise to the next shard with room.  All arcs advance
 together, one virtual node a round, and share the room of a shard in ring order, so the
-outcome depends on the keys and the capacities alone, not on the order of the rows.
+keys of a shard depend on the keys and the capacities alone, not on the order of the rows; only
+which of the rows that repeat a key gets which of its places depends on where they stand.
 
 Only the number of keys per arc (``shards * vnodes`` numbers at most, whatever the data)
 reaches the driver, which turns it into rank intervals per arc.  Ranks within an arc are
-distributed: rows of one key are numbered within their partition, keys by a running sum of
-counts, so that no task gathers the rows of a hot key.
+distributed: rows of one key are numbered within their partition, keys by running sums of
+counts, first over ranges of hashes (``2 ** RANGE_BITS`` at most), then within a range, so that no
+task gathers the rows of a hot key or of an arc.
 
 ``epsilon`` sets the capacities to ``ceil((1 + epsilon) * rows / shards)``; without it they
 are the exact share, so that the row counts of two shards differ by one at most.
 
 Edge cases: null text has size 1 and the checksum of the empty text; null ids are one key;
 repeated rows get slots of their own; an empty table gives an empty result; other columns
-of the input are ignored.
+of the input pass through ``assign``, which replaces columns named ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, internal, table
+
+RANGE_BITS = 20
 
 
 class Ring:
@@ -78,32 +82,36 @@ def flows(counts: dict[int, int], ring: Ring, capacities: Sequence[int]) -> list
 
 
 def assign(keys: DataFrame, shards: int, vnodes: int = 64, epsilon: float | None = None, key_col: str = "key") -> DataFrame:
-    """``keys`` with ``shard`` and ``slot`` (gapless from 0 within each shard).
-
-    ``keys`` must give the same rows in the same partitions whenever it is read; pass what
-    ``cut`` returned.
-    """
+    """``keys`` with ``shard`` and ``slot`` (gapless from 0 within each shard); ``keys`` is read once."""
     ring = Ring(shards, vnodes)
     positions = np.array(ring.positions, np.int64)
+    h, row, arc, part, span, rank, before, n, lo, hi, base, to = (internal(x) for x in ("h", "row", "arc", "part", "span", "rank", "before", "n", "lo", "hi", "base", "to"))
+    kept = [c for c in keys.columns if c not in ("shard", "slot")]
 
     @F.pandas_udf("int")
-    def arc(h: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(positions, h.to_numpy()) % len(positions)).astype("int32")
+    def arc_of(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(positions, values.to_numpy()) % len(positions)).astype("int32")
 
-    placed = cut(keys.withColumn("__h", F.xxhash64(F.col(key_col))).withColumn("__row", F.monotonically_increasing_id()).withColumn("__arc", arc("__h")).withColumn("__part", F.shiftright("__row", 33)))
-    counts = {r["__arc"]: r["count"] for r in placed.groupBy("__arc").count().collect()}
+    placed = keys.withColumn(h, F.xxhash64(F.col(key_col))).select(*kept, h, F.monotonically_increasing_id().alias(row))
+    placed = cut(placed.withColumn(arc, arc_of(h)).withColumn(part, F.shiftright(row, 33)).withColumn(span, F.shiftright(h, 64 - RANGE_BITS)))
+    counts = {r[arc]: r["count"] for r in placed.groupBy(arc).count().collect()}
     rows = sum(counts.values())
     capacities = exact_capacities(rows, shards) if epsilon is None else [int(np.ceil((1 + epsilon) * rows / shards))] * shards
-    schema = T.StructType([T.StructField(n, T.IntegerType() if n in ("__arc", "shard") else T.LongType()) for n in ("__arc", "__lo", "__hi", "shard", "__base")])
+    schema = T.StructType([T.StructField(x, T.IntegerType() if x in (arc, to) else T.LongType()) for x in (arc, lo, hi, to, base)])
     plan = keys.sparkSession.createDataFrame(flows(counts, ring, capacities), schema)
 
-    groups = placed.groupBy("__arc", "__h", "__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__arc").orderBy("__h", "__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    groups = groups.select("__arc", "__h", "__part", before.alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__arc", "__h", "__part").orderBy("__row")) - 1
-    ranked = placed.withColumn("__within", within).join(groups, ["__arc", "__h", "__part"]).withColumn("__rank", F.col("__before") + F.col("__within"))
-    hit = (ranked["__arc"] == plan["__arc"]) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi"))
-    return ranked.join(F.broadcast(plan), hit).select(*keys.columns, "shard", (F.col("__base") + F.col("__rank") - F.col("__lo")).alias("slot"))
+    def preceding(group: list[str], order: list[str]) -> Column:
+        return F.sum(n).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)
+
+    groups = placed.groupBy(arc, span, h, part).agg(F.count("*").alias(n))
+    spans = placed.groupBy(arc, span).agg(F.count("*").alias(n))
+    spans = spans.select(F.col(arc), F.col(span), preceding([arc], [span]).alias(base))
+    groups = groups.select(arc, span, h, part, preceding([arc, span], [h, part]).alias(before)).join(spans, [arc, span])
+    groups = groups.select(arc, h, part, (F.col(before) + F.col(base)).alias(before))
+    within = F.row_number().over(Window.partitionBy(arc, h, part).orderBy(row)) - 1
+    ranked = placed.withColumn(rank, within).join(groups, [arc, h, part]).withColumn(rank, F.col(before) + F.col(rank))
+    hit = (ranked[arc] == plan[arc]) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi))
+    return ranked.join(F.broadcast(plan), hit).select(*kept, F.col(to).alias("shard"), (F.col(base) + F.col(rank) - F.col(lo)).alias("slot"))
 
 
 def op7_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
