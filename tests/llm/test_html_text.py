@@ -66,6 +66,72 @@ def test_words_of_real_pages(spark):
         assert found.split() == "".join(p.out).split()
 
 
+def test_cells_that_span_rows():
+    page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td rowspan=9>g<td>h<tr><td>i<td>j</table>"
+    assert m.extract_text(page) == "a  b  c\n   d  e\nf  g  h\ni     j"
+    assert m.extract_text("<table><tr><td>long cell<td>b<tr><td colspan=2>wide<td>c</table>") == "long cell  b\nwide          c"
+
+
+def test_visible_within_hidden():
+    page = '<div style="visibility:hidden">a<b style="visibility: visible">b</b>c<ul><li>d<li style="visibility:visible">e</ul><hr></div><div style="display:none">f<b style="visibility:visible">g</b></div>h'
+    assert m.extract_text(page) == "b\n\n- e\n\nh"
+
+
+def test_layout_of_generated_trees():
+    """Lists, paragraphs and tables of random trees against lines that are laid out from the tree itself."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(999)}"
+
+    def make(depth):
+        """``(html, lines, spaced)`` of one block."""
+        kind = rng.choice(["p", "div", "table", "ul", "ol", "pre"] if depth else ["p", "div", "table", "pre"])
+        if kind in ("p", "div"):
+            text = " ".join(word() for _ in range(rng.randint(1, 5)))
+            return f"<{kind}>{text}</{kind}>", [text], kind == "p"
+        if kind == "pre":
+            lines = ["  " * rng.randrange(3) + word() for _ in range(3)]
+            return "<pre>" + "\n".join(lines) + "</pre>", lines, True
+        if kind == "table":
+            rows = [[word() * rng.randint(1, 3) for _ in range(3)] for _ in range(rng.randint(1, 3))]
+            widths = [max(len(r[c]) for r in rows) for c in range(3)]
+            html = "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in rows) + "</table>"
+            return html, ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows], True
+        html, lines = f"<{kind}>", []
+        for n in range(rng.randint(1, 3)):
+            mark, text = "- " if kind == "ul" else f"{n + 1}. ", word()
+            html += f"<li>{text}"
+            lines.append(mark + text)
+            if depth > 1 and rng.random() < 0.6:
+                inner_kind = rng.choice(["ul", "ol"])
+                items = [word() for _ in range(rng.randint(1, 3))]
+                html += f"<{inner_kind}>" + "".join(f"<li>{x}" for x in items) + f"</{inner_kind}>"
+                lines += [" " * len(mark) + ("- " if inner_kind == "ul" else f"{i + 1}. ") + x for i, x in enumerate(items)]
+        return html + f"</{kind}>", lines, True
+
+    for _ in range(400):
+        html, expected, gap = "", [], False
+        for _ in range(rng.randint(1, 5)):
+            part, lines, spaced = make(2)
+            if expected and (gap or spaced):
+                expected.append("")
+            html, expected, gap = html + part, expected + lines, spaced
+        assert m.extract_text(html) == "\n".join(expected), html
+
+
+def test_output_stays_in_proportion():
+    for page in (
+        "<ul><li>" * 100_000,
+        "<ul><li>x" * 30_000,
+        "<blockquote>x" * 30_000,
+        f"<ol start={'9' * 10_000}><li>a<li value={'-' + '8' * 5000}>b</ol><table><tr><td colspan={'9' * 5000} rowspan={'7' * 5000}>c<td>d</table>",
+        "<table><tr>" + f"<td>{'x' * 79}" * 1000 + "<tr><td colspan=999>a<td>b" * 10_000,
+        "<table>" + "<tr>" + "<td colspan=1000 rowspan=60000>a" * 3000 + "<tr><td>b" * 10_000,
+        "<table><tr><td>" * 2000 + "x",
+    ):
+        assert len(m.extract_text(page)) < 60 * len(page) + 1000
+    assert m.extract_text(f"<ol start={'9' * 10_000}><li>a</ol>") == "2147483647. a"
+
+
 def test_any_markup_ends(spark):
     rng = random.Random(1)
     bits = ["<p>", "</p>", "<table>", "<td>", "</table>", "<tr", ">", "<li>", "<ul>", "</ul>", "<pre>", "</pre>", "text ", "\n", "&amp;", "&#x", "<!--", "-->", "<script>", "</script>", '"', "'", "<a href='x'", "<b hidden>", "</b>", "<![CDATA[", "]]>", "<br/>", "<textarea>", "<td colspan=-3>", "<ol start=z>"]

@@ -6,26 +6,32 @@ ends the head at the first body content and ignores stray end tags.  The rendere
 tree without recursion and emits all visible text:
 
 * hidden are scripts, styles, templates, the head with its title, elements with ``hidden`` or
-  an inline ``display: none`` or ``visibility: hidden``, data lists, what only stands in for
+  an inline ``display: none``, what inherits an inline ``visibility: hidden`` (a child may be visible
+  again; style sheets are not read), data lists, what only stands in for
   frames and media that cannot be shown, and the descriptions and definitions within svg and
   math; formulas, the text of drawings, maps and objects, and the options of a select are inline;
 * blocks start on lines of their own; paragraphs, headings, lists, tables, quotes and
   preformatted text are set off by one empty line (adjacent margins collapse);
-* list items get ``- `` or their number and hang under it, nested lists are indented;
+* list items get ``- `` or their number and hang under it, nested lists are indented, by
+  ``INDENT`` columns at most;
 * table cells are padded to the width of their column, two spaces apart; a cell may have
-  several lines; ``colspan`` is honoured;
+  several lines; ``colspan`` and ``rowspan`` are honoured; beyond column ``LINE`` cells are only
+  two spaces apart;
 * white space collapses outside ``pre``; ``br`` breaks the line; images give their ``alt``.
 
 Edge cases: null and empty pages give the empty text; broken or endless markup is read to the
-end; repeated rows are rendered once each; a null ``page_id`` is kept; an empty table gives an
+end; the text grows in proportion to the page, however deep its lists are; numbers are clamped
+to what browsers take; repeated rows are rendered once each; a null ``page_id`` is kept; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +70,8 @@ IMPLIED = {
 }
 #: A cell wider than this does not widen its column, so that padding stays in proportion.
 COLUMN_WIDTH = 80
+#: Deeper indents and wider padding are cut off, so that the text stays in proportion to the page.
+INDENT, LINE = 64, 1000
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<![^>]*(?:>|\Z)"""
@@ -72,7 +80,9 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_INTEGER = re.compile(r"\s*([+-]?)0*(\d{1,10})(\d*)")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -179,11 +189,18 @@ def build(html: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
+    """Whether an element and what it holds takes part at all."""
     if node.tag in HIDDEN:
         return False
     a = node.attrs
-    return not a or not ("hidden" in a or (node.tag == "dialog" and "open" not in a) or ("style" in a and _INVISIBLE.search(a["style"])))
+    return not a or not ("hidden" in a or (node.tag == "dialog" and "open" not in a) or ("style" in a and _NO_DISPLAY.search(a["style"])))
+
+
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether an element's own text shows."""
+    m = _VISIBILITY.search(node.attrs["style"]) if "style" in node.attrs else None
+    return inherited if m is None else m[1].lower() == "visible"
 
 
 class _Flow:
@@ -193,7 +210,7 @@ class _Flow:
         self.lines: list[str] = []
         self.buffer: list[str] = []
         self.gap = 0
-        self.indent: list[str] = []
+        self.indent = 0
         self.mark = ""
 
     def write(self, s: str, pre: bool) -> None:
@@ -220,11 +237,8 @@ class _Flow:
         if self.lines and self.gap:
             self.lines.extend([""] * self.gap)
         self.gap = 0
-        indent = "".join(self.indent)
-        if self.mark:
-            indent = indent[: len(indent) - len(self.mark)] + self.mark
-            self.mark = ""
-        self.lines.append((indent + line).rstrip())
+        self.lines.append((" " * min(self.indent - len(self.mark), INDENT) + self.mark + line).rstrip())
+        self.mark = ""
 
     def block(self, margin: int) -> None:
         if self.buffer:
@@ -233,41 +247,62 @@ class _Flow:
             self.gap = max(self.gap, margin)
 
 
-def _table_lines(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
+def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells as ``(column, columns, lines)``; a cell that spans rows keeps its columns in those below."""
+    out, held = [], {}  # column -> the last row that a cell above takes it in
+    for r, row in enumerate(rows):
+        placed, at = [], 0
+        for columns, down, lines in row:
+            while held.get(at, -1) >= r:
+                at += 1
+            placed.append((at, columns, lines))
+            if down > 1:
+                held |= dict.fromkeys(range(at, min(at + columns, LINE)), r + down - 1)
+            at += columns
+        out.append(placed)
+    return out
+
+
+def _table_lines(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    placed = _placed(rows)
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for span, lines in row:
-            if span == 1:
+    for row in placed:
+        for at, columns, lines in row:
+            if columns == 1:
                 widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if len(x) <= COLUMN_WIDTH)])
-            at += span
+    known = sorted(widths)
+    before = list(accumulate((widths[c] for c in known), initial=0))
+    start = lambda at: min(2 * at + before[bisect_left(known, at)], LINE)
     out = []
-    for row in rows:
-        for i in range(max([0, *(len(lines) for _, lines in row)])):
-            line, at = [], 0
-            for span, lines in row:
-                width = sum(widths.get(c, 0) for c in range(at, at + min(span, 1000))) + 2 * (min(span, 1000) - 1)
-                line.append((lines[i] if i < len(lines) else "").ljust(width))
-                at += span
-            out.append("  ".join(line).rstrip())
+    for row in placed:
+        for i in range(max([0, *(len(lines) for _, _, lines in row)])):
+            line, length = [], 0
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    pad = max(start(at) - length, 2 if line else 0)
+                    line.append(" " * pad + lines[i])
+                    length += pad + len(lines[i])
+            out.append("".join(line).rstrip())
     return out
 
 
-def _number(value: str | None, default: int) -> int:
-    try:
-        return int(value or "")
-    except ValueError:
+def _number(value: str | None, default: int, least: int = -(2**31), most: int = 2**31 - 1) -> int:
+    """The integer that an attribute begins with, within the given limits."""
+    m = _INTEGER.match(value or "")
+    if not m:
         return default
+    size = most + 1 if m[3] else int(m[2])
+    return max(least, min(most, -size if m[1] == "-" else size))
 
 
 def render(root: Node) -> str:
     """All visible text of a tree."""
     flows, tables, lists, pre = [_Flow()], [], [], 0
-    # (node, next child); an element is entered at child 0 and left after the last
-    stack: list[list] = [[root, 0]]
+    # (node, next child, whether its text shows); an element is entered at child 0 and left after the last
+    stack: list[list] = [[root, 0, True]]
     while stack:
         frame = stack[-1]
-        node, i = frame
+        node, i, shown = frame[:3]
         tag, flow = node.tag, flows[-1]
         if i == 0:
             if tag in BLOCK:
@@ -275,7 +310,7 @@ def render(root: Node) -> str:
                 flow.block(1 if tag in SPACED and not nested else 0)
             if tag in APART:
                 flow.write(" ", False)
-                if tag == "optgroup" or (tag == "option" and not node.children):
+                if shown and (tag == "optgroup" or (tag == "option" and not node.children)):
                     flow.write(node.attrs.get("label", ""), False)
             if tag in ("pre", "xmp", "textarea"):
                 pre += 1
@@ -288,10 +323,11 @@ def render(root: Node) -> str:
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
                 flow.end_line()
-                flow.indent.append(" " * len(mark))
-                flow.mark = mark
+                frame.append(len(mark))
+                flow.indent += len(mark)
+                flow.mark = mark if shown else ""
             elif tag in ("blockquote", "dd"):
-                flow.indent.append("  ")
+                flow.indent += 2
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
@@ -302,23 +338,24 @@ def render(root: Node) -> str:
             frame[1] += 1
             child = node.children[i]
             if isinstance(child, str):
-                if tag not in ("table", "thead", "tbody", "tfoot", "tr") or not child.isspace():
+                if shown and (tag not in ("table", "thead", "tbody", "tfoot", "tr") or not child.isspace()):
                     flow = flows[-1]
                     flow.write(child[1:] if pre and i == 0 and child.startswith("\n") else child, pre > 0)
             elif child.tag == "br":
                 flows[-1].end_line(True)
             elif child.tag == "hr":
-                flows[-1].block(1)
-                flows[-1].put("---")
-                flows[-1].gap = 1
+                if displayed(child) and visible(child, shown):
+                    flows[-1].block(1)
+                    flows[-1].put("---")
+                    flows[-1].gap = 1
             elif child.tag == "img":
-                if visible(child) and child.attrs.get("alt"):
+                if displayed(child) and visible(child, shown) and child.attrs.get("alt"):
                     flows[-1].write(child.attrs["alt"], False)
             elif child.tag == "input":
-                if visible(child) and child.attrs.get("type", "").lower() not in UNSHOWN_INPUT and child.attrs.get("value"):
+                if displayed(child) and visible(child, shown) and child.attrs.get("type", "").lower() not in UNSHOWN_INPUT and child.attrs.get("value"):
                     flows[-1].write(child.attrs["value"], False)
-            elif child.tag not in VOID and visible(child):
-                stack.append([child, 0])
+            elif child.tag not in VOID and displayed(child):
+                stack.append([child, 0, visible(child, shown)])
             if i + 1 < len(node.children) or stack[-1] is not frame:
                 continue
             if frame[1] < len(node.children):
@@ -332,7 +369,7 @@ def render(root: Node) -> str:
             flows.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append((max(1, _number(node.attrs.get("colspan"), 1)), flow.lines))
+            tables[-1][-1].append((_number(node.attrs.get("colspan"), 1, 1, 1000), _number(node.attrs.get("rowspan"), 1, 1, 65534), flow.lines))
             continue
         if tag in APART:
             flow.write(" ", False)
@@ -345,9 +382,9 @@ def render(root: Node) -> str:
         elif tag == "li":
             if flow.mark:
                 flow.put("")
-            flow.indent.pop()
+            flow.indent -= frame[3]
         elif tag in ("blockquote", "dd"):
-            flow.indent.pop()
+            flow.indent -= 2
         elif tag == "table":
             for line in _table_lines(tables.pop()):
                 flow.put(line)
