@@ -51,3 +51,41 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = m.score(odd_docs, labels.where("false")).collect()
     assert {(r["score"], r["predicted"]) for r in none} == {(0.5, 1)}
     random.seed(0)
+
+
+def test_fit_by_plain_gradient_descent():
+    """Another optimiser on the same pairs finds the same weights and the same cut."""
+    rng = np.random.default_rng(3)
+    good = rng.random(400) < 0.6
+    x = rng.normal(size=(400, 3)) * [1.0, 5.0, 0.2] + good[:, None] * [0.7, -2.0, 0.0]
+    w, at = m.fit(x, good, seed=4)
+    draw = np.random.default_rng(4)
+    winners, losers = np.flatnonzero(good), np.flatnonzero(~good)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    pairs = m.PAIRS_EACH * min(len(winners), len(losers))
+    d = z[draw.choice(winners, pairs)] - z[draw.choice(losers, pairs)]
+    v = np.zeros(3)
+    for _ in range(4000):
+        v -= 0.5 * (-(d / (1 + np.exp(d @ v))[:, None]).mean(axis=0) + m.RIDGE * v)
+    assert np.allclose(w, v / x.std(axis=0), atol=1e-5)
+    worth = np.sort(x @ w)
+    assert abs(at - np.quantile(worth, (~good).mean())) < 1e-9
+
+
+def test_scores_outside_spark(spark):
+    """The query's scores, recomputed from the texts and labels with NumPy alone."""
+    import math
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    remainder = {i: zlib.crc32(str(i).encode()) % 3 for i in docs}
+    learned = [i for i in docs if i in labels and labels[i] is not None and remainder[i] != 1]
+    order = spark.createDataFrame([(i,) for i in learned], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()
+    learned = [r["doc_id"] for r in order]
+    x = np.array([m.statistics(docs[i].encode()) for i in learned])
+    w, at = m.fit(x, np.array([labels[i] > 0 for i in learned]))
+    for r in m.op5_quality_bradley_terry(spark, sf).collect():
+        score = 1 / (1 + math.exp(at - float(np.dot(m.statistics(docs[r["doc_id"]].encode()), w))))
+        assert abs(r["score"] - score) < 1e-9 and r["held_out"] == (remainder[r["doc_id"]] == 1) and r["predicted"] == (r["score"] >= 0.5)
