@@ -110,9 +110,9 @@ def _hashes(name: str) -> Column:
     return F.transform(_tokens(name), lambda t: F.xxhash64(t))
 
 
-def windows(hashes: Column, size: int) -> Column:
-    """A hash of each window of ``size`` tokens, of the hashes of its tokens."""
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
+def windows(hashes: Column, size: int, stride: int = 1) -> Column:
+    """A hash of each window of ``size`` tokens that starts at a multiple of ``stride``, of the hashes of its tokens."""
+    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     # item by item: a slice copies the whole array each time; the hash of an array is the same
     return F.transform(starts, lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
 
@@ -122,17 +122,25 @@ def _open(token: Column) -> Column:
 
 
 def _benchmark_windows(items: DataFrame) -> DataFrame:
-    """``(item_key, whole, size, item_pos, h)`` of the folded, slotted and numbered windows; ``whole`` is the item's size."""
-    w = F.least(F.lit(WINDOW), F.size("folded"))
-    starts = lambda form: F.transform(F.sequence(F.lit(1), F.size("folded") - w + 1), lambda i: F.struct(i.alias("at"), F.slice(form, i, w).alias("w")))
-    forms = F.array_distinct(F.concat(*(starts(x) for x in ("folded", "slotted", "numbered"))))
-    rows = items.where(F.size("folded") > 0).select("item_key", F.size("folded").alias("whole"), w.alias("size"), F.explode(forms).alias("x"))
-    literal = F.size(F.filter("x.w", lambda t: (t != "") & ~_open(t)))
-    rows = rows.select("item_key", "whole", "size", (F.col("x.at") - 1).alias("item_pos"), F.xxhash64(F.transform("x.w", lambda t: F.xxhash64(t))).alias("h"), literal.alias("literal"), F.exists("x.w", _open).alias("open"))
-    most = F.max(F.when(F.col("open"), F.col("literal"))).over(Window.partitionBy("item_key"))
+    """``(form, size, stride, item_key, whole, item_pos, h)``: folded windows, and slotted and numbered ones as ``slotted``.
+
+    ``whole`` is the item's size, ``stride`` how far apart windows of a document may be to meet all copies.
+    """
+    n = F.size("folded")
+
+    def of(form: str, size: Column, *columns: str) -> DataFrame:
+        starts = lambda c: F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.struct(i.alias("at"), F.slice(c, i, size).alias("w")))
+        rows = items.where(n > 0).select(F.lit(form).alias("form"), size.alias("size"), "item_key", n.alias("whole"), F.explode(F.array_distinct(F.concat(*map(starts, columns)))).alias("x"))
+        literal = F.size(F.filter("x.w", lambda t: (t != "") & ~_open(t)))
+        return rows.select("form", "size", "item_key", "whole", (F.col("x.at") - 1).alias("item_pos"), F.xxhash64(F.transform("x.w", lambda t: F.xxhash64(t))).alias("h"), literal.alias("literal"))
+
+    rows = of("slotted", F.least(F.lit(WINDOW), n), "slotted", "numbered")
     # placeholders alone would match any number or name
-    enough = F.col("literal") >= F.greatest(F.lit(1), F.least(F.lit(LITERALS), F.col("most")))
-    return rows.withColumn("most", most).where(~F.col("open") | enough).select("item_key", "whole", "size", "item_pos", "h").distinct()
+    enough = F.greatest(F.lit(1), F.least(F.lit(LITERALS), F.max("literal").over(Window.partitionBy("item_key"))))
+    rows = rows.withColumn("enough", enough).where(F.col("literal") >= F.col("enough")).drop("enough")
+    rows = rows.unionByName(of("folded", F.when(n < COVER, n).otherwise(WINDOW), "folded")).drop("literal").distinct()
+    # a run of COVER tokens holds a window at a multiple of the stride; shorter items are one folded window
+    return rows.withColumn("stride", F.when((F.col("form") == "folded") & (F.col("whole") >= COVER), COVER - WINDOW + 1).otherwise(1))
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -150,22 +158,23 @@ def contaminated(
     forms = {"raw": "item_raw", "f": "folded", "s": "slotted", "n": "numbered"}
     items = cut(items.select("item_id", "item_key", *(_tokens(a).alias(b) for a, b in forms.items())).where(F.size("item_raw") >= least_tokens))
     wanted = cut(_benchmark_windows(items))
-    sizes = [r["size"] for r in wanted.select("size").distinct().collect()] or [WINDOW]  # at most WINDOW sizes
-
+    # at most WINDOW + COVER of them
+    parts = sorted((r["form"], r["size"], r["stride"]) for r in wanted.select("form", "size", "stride").distinct().collect())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).where("text <> ''")
     split = texts.select("doc_id", "text_key", tokens_text(F.col("text")).alias("raw")).select("doc_id", "text_key", folded(F.col("raw")).alias("f"), marked(F.col("raw"), units).alias("m"))
     split = split.select("doc_id", "text_key", "f", slotted(F.col("m")).alias("s")).select("doc_id", "text_key", _hashes("f").alias("hf"), _hashes("s").alias("hs"))
-    # the windows of all sizes and of both forms stand in one array: position p of n tokens at size w is p mod (n - w + 1)
-    parts = [windows(F.col(c), size) for size in sizes for c in ("hf", "hs")]
+    columns = {"folded": "hf", "slotted": "hs"}
+    found = [windows(F.col(columns[form]), size, stride) for form, size, stride in parts] or [windows(F.col("hf"), WINDOW)]
     # the size stands below the explode, which would else carry the whole array with every window
     split = split.select("doc_id", "text_key", F.size("hf").alias("n"), "hf", "hs")
-    hits = split.select("doc_id", "text_key", "n", F.posexplode(F.concat(*parts)).alias("at", "h")).join(_few(wanted), "h")
+    hits = split.select("doc_id", "text_key", "n", F.posexplode(F.concat(*found)).alias("at", "h")).join(_few(wanted), "h")
+    # the windows of all parts stand in one array
     pos, before = F.lit(None).cast("int"), F.lit(0)
-    for size in sizes:
-        each = F.greatest(F.col("n") - size + 1, F.lit(0))
-        here = (F.col("at") >= before) & (F.col("at") < before + 2 * each) & (F.col("size") == size)
-        pos = F.when(here, F.pmod(F.col("at") - before, F.greatest(each, F.lit(1)))).otherwise(pos)
-        before = before + 2 * each
+    for form, size, stride in parts:
+        each = F.when(F.col("n") >= size, F.floor((F.col("n") - size) / stride).cast("int") + 1).otherwise(0)
+        here = (F.col("form") == form) & (F.col("size") == size) & (F.col("stride") == stride) & (F.col("at") >= before) & (F.col("at") < before + each)
+        pos = F.when(here, (F.col("at") - before) * stride).otherwise(pos)
+        before = before + each
     hits = hits.select("doc_id", "text_key", "item_key", "whole", "item_pos", "size", pos.alias("pos")).where("pos IS NOT NULL")
     aligned = hits.groupBy("doc_id", "text_key", "item_key", "whole", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.min("item_pos").alias("lo"), F.max(F.col("item_pos") + F.col("size")).alias("hi"))
 

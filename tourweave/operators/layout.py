@@ -188,22 +188,30 @@ def group_rows(words: DataFrame) -> DataFrame:
     """Words of a line: sorted by height, a word joins the last row if it is within 0.55 of the
     smaller of their heights from the row's running mean.
 
-    The threshold depends on the row so far, so pages are folded one at a time.
+    The threshold depends on the row so far: a page's words are gathered into one array, whose
+    heights alone are folded in Python, many pages a batch; the words stay where they are.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["yd", "x", "word_id"], kind="stable")
-        ids, row, mean, height, n = [], -1, 0.0, 0.0, 0
-        for yd, h in zip(pdf["yd"], pdf["h"]):
-            if row >= 0 and abs(mean - yd) <= 0.55 * min(height, h):
-                mean, height, n = (mean * n + yd) / (n + 1), max(height, h), n + 1
-            else:
-                row, mean, height, n = row + 1, yd, h, 1
-            ids.append(row)
-        return pd.DataFrame({"page_id": pdf["page_id"].to_numpy(), "word_id": pdf["word_id"].to_numpy(), "row_id": ids})
-
-    rows = words.select("page_id", "word_id", "yd", "x", "h").groupBy("page_id").applyInPandas(fold, "page_id long, word_id long, row_id long")
-    return words.join(rows, ["page_id", "word_id"])
+    @F.pandas_udf("array<long>")
+    def fold(ys: pd.Series, hs: pd.Series) -> pd.Series:
+        out = []
+        for page_ys, page_hs in zip(ys, hs):
+            ids, row, mean, height, n = [], -1, 0.0, 0.0, 0
+            for yd, h in zip(page_ys.tolist(), page_hs.tolist()):
+                if row >= 0 and abs(mean - yd) <= 0.55 * min(height, h):
+                    mean, height, n = (mean * n + yd) / (n + 1), max(height, h), n + 1
+                else:
+                    row, mean, height, n = row + 1, yd, h, 1
+                ids.append(row)
+            out.append(ids)
+        return pd.Series(out)
+
+    first = ("yd", "x", "word_id")
+    rest = [c for c in words.columns if c not in (*first, "page_id")]
+    pages = words.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias("w"))
+    held = pages.select("page_id", "w", fold(F.col("w.yd"), F.col("w.h")).alias("r"))
+    numbered = held.select("page_id", F.explode(F.arrays_zip("w", "r")).alias("z"))
+    return numbered.select("page_id", *(F.col(f"z.w.`{c}`").alias(c) for c in words.columns if c != "page_id"), F.col("z.r").alias("row_id"))
 
 
 def visual_rows(words: DataFrame) -> DataFrame:
@@ -221,11 +229,45 @@ def merge_regions(regions: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> D
     return islands.groupBy(*keys, "__island").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("__island")
 
 
-def unread_regions(rows: DataFrame, factor: float = 4.0) -> DataFrame:
-    """Gaps between rows of a page that are taller than ``factor`` row heights, merged."""
+def unread_regions(rows: DataFrame, bands: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """``(page_id, from, to)``: where the customer column probably lost a stop, touching regions merged.
+
+    Three kinds, by the page's usual (upper median) row height ``m``: bands without a stop taller than
+    4.5 ``m`` (``bands(page_id, from, to, n_stops)``), more than 4 ``m`` between the header and the first row
+    (``headers(page_id, header_y)``), and more than 4 ``m`` between two rows; 0.8 of a row's own
+    height stay with the row on either side.  ``rows(page_id, yd, h)``.
+    """
     order = Window.partitionBy("page_id").orderBy("yd")
-    gaps = rows.select("page_id", F.lag("yd").over(order).alias("from"), F.col("yd").alias("to"), "h").where(F.col("to") - F.col("from") > factor * F.col("h"))
-    return merge_regions(gaps.select("page_id", "from", "to"))
+    usual = rows.groupBy("page_id").agg(upper_median(F.collect_list("h")).alias("m"))
+    tall = rows.join(usual, "page_id")
+    pair = tall.select("page_id", "m", "yd", "h", F.lag("yd").over(order).alias("__y"), F.lag("h").over(order).alias("__h"))
+    start, end = F.col("__y") + 0.8 * F.col("__h"), F.col("yd") - 0.8 * F.col("h")
+    spans = pair.where(F.col("yd") - F.col("__y") > 4 * F.col("m")).select("page_id", start.alias("from"), end.alias("to"))
+    if headers is not None:
+        top = pair.where(F.col("__y").isNull()).join(headers, "page_id").where(F.col("yd") - F.col("header_y") > 4 * F.col("m"))
+        spans = spans.unionByName(top.select("page_id", F.col("header_y").alias("from"), end.alias("to")))
+    if bands is not None:
+        empty = bands.join(usual, "page_id").where((F.col("n_stops") == 0) & (F.col("to") < float("inf")) & (F.col("to") - F.col("from") > 4.5 * F.col("m")))
+        spans = spans.unionByName(empty.select("page_id", "from", "to"))
+    return merge_regions(spans)
+
+
+def region_words(words: DataFrame, regions: DataFrame, again: DataFrame) -> DataFrame:
+    """Words inside re-read strips give way to those read again, mapped back to the page.
+
+    ``regions(page_id, region_id, yd, half, slope, x0, margin, pad, scale)``: a strip around height ``yd``
+    of the page freed of its ``slope``; ``again(page_id, region_id, ...)`` has boxes in the strip's own pixels.
+    Both ends of a strip belong to it; blank words are dropped.
+    """
+    inside = F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("__slope") * (F.col("x0") + F.col("x1")) / 2 - F.col("__yd")) <= F.col("__half")
+    strips = regions.select("page_id", F.col("yd").alias("__yd"), F.col("half").alias("__half"), F.col("slope").alias("__slope"))
+    kept = words.join(strips, (words["page_id"] == strips["page_id"]) & inside, "left_anti")
+    g = again.where(F.trim(F.coalesce("text", F.lit(""))) != "").join(regions.select("page_id", "region_id", *(F.col(c).alias(f"__{c}") for c in ("yd", "half", "slope", "x0", "margin", "pad", "scale"))), ["page_id", "region_id"])
+    x = lambda u: (F.col(u) - F.col("__pad")) / F.col("__scale") + F.col("__x0") - F.col("__margin")
+    y = lambda v: (F.col(v) - F.col("__pad")) / F.col("__scale") - F.col("__margin") - F.col("__half") + F.col("__yd") + F.col("__slope") * (x("x0") + x("x1")) / 2
+    mapped = g.withColumns({"__a": F.least(x("x0"), x("x1")), "__b": F.greatest(x("x0"), x("x1")), "__c": y("y0"), "__d": y("y1")})
+    mapped = mapped.withColumns({"x0": F.col("__a"), "x1": F.col("__b"), "y0": F.col("__c"), "y1": F.col("__d")})
+    return kept.unionByName(mapped.select(*words.columns))
 
 
 def replace_region_words(words: DataFrame, regions: DataFrame, again: DataFrame) -> DataFrame:
@@ -243,11 +285,14 @@ def replace_column_words(words: DataFrame, again: DataFrame, column: str = "cust
 
 
 def smooth(knots: DataFrame) -> DataFrame:
-    """Median of three over ``knots(page_id, y, slope)``; unknown slopes take the nearest known one before, else after."""
+    """Median of three over ``knots(page_id, y, slope)``; unknown slopes take the known one that is nearest in ``y``, of two the one before; 0 if none is known."""
     order = Window.partitionBy("page_id").orderBy("y")
-    before = F.last("slope", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("slope", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    known = knots.withColumn("slope", F.coalesce(before, after))
+    knot = F.when(F.col("slope").isNotNull(), F.struct("y", "slope"))
+    before = F.last(knot, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(knot, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    both = knots.withColumn("__a", before).withColumn("__b", after)
+    nearer = F.coalesce(F.col("__b.y") - F.col("y") < F.col("y") - F.col("__a.y"), F.col("__a").isNull())
+    known = both.withColumn("slope", F.coalesce(F.when(nearer, F.col("__b.slope")).otherwise(F.col("__a.slope")), F.lit(0.0))).drop("__a", "__b")
     three = F.filter(F.array(F.lag("slope").over(order), F.col("slope"), F.lead("slope").over(order)), lambda x: x.isNotNull())
     return known.withColumn("slope", upper_median(three))
 

@@ -14,6 +14,8 @@ from ..operators.stats import is_open
 
 MAX_STOPS = 80
 MAX_SNAP_METRES = 1500
+#: What of a stop must not change between the calculation of a plan and its use.
+FINGERPRINT = ("stop_id", "name", "address", "postal", "status", "note", "completed_at", "delivery_type", "delivery_review", "delivery_source")
 
 
 def _finite(c: Column) -> Column:
@@ -117,13 +119,19 @@ def valid_snapshot(version: Column, order: Column, points: Column, before: Colum
 
 
 def tour_keys(stops: DataFrame) -> DataFrame:
-    """``(tour_id, tour_key, fingerprint)``: what a map belongs to, and what a plan was made from."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    """``(tour_id, tour_key, fingerprint)``: what a map belongs to, and what a plan was made from.
+
+    The fingerprint is over the tour's id and ten fields of each stop in order; a missing column
+    counts as empty texts, a missing ``completed_at`` as not completed (null).
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in stops.columns else F.lit("")
+    completed = F.col("completed_at").cast("string") if "completed_at" in stops.columns else F.lit(None).cast("string")
     short = F.struct("pos", F.array(text("stop_id"), text("name"), text("address"), text("postal")).alias("k"))
-    full = F.struct("pos", F.array(*(text(c) for c in ("stop_id", "name", "address", "postal", "delivery_type", "note", "status"))).alias("k"))
-    grouped = stops.groupBy("tour_id").agg(F.sort_array(F.collect_list(short)).alias("a"), F.sort_array(F.collect_list(full)).alias("b"))
-    keys = lambda c: F.to_json(F.transform(c, lambda x: x["k"]))
-    return grouped.select("tour_id", keys("a").alias("tour_key"), F.sha2(keys("b"), 256).alias("fingerprint"))
+    fields = [completed if c == "completed_at" else text(c) for c in FINGERPRINT]
+    grouped = stops.groupBy("tour_id").agg(F.sort_array(F.collect_list(short)).alias("a"), F.sort_array(F.collect_list(F.struct("pos", F.array(*fields).alias("k")))).alias("b"))
+    keys = lambda c: F.transform(c, lambda x: x["k"])
+    whole = F.to_json(F.struct(F.col("tour_id").cast("string").alias("id"), keys("b").alias("stops")), {"ignoreNullFields": "false"})
+    return grouped.select("tour_id", F.to_json(keys("a")).alias("tour_key"), F.sha2(whole, 256).alias("fingerprint"))
 
 
 def commit_orders(stops: DataFrame, orders: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFrame]:

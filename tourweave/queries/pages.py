@@ -103,12 +103,20 @@ def page_bands(spark, d):
     return Y.bands_from_rows(rows).select("page_id", "band_id", "from", "has_postal")
 
 
-@query("unread_regions", "WITH " + WORDS_SQL + """, r AS (SELECT DISTINCT page_id, y0 AS yd FROM words), g AS (SELECT page_id, lag(yd) OVER (PARTITION BY page_id ORDER BY yd) AS a, yd AS b FROM r),
-k AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY page_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS fresh FROM g WHERE b - a > 48),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY a) AS island FROM k) SELECT page_id, min(a) AS "from", max(b) AS "to" FROM i GROUP BY page_id, island""")
+@query("unread_regions", "WITH " + WORDS_SQL + """, r AS (SELECT page_id, y0 AS yd, CASE WHEN y0 % 36 = 0 THEN 10.0 ELSE 15.0 END::DOUBLE AS h FROM words GROUP BY ALL),
+m AS (SELECT page_id, list_sort(list(h))[count(*) // 2 + 1] AS m, min(yd) AS top, arg_min(h, yd) AS top_h FROM r GROUP BY 1),
+p AS (SELECT page_id, lag(yd) OVER w AS y, lag(h) OVER w AS yh, yd, h FROM r WINDOW w AS (PARTITION BY page_id ORDER BY yd)),
+g AS (SELECT page_id, y + 0.8::DOUBLE * yh AS a, yd - 0.8::DOUBLE * h AS b FROM p JOIN m USING (page_id) WHERE yd - y > 4 * m
+  UNION ALL SELECT page_id, -30.0, top - 0.8::DOUBLE * top_h FROM m WHERE top + 30 > 4 * m
+  UNION ALL SELECT page_id, x, x + 90.0 FROM m, (VALUES (100.0::DOUBLE), (400.0)) AS v(x) WHERE page_id % 3 = 0 AND 90 > 4.5::DOUBLE * m),
+k AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS fresh FROM g),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM k) SELECT page_id, min(a)::DOUBLE AS "from", max(b)::DOUBLE AS "to" FROM i GROUP BY page_id, island""")
 def unread_regions(spark, d):
-    rows = words(spark, d).select("page_id", F.col("y0").alias("yd"), F.lit(12.0).alias("h")).distinct()
-    return Y.unread_regions(rows)
+    """Rows of two heights; the header 30 above the page; every third page has two bands without a stop and one with."""
+    rows = words(spark, d).select("page_id", F.col("y0").alias("yd"), F.when(F.col("y0") % 36 == 0, 10.0).otherwise(15.0).alias("h")).distinct()
+    pages = rows.select("page_id").distinct()
+    band = lambda a, n: pages.where("page_id % 3 = 0").select("page_id", F.lit(a).alias("from"), F.lit(a + 90).alias("to"), F.lit(n).alias("n_stops"))
+    return Y.unread_regions(rows, band(100.0, 0).union(band(400.0, 0)).union(band(250.0, 1)), pages.select("page_id", F.lit(-30.0).alias("header_y")))
 
 
 @query("region_words", "WITH " + WORDS_SQL + """SELECT page_id, word_id FROM words WHERE NOT ((y0 + y1) / 2 BETWEEN 200 AND 300 AND page_id % 2 = 0) UNION ALL SELECT page_id, -word_id FROM words WHERE (y0 + y1) / 2 BETWEEN 200 AND 300 AND page_id % 2 = 0""")
@@ -143,7 +151,8 @@ def header_slopes(spark, d):
 
 
 @query("smoothed_slopes", "WITH " + WORDS_SQL + """, k AS (SELECT page_id, y0 AS y, max(CASE WHEN word_id % 3 <> 0 THEN x0 / 64 END) AS s FROM words GROUP BY 1, 2),
-f AS (SELECT page_id, y, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY y), first_value(s IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY y ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS s FROM k),
+n AS (SELECT a.page_id, a.y, b.s, row_number() OVER (PARTITION BY a.page_id, a.y ORDER BY abs(a.y - b.y), b.y) AS i FROM k a JOIN k b ON a.page_id = b.page_id AND b.s IS NOT NULL),
+f AS (SELECT k.page_id, k.y, coalesce(n.s, 0) AS s FROM k LEFT JOIN n ON n.page_id = k.page_id AND n.y = k.y AND i = 1),
 t AS (SELECT page_id, y, list_sort(list_filter([lag(s) OVER w, s, lead(s) OVER w], lambda v: v IS NOT NULL)) AS l FROM f WINDOW w AS (PARTITION BY page_id ORDER BY y))
 SELECT page_id, y, l[len(l) // 2 + 1] AS slope FROM t""")
 def smoothed_slopes(spark, d):

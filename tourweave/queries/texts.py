@@ -103,13 +103,14 @@ def look_back(spark, d):
 @query("imported_stops", "WITH " + LISTS_SQL + """
 SELECT doc_id, count(*) AS n_stops, string_agg(concat(CASE k % 5 WHEN 0 THEN 'Sparkassegasse ' WHEN 1 THEN 'Horner Straße ' WHEN 2 THEN 'Gratzl ' WHEN 3 THEN 'Am Stadtplatz ' ELSE 'Lindenweg ' END,
   CAST(k % 90 + 1 AS VARCHAR), CASE WHEN k % 6 = 1 AND k % 5 = 1 THEN ' / 3' WHEN k % 6 = 1 THEN '/3' ELSE '' END), ';' ORDER BY n) AS addresses,
-  string_agg(concat(CAST(2000 + k % 7000 AS VARCHAR), ' Hollabrunn'), ';' ORDER BY n) AS postals FROM list_lines GROUP BY doc_id""")
+  string_agg(concat(CAST(2000 + k % 7000 AS VARCHAR), ' Hollabrunn'), ';' ORDER BY n) AS postals,
+  string_agg(concat('Firma Nummer', CAST(k AS VARCHAR), ' - Haus'), ';' ORDER BY n) AS names, count(*) FILTER (false) AS n_reviews FROM list_lines GROUP BY doc_id""")
 def imported_stops(spark, d):
     """All stops of the lists; their parts come back whatever noise stood between.  Door numbers are
     drawn together, except where the street's word stands alone and the line is taken as it is."""
-    found = importer.parse_stops(lists(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_stops"), F.sort_array(F.collect_list(F.struct("pos", "address", "postal"))).alias("s"))
+    found = importer.parse_stops(lists(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_stops"), F.sort_array(F.collect_list(F.struct("pos", "address", "postal", "name"))).alias("s"), F.count_if("needs_review").alias("n_reviews"))
     part = lambda k: F.array_join(F.transform("s", lambda s: s[k]), ";")
-    return found.select("doc_id", "n_stops", part("address").alias("addresses"), part("postal").alias("postals"))
+    return found.select("doc_id", "n_stops", part("address").alias("addresses"), part("postal").alias("postals"), part("name").alias("names"), "n_reviews")
 
 
 @query("structured_lists", """

@@ -177,12 +177,26 @@ def address_keys(spark, d):
     return P.stops(spark, d).groupBy(key.alias("address_key")).agg(F.count("*").alias("n_stops"), F.count_distinct("tour_id").alias("n_tours"))
 
 
-@query("tour_keys", S + """
-SELECT tour_id, to_json(list([CAST(stop_id AS VARCHAR), name, address, coalesce(postal, '')] ORDER BY pos))::VARCHAR AS tour_key,
-       sha256(to_json(list([CAST(stop_id AS VARCHAR), name, address, coalesce(postal, ''), delivery_type, note, status] ORDER BY pos))::VARCHAR) AS fingerprint
-FROM stops GROUP BY tour_id""")
+#: Stops with the fields that only fingerprints need: notes of reviews, sources, times of completion.
+REVIEWED_SQL = """, reviewed AS (SELECT *, CASE WHEN stop_id % 10 = 0 THEN 'bitte prüfen' ELSE '' END AS delivery_review, CASE WHEN stop_id % 6 = 0 THEN 'pdf' ELSE '' END AS delivery_source,
+  CASE WHEN status IN ('done', 'not_delivered') THEN concat('2024-01-0', CAST(stop_id % 9 + 1 AS VARCHAR), 'T10:00:00.000Z') END AS completed_at FROM stops)
+"""
+#: The fingerprint as the original states it: id and ten fields of each stop, in this order.
+FINGERPRINT_SQL = """sha256(to_json({'id': CAST(tour_id AS VARCHAR), 'stops': list([CAST(stop_id AS VARCHAR), name, address, coalesce(postal, ''), status, note, completed_at, delivery_type, delivery_review, delivery_source] ORDER BY pos)})::VARCHAR)"""
+
+
+def reviewed(spark, d):
+    k, done = F.col("stop_id"), F.col("status").isin("done", "not_delivered")
+    return P.stops(spark, d).select(
+        "*", F.when(k % 10 == 0, "bitte prüfen").otherwise("").alias("delivery_review"), F.when(k % 6 == 0, "pdf").otherwise("").alias("delivery_source"),
+        F.when(done, F.concat(F.lit("2024-01-0"), (k % 9 + 1).cast("string"), F.lit("T10:00:00.000Z"))).alias("completed_at"),
+    )
+
+
+@query("tour_keys", S + REVIEWED_SQL + f"""
+SELECT tour_id, to_json(list([CAST(stop_id AS VARCHAR), name, address, coalesce(postal, '')] ORDER BY pos))::VARCHAR AS tour_key, {FINGERPRINT_SQL} AS fingerprint FROM reviewed GROUP BY tour_id""")
 def tour_keys(spark, d):
-    return routes.tour_keys(P.stops(spark, d))
+    return routes.tour_keys(reviewed(spark, d))
 
 
 @query("marker_groups", SP + """
@@ -343,14 +357,24 @@ def undone_tours(spark, d):
     return routes.undo(stops, current.withColumn("before", F.reverse("after"))).select("tour_id", "stop_id", "pos")
 
 
-@query("committed_tours", S + """
-SELECT tour_id, stop_id, CASE WHEN tour_id % 2 = 0 OR bool_or(status NOT IN ('pending', 'later')) OVER (PARTITION BY tour_id) THEN pos ELSE max(pos) OVER (PARTITION BY tour_id) - pos END AS pos FROM stops""")
+@query("committed_tours", S + REVIEWED_SQL + f""", old AS (SELECT tour_id, {FINGERPRINT_SQL} AS f FROM reviewed GROUP BY tour_id),
+later AS (SELECT * REPLACE (CASE WHEN tour_id % 4 = 1 AND pos = 0 THEN 'x' ELSE delivery_review END AS delivery_review, CASE WHEN tour_id % 4 = 2 AND pos = 0 THEN 'x' ELSE delivery_source END AS delivery_source,
+  CASE WHEN tour_id % 4 = 3 AND pos = 0 THEN '2025-01-01T00:00:00.000Z' ELSE completed_at END AS completed_at) FROM reviewed),
+now AS (SELECT tour_id, {FINGERPRINT_SQL} AS g FROM later GROUP BY tour_id)
+SELECT tour_id, stop_id, CASE WHEN f <> g OR bool_or(status NOT IN ('pending', 'later')) OVER (PARTITION BY tour_id) THEN pos ELSE max(pos) OVER (PARTITION BY tour_id) - pos END AS pos
+FROM later JOIN old USING (tour_id) JOIN now USING (tour_id)""")
 def committed_tours(spark, d):
-    """All stops reversed; even tours were changed meanwhile, and tours with closed stops are refused."""
-    stops = P.stops(spark, d)
-    prints = routes.tour_keys(stops).select("tour_id", F.when(F.col("tour_id") % 2 == 0, "stale").otherwise(F.col("fingerprint")).alias("fingerprint"))
-    orders = stops.groupBy("tour_id").agg(F.reverse(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stop_id"))), lambda s: s["stop_id"])).alias("ids"))
-    return routes.commit_orders(stops, orders, prints)[0].select("tour_id", "stop_id", "pos")
+    """All stops reversed.  Of four tours one is as it was; the others had a review note, a source or a
+    time of completion changed meanwhile.  Tours with closed stops are refused."""
+    before = reviewed(spark, d)
+    first = lambda r: (F.col("tour_id") % 4 == r) & (F.col("pos") == 0)
+    now = before.withColumns({
+        "delivery_review": F.when(first(1), "x").otherwise(F.col("delivery_review")),
+        "delivery_source": F.when(first(2), "x").otherwise(F.col("delivery_source")),
+        "completed_at": F.when(first(3), "2025-01-01T00:00:00.000Z").otherwise(F.col("completed_at")),
+    })
+    orders = now.groupBy("tour_id").agg(F.reverse(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stop_id"))), lambda s: s["stop_id"])).alias("ids"))
+    return routes.commit_orders(now, orders, routes.tour_keys(before).select("tour_id", "fingerprint"))[0].select("tour_id", "stop_id", "pos")
 
 
 @query("visit_numbers", S + "," + ANSWERS_SQL + """

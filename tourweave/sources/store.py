@@ -34,8 +34,12 @@ def meta_values(meta: DataFrame, **keys: str) -> DataFrame:
 
 
 class Store:
-    """Named tables in a folder.  A write goes to a new version; a small pointer file, replaced
-    last, says which one counts, so readers see all of a write or none.  One writer at a time."""
+    """Named tables in a folder.
+
+    A write goes to a new version.  Then a pointer of the next number is published by one rename to
+    a name that is not taken; the highest complete pointer counts.  So a reader, and a writer after a crash
+    at any step, finds all of a write or the table before it.  One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -44,9 +48,19 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def _current(self, name: str) -> str | None:
+    def _pointers(self, name: str) -> list[tuple[int, str]]:
+        """``(number, file)`` of the published pointers, the newest first."""
         fs, path = self._fs()
-        return self.spark.read.text(f"{self.folder}/{name}/current").first()[0] if fs.exists(path(f"{self.folder}/{name}/current")) else None
+        folder = path(f"{self.folder}/{name}")
+        files = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(((int(f[8:]), f) for f in files if f.startswith("pointer-")), reverse=True)
+
+    def _current(self, name: str) -> str | None:
+        for _, file in self._pointers(name):
+            held = self.spark.read.text(f"{self.folder}/{name}/{file}").collect()  # one line
+            if len(held) == 1 and len(held[0][0]) == 32:
+                return held[0][0]
+        return None
 
     def read(self, name: str) -> DataFrame | None:
         version = self._current(name)
@@ -55,15 +69,14 @@ class Store:
     def write(self, name: str, df: DataFrame) -> None:
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/{name}/{version}")
+        number = max([0, *(n for n, _ in self._pointers(name))]) + 1
         fs, path = self._fs()
-        draft = path(f"{self.folder}/{name}/{version}.pointer")
+        draft = path(f"{self.folder}/{name}/{version}.draft")
         out = fs.create(draft, True)
         out.write(bytearray(version.encode()))
         out.close()
-        current = path(f"{self.folder}/{name}/current")
-        if fs.exists(current):
-            fs.delete(current, False)
-        fs.rename(draft, current)
+        if not fs.rename(draft, path(f"{self.folder}/{name}/pointer-{number:012d}")):
+            raise OSError(f"{name}: the new version could not be published")
 
     def put(self, name: str, rows: DataFrame, *keys: str) -> None:
         old = self.read(name)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN = ("pending", "later")
+ACTIONS = ("done", "not_delivered", "later", "reset")
 STATE = "tour_id long, stop_ids array<long>, statuses array<string>, current_index int, n_events long, n_navigations long"
 COLUMNS = [field.split()[0] for field in STATE.split(", ")]
 
@@ -58,19 +59,26 @@ def _in_order(events: pd.DataFrame) -> pd.Series:
 
 
 def replay(stops: DataFrame, events: DataFrame, navigate: bool = True) -> DataFrame:
-    """The state of every tour after all its events; tours without stops are left out."""
+    """The state of every tour after all its events; tours without stops are left out.
 
-    def fold(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        mine = mine.sort_values("pos")
-        if not len(mine):
-            return pd.DataFrame(columns=COLUMNS)
-        tour = Tour(mine["stop_id"].tolist(), mine["status"].tolist())
-        for action in _in_order(told):
-            tour.apply(action, navigate)
-        return pd.DataFrame([tour.row(mine["tour_id"].iloc[0])], columns=COLUMNS)
+    A tour is one row, its stops and its known actions arrays in order; many tours are folded a batch.
+    """
 
-    told = events.select("tour_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "action")
-    return stops.select("tour_id", "pos", "stop_id", "status").groupBy("tour_id").cogroup(told.groupBy("tour_id")).applyInPandas(fold, STATE)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for tour_id, ids, statuses, actions in zip(b["tour_id"], b["ids"], b["statuses"], b["actions"]):
+                tour = Tour(ids.tolist(), statuses.tolist())
+                for action in actions if actions is not None else ():
+                    tour.apply(action, navigate)
+                out.append(tour.row(tour_id))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    mine = stops.groupBy("tour_id").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_id", "status"))).alias("s"))
+    known = events.where(F.col("action").isin(*ACTIONS))
+    told = known.groupBy("tour_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "action"))).alias("e"))
+    rows = mine.join(told, "tour_id", "left").select("tour_id", F.col("s.stop_id").alias("ids"), F.col("s.status").alias("statuses"), F.col("e.action").alias("actions"))
+    return rows.mapInPandas(fold, STATE)
 
 
 def last_status(events: DataFrame) -> DataFrame:
