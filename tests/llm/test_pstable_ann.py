@@ -57,3 +57,9 @@ def test_odd_rows(spark):
     out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in m.search(df, F.col("vec_id") % 100 == 0).collect())
     assert out == [(0, 1, 200, 0.0), (0, 2, 7, 0.5), (200, 1, 0, 0.0), (200, 2, 7, 0.5)]
     assert m.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_blocks_of_visitors_change_nothing(spark, clustered):
+    df, _ = clustered
+    rows = lambda **o: sorted(map(tuple, m.search(df, F.col("vec_id") % 5 == 0, cell_rows=64, **o).collect()))
+    assert rows(cell_queries=7) == rows()

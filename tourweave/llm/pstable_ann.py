@@ -11,7 +11,8 @@ ranked by exact Euclidean distances in double precision.
 
 Every row is indexed.  Buckets are dealt to cells of about ``cell_rows`` index rows by a hash;
 a bucket larger than that is split over several cells by a hash of the id, and its visitors
-visit each part.  A cell returns the k nearest it has for a query, which loses nothing.  A
+visit each part.  A cell with more than ``cell_queries`` visitors is worked on in blocks of its visitors,
+so no group grows with the table.  A cell returns the k nearest it has for a query, which loses nothing.  A
 query with fewer than k candidates is run again over all cells, exactly.
 
 Edge cases: vectors that are null, zero, of another length than most, or that hold null, NaN
@@ -103,7 +104,7 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 2, hashes: int = 8, target: float = 0.95, cell_rows: int = 2048, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 2, hashes: int = 8, target: float = 0.95, cell_rows: int = 2048, cell_queries: int = 4096, seed: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows that ``is_query`` (a condition on ``vec_id``) picks."""
     schema = "query_id long, vec_id long, score double"
     rows = cut(usable(vectors, id_col, vector_col))
@@ -141,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     queries = cut(rows.where(is_query).mapInArrow(probe, "query_id long, q binary, keys array<long>"))
     visits = queries.select("query_id", F.explode("keys").alias("key")).join(large, "key", "left")
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-    visits = visits.select(cell, "query_id", "key").groupBy("cell", "query_id").agg(F.collect_set("key").alias("keys")).join(queries.select("query_id", "q"), "query_id")
+    visits = visits.select(cell, "query_id", "key").groupBy("cell", "query_id").agg(F.collect_set("key").alias("keys"))
 
     def best(own: int, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
         ids, first = np.unique(ids, return_index=True)  # in another table it is the same row
@@ -167,17 +168,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                     out.append(best(own, np.frombuffer(raw), ids[hit], x[hit]))
         return pd.concat(out)
 
+    def searched(visits: DataFrame) -> DataFrame:
+        """The k nearest of each query in every cell of ``visits(cell, query_id, keys)``."""
+        visits = cut(visits)
+        crowded = cut(visits.groupBy("cell").count().where(F.col("count") > cell_queries).select("cell", F.ceil(F.col("count") / cell_queries).cast("int").alias("blocks")))
+        crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_BUCKETS else crowded
+        blocks = F.coalesce("blocks", F.lit(1))
+        held = dealt.join(crowded, "cell", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+        asked = visits.join(crowded, "cell", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).drop("blocks")
+        asked = asked.join(queries.select("query_id", "q").distinct(), "query_id")
+        group = ("cell", "block")
+        return ranked(held.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(nearest, schema))
+
     def ranked(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = cut(ranked(dealt.groupBy("cell").cogroup(visits.groupBy("cell")).applyInPandas(nearest, schema)))
+    found = cut(searched(visits))
     full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    short = cut(queries.select("query_id", "q").distinct().join(full, "query_id", "left_anti"))
+    short = cut(queries.select("query_id").distinct().join(full, "query_id", "left_anti"))
     if count > 1 and not short.isEmpty():
-        everywhere = short.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("cell", "query_id", F.lit(None).cast("array<long>").alias("keys"), "q")
-        again = ranked(dealt.groupBy("cell").cogroup(everywhere.groupBy("cell")).applyInPandas(nearest, schema))
-        found = found.join(short, "query_id", "left_anti").unionByName(again)
+        everywhere = short.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("cell", "query_id", F.lit(None).cast("array<long>").alias("keys"))
+        found = found.join(short, "query_id", "left_anti").unionByName(searched(everywhere))
     return found
 
 
