@@ -42,8 +42,9 @@ from .common import cut, internal, table
 from .components import connected_components
 
 SEED = 42
-#: Distinct fingerprints that a shard should hold at home.
-SHARD_TARGET = 2048
+#: Distinct fingerprints that a shard should hold at home: the least and the most, and how many
+#: shards there are between.  Visitors grow with about the root of the number of shards, so shards grow first.
+SHARD_TARGET, SHARD_MOST, SHARDS = 2048, 65_536, 4096
 #: The driver holds this many sampled fingerprints (8 bytes each) at most.
 SAMPLE_MAX = 1 << 18
 SAMPLE_PER_SHARD = 32
@@ -183,18 +184,20 @@ def shard_components(fps: np.ndarray, is_home: np.ndarray, radius: int, seed: in
     return union.root
 
 
-def links(distinct: DataFrame, radius: int = 2, shard_target: int = SHARD_TARGET) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, shard_target: int | None = None) -> DataFrame:
     """``(u, v)``: a spanning set of the links among the distinct values of ``distinct.fp``."""
     count = distinct.count()
+    shard_target = shard_target or max(SHARD_TARGET, min(SHARD_MOST, -(-count // SHARDS)))
     leaves = max(1, -(-count // shard_target))
     size = min(SAMPLE_MAX, SAMPLE_PER_SHARD * leaves)
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(size) if leaves > 1 else distinct.limit(1)
     tree = VantagePointTree(np.array([r[0] for r in sample.collect()], np.int64).view(np.uint64), leaves, radius)
+    shipped = distinct.sparkSession.sparkContext.broadcast(tree)  # two small numbers a node, SAMPLE_MAX nodes at most
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column("fp").to_numpy().view(np.uint64)
-            for leaf, home, visit in tree.route(fps):
+            for leaf, home, visit in shipped.value.route(fps):
                 rows = np.concatenate([home, visit])
                 columns = [np.full(len(rows), leaf, np.int32), fps[rows].view(np.int64), np.arange(len(rows)) < len(home)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "fp", "home"])
@@ -211,7 +214,7 @@ def links(distinct: DataFrame, radius: int = 2, shard_target: int = SHARD_TARGET
     return routed.groupBy("shard").applyInPandas(join, "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, shard_target: int = SHARD_TARGET) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, shard_target: int | None = None) -> DataFrame:
     """``(doc_id, text_key, fp, component_id, root)``, a row per row of ``docs``.
 
     ``component_id`` is the least ``doc_id`` reachable, ``root`` names the component itself.
