@@ -6,6 +6,8 @@ a nested loop over all pages.  Closures of a layout are coefficients here.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -343,21 +345,25 @@ def match_rereads(rereads: DataFrame, evidence: DataFrame) -> DataFrame:
 
     In order of position: the same address if only one unused row has it, else the one unused
     row within twice the taller height; otherwise none.  What is used depends on earlier
-    choices, so pages are folded one at a time.
+    choices: a page is one row with its stops and its evidence as arrays, many pages a batch.
     """
-    schema = "page_id long, pos long, evidence_id long"
 
-    def fold(stops: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
+    def match(stops, free: list) -> list[tuple]:
         out = []
-        for s in stops.sort_values("pos").itertuples():
-            free = rows[~rows["evidence_id"].isin(used)]
-            fit = free[(free["address"] == s.address) & (free["address"] != "")]
+        for s in stops:
+            fit = [e for e in free if s["address"] and e["address"] == s["address"]]
             if len(fit) != 1:
-                fit = free[(free["yd"] - s.yd).abs() < 2 * free["h"].clip(lower=s.h)]
+                fit = [e for e in free if abs(e["yd"] - s["yd"]) < 2 * max(e["h"], s["h"])]
             if len(fit) == 1:
-                used.add(fit["evidence_id"].iloc[0])
-                out.append((s.page_id, s.pos, fit["evidence_id"].iloc[0]))
-        return pd.DataFrame(out, columns=["page_id", "pos", "evidence_id"])
-
-    return rereads.groupBy("page_id").cogroup(evidence.groupBy("page_id")).applyInPandas(fold, schema)
+                free.remove(fit[0])
+                out.append((s["pos"], fit[0]["evidence_id"]))
+        return out
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(page, *m) for page, stops, held in zip(b["page_id"], b["s"], b["e"]) for m in match(stops, list(held))]
+            yield pd.DataFrame(out, columns=["page_id", "pos", "evidence_id"])
+
+    gathered = lambda df, name, *fields: df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    both = gathered(rereads, "s", "pos", "address", "yd", "h").join(gathered(evidence, "e", "evidence_id", "address", "yd", "h"), "page_id")
+    return both.mapInPandas(fold, "page_id long, pos long, evidence_id long")
