@@ -1,6 +1,7 @@
 """Whole pages, streams, stores and pixels."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,32 +158,71 @@ def test_components_by_flood():
 def test_rules_go_and_letters_stay():
     g = np.full((60, 120), 255.0)
     g[20:40, 30:40] = 0  # a letter
-    g[0:60, 5] = 0  # a rule
+    g[2:58, 15] = 0  # a rule
     g[30, 80] = 0  # a dot
+    g[0:20, 100:110] = 0  # cut by the edge
+    g[22:38, 60:70] = 160  # grey: ink at 165 only
     out = raster.clear_rules(g, 20)
-    assert (out[20:40, 30:40] == 0).all() and (out[:, 5] == 255).all() and out[30, 80] == 255
+    assert set(np.unique(out)) == {0, 255} and (out[20:40, 30:40] == 0).all() and (out[22:38, 60:70] == 0).all()
+    assert (out == 0).sum() == 200 + 160
+    assert (raster.clear_rules(g, 20, threshold=135) == 0).sum() == 200
 
 
-def test_shear_is_found_and_undone():
-    g = np.full((200, 300), 255.0)
-    for y in range(20, 180, 20):
-        for x in range(300):
-            at = int(round(y + 0.04 * x))
-            if at + 3 < 200:
+def test_what_a_cell_keeps():
+    g = np.full((60, 120), 255.0)
+    g[10:30, 30:40] = 0  # half of it within 20 to 50
+    g[22:40, 60:70] = 0
+    g[25:40, 100:110] = 0  # right of the cell
+    g[41, 62] = 0  # a speck below a letter
+    keep = (20, 21, 90, 50)
+    assert (raster.clear_rules(g, 20, keep=keep) == 0).sum() == 180
+    assert (raster.clear_rules(g, 20, keep=keep, keep_specks=True) == 0).sum() == 180 + 1 + 200
+    assert (raster.clear_rules(g, 20, keep=(20, 22, 90, 50), keep_specks=True) == 0).sum() == 181
+
+
+def slanted(slope, height=200, width=300):
+    g = np.full((height, width), 255.0)
+    for y in range(20, height - 20, 20):
+        for x in range(width):
+            at = int(round(y + slope * (x - width)))
+            if 0 <= at and at + 3 < height:
                 g[at : at + 3, x] = 0
-    knots = raster.smoothed(raster.column_shear(g, 2))
+    return g
+
+
+def test_shear_is_found_and_undone():
+    g = slanted(0.04)
+    measured = raster.column_shear(g, char_height=10)
+    assert [y for y, _ in measured] == [35, 70, 105, 140, 170] and all(s is not None for _, s in measured)
+    knots = raster.smoothed(measured)
     assert all(abs(s - 0.04) < 0.005 for _, s in knots)
     flat = raster.straighten(g, knots)
     assert ((flat < 128).sum(axis=1) > 250).sum() >= 10 > ((g < 128).sum(axis=1) > 250).sum()
+    column, taken = raster.straight_column(np.concatenate([g, np.zeros((200, 50))], axis=1), 300.0)
+    assert column.shape == (200, 300) and all(abs(s - 0.04) < 0.005 for _, s in taken)
+
+
+def test_slopes_that_are_not_known():
+    assert raster.smoothed([(0, None), (10, 0.01), (50, None), (60, 0.03), (70, 0.02)]) == [(0, 0.01), (10, 0.01), (50, 0.03), (60, 0.03), (70, 0.03)]
+    assert raster.smoothed([(5, None)]) == [(0.0, 0.0)]
+
+
+def test_words_of_a_straightened_column():
+    words = pd.DataFrame({"text": ["a", " "], "x0": [100.0, 0.0], "x1": [200.0, 1.0], "y0": [40.0, 0.0], "y1": [60.0, 1.0]})
+    (r,) = raster.straightened_words(words, [(0, 0.1)], 300.0, left=5.0, top=7.0).to_dict("records")
+    assert (r["x0"], r["x1"], r["y0"], r["y1"], r["line_x"], r["line_y"]) == (105.0, 205.0, 27.0, 57.0, 305.0, 57.0)
 
 
 def test_a_line_is_followed():
     g = np.full((60, 240), 255.0)
     for x in range(240):
-        at = 20 + int(6 * x / 240)
+        at = 22 + int(6 * x / 240)
         g[at : at + 10, x] = 0
-    path = raster.follow_line(g, 10)
-    assert abs(path[0] - 20) <= 2 and abs(path[-1] - 25) <= 2 and (np.abs(np.diff(path)) <= 1).all()
+    path, strip = raster.line_path(g, 12)
+    assert strip == 4 and len(path) == 60 and (np.abs(np.diff(path)) <= 2).all() and path[-1] - path[0] in (4, 5, 6)
+    out = raster.follow_line(g, 12)
+    rows = [np.flatnonzero(out[:, x] < 128).mean() for x in range(240)]
+    assert max(rows) - min(rows) <= 2 and raster.follow_line(g[:4], 12) is not None
 
 
 def test_images_in_arrow(spark):

@@ -330,7 +330,7 @@ def wrapped_letters(rows: DataFrame) -> DataFrame:
     """Rows with the bracketed letter that stands alone on the next row, less than 2.5 heights below."""
     order = Window.partitionBy("page_id", "band_id").orderBy("yd", "row_id")
     nxt, far = F.lead("text").over(order), F.lead("yd").over(order) - F.col("yd")
-    letter = F.regexp_extract(F.trim(nxt), r"^[(\[{]\s*([A-Za-z])\s*[)\]}]\z", 1)
+    letter = F.regexp_extract(F.trim(nxt), r"^(?:\d+\s*)?[(\[{]\s*([A-Za-z])\s*[)\]}]\z", 1)
     return rows.withColumn("wrapped", F.when((letter != "") & (far < 2.5 * F.col("h")), F.upper(letter)))
 
 
