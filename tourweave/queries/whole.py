@@ -1,15 +1,18 @@
-"""Queries about plans that are applied, evidence that is fused, and pages that are laid out.
+"""Queries about plans that are applied, evidence that is fused, pages that are laid out, and pixels.
 
 Where a result follows from how its input is made, the SQL states it from there.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import proxies as P
 from ..functions import delivery, geo, lines
-from ..operators import layout as Y, match, pages, records, stats
+from ..operators import layout as Y, match, pages, raster, records, stats
 from ..plans import routes
 from ..sources import store
 from .pages import WORDS_SQL, words
@@ -284,3 +287,98 @@ def refined_stops(spark, d):
     pages_ = spark.createDataFrame([(i, *e[0][:4], list(e[0][4])) for i, e in enumerate(EVIDENCE)], "case int, label string, number string, number_text string, confidence double, companion_numbers array<string>")
     cells = spark.createDataFrame([(i, kind, variant, 0, text, sure) for i, e in enumerate(EVIDENCE) for kind, variant, text, sure in e[1]], "case int, kind string, variant int, y_shift int, text string, confidence double")
     return delivery.refine(orders.join(F.broadcast(pages_), "case").drop("case"), orders.join(F.broadcast(cells), "case").drop("case"))
+
+
+# --- pixels -----------------------------------------------------------------------------------------
+def drawn(spark, d, draw):
+    """An image a nation, drawn from its key."""
+
+    def run(batches):
+        for b in batches:
+            for k in b["k"]:
+                g = draw(int(k))
+                yield pd.DataFrame({"image_id": [str(k)], "width": [g.shape[1]], "height": [g.shape[0]], "rgba": [raster.to_rgba(g)]})
+
+    return P.table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).mapInPandas(run, "image_id string, width int, height int, rgba binary")
+
+
+def measured(images, f, fields):
+    """``f`` of every image's brightness, a row each."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(r.image_id, *f(raster.grey(r.rgba, r.width, r.height))) for r in b.itertuples()]
+            yield pd.DataFrame(rows, columns=["image_id", *(x.split()[0] for x in fields.split(", "))])
+
+    return images.mapInPandas(run, f"image_id string, {fields}")
+
+
+def _cell(k):
+    g = np.full((60, 120), 255.0)
+    g[20:40, 30 : 35 + k % 7] = 0
+    g[2:58, 15], g[30, 80], g[0:20, 100:110] = 0, 0, 0  # a rule, a speck, a shape that the edge cuts
+    return g
+
+
+@query("cleared_cells", "SELECT CAST(n_nationkey AS VARCHAR) AS image_id, 20 * (5 + n_nationkey % 7)::BIGINT AS ink FROM nation")
+def cleared_cells(spark, d):
+    """The ink that is left of a letter beside a rule, a speck and a shape that the edge cuts."""
+    cleared = raster.map_images(drawn(spark, d, _cell), lambda g: raster.clear_rules(g, 20))
+    return measured(cleared, lambda g: (int((g < 128).sum()),), "ink long")
+
+
+def _column(k):
+    g = np.full((200, 300), 255.0)
+    for y in range(20, 180, 20):
+        at = np.round(y + (k % 5 - 2) * 0.02 * (np.arange(300) - 300)).astype(int)
+        for i in range(3):
+            g[np.clip(at + i, 0, 199), np.arange(300)] = 0
+    return g
+
+
+@query("sheared_columns", "SELECT CAST(n_nationkey AS VARCHAR) AS image_id, (n_nationkey % 5 - 2)::BIGINT AS fiftieths FROM nation")
+def sheared_columns(spark, d):
+    """The slope of a column's lines at its middle, in fiftieths."""
+    at_middle = lambda g: (int(np.floor(raster.slope_at(raster.smoothed(raster.column_shear(g, char_height=10)), np.array([100.0]))[0] * 50 + 0.5)),)
+    return measured(drawn(spark, d, _column), at_middle, "fiftieths long")
+
+
+def _line(k):
+    g = np.full((60, 240), 255.0)
+    for x in range(240):
+        at = 24 + int((k % 5 - 2) * 2 * x / 240)
+        g[at : at + 10, x] = 0
+    return g
+
+
+@query("followed_lines", "SELECT CAST(n_nationkey AS VARCHAR) AS image_id, true AS straight, 2400::BIGINT AS ink FROM nation")
+def followed_lines(spark, d):
+    """Whether a bent line runs within two points of straight once it was followed, and that no ink is lost."""
+
+    def look(g):
+        middle = [np.flatnonzero(g[:, x] < 128).mean() for x in range(g.shape[1])]
+        return max(middle) - min(middle) <= 2, int((g < 128).sum())
+
+    return measured(raster.map_images(drawn(spark, d, _line), lambda g: raster.follow_line(g, 12)), look, "straight boolean, ink long")
+
+
+# --- whole pages ------------------------------------------------------------------------------------
+@query("page_stops", """
+SELECT o_custkey AS page_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos, concat('Firma Nummer', CAST(o_orderkey AS VARCHAR)) AS name, concat('Lindenweg ', CAST(o_orderkey % 90 + 1 AS VARCHAR)) AS address,
+       concat(CAST(2000 + o_orderkey % 7000 AS VARCHAR), ' Hollabrunn') AS postal, CASE WHEN o_orderkey % 3 = 0 THEN 'Lieferpaket' ELSE 'Sommer Kollektion 38 B' END AS delivery_type, '' AS delivery_review, false AS needs_review FROM orders""")
+def page_stops(spark, d):
+    """A page a customer, ninety points a stop: its lines on the left, then what it gets, for every third
+    with the letter on the next row, and the number of a collection."""
+    k, n, text = F.col("o_orderkey"), F.col("n"), lambda c: c.cast("string")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = P.table(spark, d, "orders").withColumn("n", F.row_number().over(order) - 1)
+    word = lambda t, x, dy: F.struct((t if not isinstance(t, str) else F.lit(t)).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(dy)).alias("dy"))
+    lines_ = [word(text(n + 1), 10, 0), word("KNR:", 40, 0), word(text(k + 10_000), 90, 0), word("Firma", 10, 20), word(F.concat(F.lit("Nummer"), text(k)), 60, 20), word("Lindenweg", 10, 40), word(text(k % 90 + 1), 110, 40), word(text(k % 7000 + 2000), 10, 60), word("Hollabrunn", 60, 60)]
+    kind = k % 3
+    parcel, title, letter, number = [word("Lieferpaket", 330, 0)], [word("Sommer", 330, 0), word("Kollektion", 400, 0)], [word("(B)", 490, 0)], [word("38/2", 610, 0)]
+    got = F.when(kind == 0, F.array(*parcel)).when(kind == 1, F.array(*title, *letter, *number)).otherwise(F.array(*title, word("(B)", 330, 20), *number))
+    words_ = orders.select(F.col("o_custkey").alias("page_id"), "n", F.posexplode(F.concat(F.array(*lines_), got)).alias("i", "w"))
+    y = F.col("n") * 90 + 100 + F.col("w.dy")
+    words_ = words_.select("page_id", (F.col("n") * 100 + F.col("i")).cast("long").alias("word_id"), "w.text", "w.x0", (F.col("w.x0") + 30).alias("x1"), y.alias("y0"), (y + 12).alias("y1"), F.lit(95.0).alias("confidence"))
+    found = pages.read_pages(words_, words_.select("page_id").distinct().withColumn("width", F.lit(1000.0)))
+    return found.select("page_id", "pos", "name", "address", "postal", "delivery_type", "delivery_review", "needs_review")
