@@ -225,9 +225,24 @@ def checked_companions(spark, d):
 
 
 # --- events ---------------------------------------------------------------------------------------------------
-@query("replayed_tours")
+@query("replayed_tours", "WITH RECURSIVE " + P.STOPS_SQL + """,
+s AS (SELECT tour_id, list(stop_id ORDER BY pos) AS ids, list(status ORDER BY pos) AS st FROM stops GROUP BY tour_id),
+e AS (SELECT user_id AS tour_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'not_delivered' ELSE 'later' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
+      FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+f AS (
+  SELECT tour_id, 0::BIGINT AS i, ids, st, 0::BIGINT AS cur, 0::BIGINT AS navigations FROM s
+  UNION ALL
+  SELECT tour_id, i, ids, st, CASE WHEN later THEN least(cur, len(ids) - 1) ELSE coalesce(target, cur) END, navigations + CASE WHEN target IS NULL THEN 0 ELSE 1 END FROM (
+    SELECT *, CASE WHEN NOT later THEN coalesce(list_min(list_filter(open, lambda j: j > cur)), list_min(open)) END AS target FROM (
+      SELECT *, list_filter(range(len(st)), lambda j: st[j + 1] IN ('pending', 'later')) AS open FROM (
+        SELECT f.tour_id, e.i, f.cur, f.navigations, e.action = 'later' AS later,
+               CASE WHEN e.action = 'later' THEN f.ids[1:f.cur] || f.ids[f.cur + 2:] || [f.ids[f.cur + 1]] ELSE f.ids END AS ids,
+               CASE WHEN e.action = 'later' THEN f.st[1:f.cur] || f.st[f.cur + 2:] || ['later'] ELSE f.st[1:f.cur] || [e.action] || f.st[f.cur + 2:] END AS st
+        FROM f JOIN e ON e.tour_id = f.tour_id AND e.i = f.i + 1)))),
+z AS (SELECT tour_id, max(i) AS i FROM f GROUP BY tour_id)
+SELECT tour_id, ids AS stop_ids, st AS statuses, cur::INTEGER AS current_index, i AS n_events, navigations AS n_navigations FROM f JOIN z USING (tour_id, i)""")
 def replayed_tours(spark, d):
-    """The state of every tour after its web events; the fold is tested against single steps."""
+    """The state of every tour after its web events, folded one event at a time."""
     return live.replay(P.stops(spark, d), live.to_events(P.table(spark, d, "events")))
 
 
