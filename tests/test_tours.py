@@ -182,3 +182,31 @@ def test_snapshots_are_valid(spark):
     points = spark.createDataFrame([(1, i, 48.0, 15.0 + i, x, "n", "a") for i, x in enumerate((None, "b", "c"))], "plan_id long, pos int, lat double, lon double, id string, name string, address string")
     shot = routes.snapshots(plans, points)
     assert shot.select(routes.valid_snapshot(*(F.col(c) for c in ("version", "order", "points", "before", "after")))).first()[0]
+
+
+def test_a_crash_at_any_step_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    from tourweave.sources import store
+
+    s = store.Store(spark, str(tmp_path / "s"))
+    rows = lambda *values: spark.createDataFrame(list(values), "k long, v string")
+    s.write("t", rows((1, "old"), (2, "old")))
+    fs, path = s._fs()
+    for step in ("create", "rename"):
+
+        class Failing:
+            def __getattr__(self, name, step=step):
+                if name == step:
+                    raise OSError("crash")
+                return getattr(fs, name)
+
+        monkeypatch.setattr(s, "_fs", lambda: (Failing(), path))
+        with pytest.raises(OSError):
+            s.put("t", rows((1, "new")), "k")
+        monkeypatch.undo()
+        assert sorted(map(tuple, s.read("t").collect())) == [(1, "old"), (2, "old")]
+    (tmp_path / "s" / "t" / "pointer-000000000900").write_text("")  # a pointer that was never finished
+    assert s.read("t").count() == 2
+    s.put("t", rows((1, "new")), "k")
+    assert sorted(map(tuple, s.read("t").collect())) == [(1, "new"), (2, "old")]
+    s.remove("t", rows((2, "")), "k")
+    assert [tuple(r) for r in s.read("t").collect()] == [(1, "new")] and s.read("nothing") is None
