@@ -140,6 +140,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     cell = F.pmod(F.xxhash64("key", "part"), F.lit(cells)).cast("int").alias("cell")
     dealt = indexed.join(large, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")).select(cell, "key", "vec_id", "v")
     queries = cut(rows.where(is_query).mapInArrow(probe, "query_id long, q binary, keys array<long>"))
+    asking = queries.count()
     visits = queries.select("query_id", F.explode("keys").alias("key")).join(large, "key", "left")
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
     visits = visits.select(cell, "query_id", "key")
@@ -170,14 +171,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
 
     def searched(visits: DataFrame) -> DataFrame:
         """The k nearest of each query in every cell of ``visits(cell, query_id, key)``, or of ``visits(cell, query_id, keys)`` with null for all keys."""
+        asked = visits.groupBy("cell", "query_id").agg(F.collect_set("key").alias("keys")) if "key" in visits.columns else visits
+        asked = asked.join(queries.select("query_id", "q").distinct(), "query_id")
+        if asking <= cell_queries:  # then no cell can have more visitors
+            return ranked(dealt.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(nearest, schema))
         # the lists of keys are long, so they are made again rather than kept
         crowded = cut(visits.select("cell", "query_id").distinct().groupBy("cell").count().where(F.col("count") > cell_queries).select("cell", F.ceil(F.col("count") / cell_queries).cast("int").alias("blocks")))
         crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_BUCKETS else crowded
         blocks = F.coalesce("blocks", F.lit(1))
         held = dealt.join(crowded, "cell", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
-        asked = visits.groupBy("cell", "query_id").agg(F.collect_set("key").alias("keys")) if "key" in visits.columns else visits
         asked = asked.join(crowded, "cell", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).drop("blocks")
-        asked = asked.join(queries.select("query_id", "q").distinct(), "query_id")
         group = ("cell", "block")
         return ranked(held.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(nearest, schema))
 
