@@ -108,7 +108,9 @@ SELECT doc_id, count(*) AS n_stops, string_agg(concat(CASE k % 5 WHEN 0 THEN 'Sp
 def imported_stops(spark, d):
     """All stops of the lists; their parts come back whatever noise stood between.  Door numbers are
     drawn together, except where the street's word stands alone and the line is taken as it is."""
-    found = importer.parse_stops(lists(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_stops"), F.sort_array(F.collect_list(F.struct("pos", "address", "postal", "name"))).alias("s"), F.count_if("needs_review").alias("n_reviews"))
+    # made by a small shuffle, the lists stand in few partitions; reading them takes all cores
+    texts = lists(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    found = importer.parse_stops(texts).groupBy("doc_id").agg(F.count("*").alias("n_stops"), F.sort_array(F.collect_list(F.struct("pos", "address", "postal", "name"))).alias("s"), F.count_if("needs_review").alias("n_reviews"))
     part = lambda k: F.array_join(F.transform("s", lambda s: s[k]), ";")
     return found.select("doc_id", "n_stops", part("address").alias("addresses"), part("postal").alias("postals"), part("name").alias("names"), "n_reviews")
 
