@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, html_text, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, suffix_tree_lm, template_decontam
+from . import annular_codes, budget_mixing, byte_bpe, chat_format, html_text, jacobi_whitening, pstable_ann, quality_bt, ring_sharding, secret_scan, simhash_dedup, suffix_tree_lm, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": simhash_dedup.op1_simhash_near_dedup,
@@ -19,8 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_suffix_tree_lm": suffix_tree_lm.op9_suffix_tree_lm,
     "op10_template_decontamination": template_decontam.op10_template_decontamination,
+    "op11_budget_mixing": budget_mixing.op11_budget_mixing,
+    "op12_jacobi_whitening": jacobi_whitening.op12_jacobi_whitening,
+    "op13_annular_codes": annular_codes.op13_annular_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.OP3_SQL,
+    "op13_annular_codes": annular_codes.OP13_SQL,
 }
