@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tourweave.llm import chat_format as m
@@ -60,6 +62,28 @@ def test_query_reads_back_the_probe(spark):
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
 
 
+def test_the_query_runs_the_machine(spark, tmp_path):
+    """Column pruning leaves the role machine in the plan, and the query reports what it finds."""
+    query = m.op3_chat_format(spark, "/root/testdata/sf0.001")
+    assert "aggregate(" in query._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "system", None), (None, 0, "tool", "x")]
+    chats(spark, rows).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: (r["state"], r["valid"], r["first_invalid_turn"]) for r in m.op3_chat_format(spark, str(tmp_path)).collect()}
+    assert got == {1: ("user", False, 1), 2: ("assistant", True, None), 3: ("system", False, None), None: ("start", False, 0), -7: ("assistant", True, None)}
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    """On turns in every order, also those that the machine refuses."""
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", None]), rng.choice(["x", None, "a\\b ###", "</turn>"])) for c in range(300) for t in range(rng.randint(1, 5))]
+    rows += [(c, 0 if t < 2 else 1, r, "same turn") for c in range(300, 310) for t, r in enumerate(("user", "assistant", "user"))]
+    chats(spark, rows).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    expected = db.execute(m.OP3_SQL).fetchall()
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in m.op3_chat_format(spark, str(tmp_path)).collect()) and len(expected) == 311
+
+
 def test_plan_is_native(spark):
     plan = m.op3_chat_format(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

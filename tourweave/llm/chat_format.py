@@ -135,15 +135,28 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("masked").cast("long").alias("loss_chars"),
         F.sha2("masked", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "state",
+        "valid",
+        "first_invalid_turn",
     )
 
 
-#: Stated from the rows alone: the marks add "### ", ": " and "</turn>\n", escapes what they must.
+#: Stated from the rows alone: the marks add "### ", ": " and "</turn>\n", escapes what they must.  As a state is
+#: named after the role that led to it, the machine stops before the first pair of neighbours that is not allowed.
 OP3_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), placed AS (
+  SELECT conv_id, role, row_number() OVER w - 1 AS place, lag(role, 1, 'start') OVER w AS before
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), stopped AS (
+  SELECT conv_id, min(place) FILTER ((before, role) NOT IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS bad
+  FROM placed GROUP BY conv_id
+), machine AS (
+  SELECT p.conv_id, coalesce(max_by(p.role, p.place) FILTER (s.bad IS NULL OR p.place < s.bad), 'start') AS state, any_value(s.bad) AS bad
+  FROM placed p JOIN stopped s ON p.conv_id IS NOT DISTINCT FROM s.conv_id GROUP BY p.conv_id
 )
 SELECT conv_id,
        count(*)::BIGINT AS n_turns,
@@ -151,6 +164,9 @@ SELECT conv_id,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
        sum(14 + length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':', '\c'))
-              + length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')))::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+              + length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')))::BIGINT AS formatted_chars,
+       any_value(machine.state) AS state,
+       any_value(machine.bad IS NULL AND machine.state = 'assistant') AS valid,
+       any_value(machine.bad)::INTEGER AS first_invalid_turn
+FROM t JOIN machine USING (conv_id) GROUP BY conv_id
 """
