@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -150,3 +151,31 @@ def test_no_line_of_a_key_survives_redaction(spark):
     assert clean[1] == clean[2] == "before [pem] after"
     assert clean[3].endswith("And then the prose goes on, after") and clean[7] == "before [pem] is only named, after"
     assert m.find_spans(f"{head}\n" * 20_000, m.EXTENDED)[-1][0] == "pem"
+
+
+def test_time_is_linear_in_the_text():
+    """For every kind, on repeats of what its pattern begins with or almost matches: four times the text takes about four times as long."""
+    repeats = ["eyJ-", "eyJabcdefgh.", "-eyJabcdefgh-", "eyJabcdefgh.eyJ", "eyJ", "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "-----BEGIN A B ", "-----BEGIN PRIVATE KEY-----\nA-B: c\n", "-----BEGIN PRIVATE KEY-----\nabcdefghijklmnopqrst\n"]
+    repeats += ["password", "password ", "password=", "token: ", "secret='", "api_", "api_key\"", "AKIA", "AKIAAAAAAAAA-", "0123456789abcdef", "abcdef g", "ghp_", "-ghp_a", " ", "=", "A", "-", "\n", "-----", "PRIVATE KEY-----"]
+    slow = []
+    for part in repeats:
+        for rule in m.RULES:
+            for kind in rule.kinds:
+                find, took = kind.finder(), []
+                for size in (250_000, 1_000_000):
+                    text = part * (size // len(part))
+                    began = time.process_time()
+                    find(text)
+                    took.append(time.process_time() - began)
+                if took[1] > max(0.5, 8 * took[0]) or took[1] > 5:
+                    slow.append((part, kind.name, took))
+    assert not slow
+
+
+def test_tokens_behind_dashes():
+    """A token's span starts at its first start in a run of token characters, be it behind a dash."""
+    head, body = "eyJhbGciOiJIUzI1NiJ9", "eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl"
+    for before, skipped in (("", 0), ("x-", 2), ("a--", 3), ("x", None), ("_", None), ("eyJ-", 0), ("b eyJ.", 6), ("-", 1)):
+        text = f"{before}{head}.{body} end"
+        spans = [s for s in m.find_spans(text, m.EXTENDED) if s[0] == "jwt"]
+        assert spans == ([] if skipped is None else [("jwt", skipped, len(text) - 4)])

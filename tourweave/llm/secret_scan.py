@@ -38,10 +38,12 @@ class Kind:
     group: int = 0
     least: int = 0
     ignore_case: bool = False
+    #: The group whose span counts.
+    span: int = 0
 
     def finder(self) -> Callable[[str], list[tuple[int, int]]]:
-        find, group, least = re.compile(self.pattern, re.A | (re.I if self.ignore_case else 0)).finditer, self.group, self.least
-        return lambda text: [m.span() for m in find(text) if m.end(group) - m.start(group) >= least]
+        find, group, least, span = re.compile(self.pattern, re.A | (re.I if self.ignore_case else 0)).finditer, self.group, self.least, self.span
+        return lambda text: [m.span(span) for m in find(text) if m.end(group) - m.start(group) >= least]
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,8 @@ EXTENDED = Rule(
     (
         # to the matching end line; where that is missing, to the end of the base64
         Kind("pem", rf"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----|{_BODY})"),
-        Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+        # each run of token characters is tried once, from its first start: what fails there fails at the later ones too
+        Kind("jwt", r"(?<![A-Za-z0-9_-])(?>(?:[A-Za-z0-9_-]*?-)??(?=eyJ))(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", span=1),
         Kind("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
     ),
 )
