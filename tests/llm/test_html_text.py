@@ -1,6 +1,7 @@
 import html as stdlib
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 from tourweave.llm import html_text as m
@@ -162,3 +163,25 @@ def test_formulas_drawings_and_forms_are_visible():
     }
     for page, text in cases.items():
         assert m.extract_text(page) == text
+
+
+def test_time_is_linear_in_the_page():
+    """On deep tables, lists and formatting that are never closed, four times the page takes about four times as long."""
+    slow = []
+    for part, tail in (("<table><tr><td>a", ""), ("<table><tr><td>a<td>", ""), ("<table><tr><td>a<br>b</table>", ""), ("<b>", "x"), ("<ul><li>a", ""), ("<div><p>", ""), ("<dl><dt>a<dd>", ""), ("<table><caption>", ""), ("<svg><desc>", ""), ("<a b=\"'>", ""), ("<pre>a\n", "")):
+        took = []
+        for size in (100_000, 400_000):
+            page = part * (size // len(part)) + tail
+            began = time.process_time()
+            m.extract_text(page)
+            took.append(time.process_time() - began)
+        if took[1] > max(1, 8 * took[0]) or took[1] > 10:
+            slow.append((part, took))
+    began = time.process_time()
+    assert m.extract_text("<b>" * 40_000 + "x" + "<p>" * 40_000) == "x" and time.process_time() - began < 10
+    assert not slow
+
+
+def test_what_a_high_cell_has_beyond_its_neighbours_keeps_its_column():
+    page = "<table><tr><td>a<td><table><tr><td>b<br>c<tr><td>d<td>e<br><br>f</table><td>g<br>h</table>"
+    assert m.extract_text(page) == "a  b     g\n   c     h\n   d  e\n\n      f"

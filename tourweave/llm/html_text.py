@@ -28,10 +28,11 @@ empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import deque
+from collections.abc import Iterable, Iterator
 from html import unescape
-from itertools import accumulate
+from itertools import accumulate, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,7 @@ UNSHOWN_INPUT = frozenset("hidden password checkbox radio file image range color
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre xmp blockquote table figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside details dialog dd div dt figcaption footer form header hgroup legend li main nav section summary caption center textarea tr td th thead tbody tfoot".split())
 ENDS_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption textarea legend".split())
+TABLE_PARTS = frozenset("td th tr thead tbody tfoot caption".split())
 #: What a start tag closes if it is open, up to the nearest of the elements that bound the search.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "table"}),
@@ -106,37 +108,35 @@ def build(html: str) -> Node:
     """The tree of a page below one root."""
     root = Node("#root", {})
     open_: list[Node] = [root]
-    depth: dict[str, int] = {}  # how many of each element are open
+    places: dict[str, list[int]] = {}  # where each element is open, outermost first
     at, n = 0, len(html)
 
     def push(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         open_[-1].children.append(node)
+        places.setdefault(tag, []).append(len(open_))
         open_.append(node)
-        depth[tag] = depth.get(tag, 0) + 1
         return node
 
     def pop_to(index: int) -> None:
         while len(open_) > index:
-            depth[open_.pop().tag] -= 1
+            places[open_.pop().tag].pop()
+
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(tags: set[str], bounds: set[str]) -> None:
         """Close up to the outermost of ``tags`` that is open within ``bounds``."""
-        if not any(depth.get(t) for t in tags):
-            return
-        found = None
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                found = i
-            elif open_[i].tag in bounds:
-                break
-        if found:
-            pop_to(found)
+        some = [places[t] for t in tags if places.get(t)]
+        if some:
+            bound = innermost(bounds)
+            if found := min((p[bisect_right(p, bound)] for p in some if p[-1] > bound), default=0):
+                pop_to(found)
 
     def text(s: str) -> None:
         if not s:
             return
-        if depth.get("head") and not s.isspace():
+        if places.get("head") and not s.isspace():
             close({"head"}, set())
         open_[-1].children.append(unescape(s) if "&" in s else s)
 
@@ -153,24 +153,20 @@ def build(html: str) -> Node:
             end = end.lower()
             if end == "br":
                 open_[-1].children.append(Node("br", {}))
-            elif depth.get(end):
-                bounds = set() if end in ("table", "html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption") else {"td", "th", "caption"}
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].tag == end:
-                        pop_to(i)
-                        break
-                    if open_[i].tag in bounds or (open_[i].tag == "table" and end in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption")):
-                        break
+            elif places.get(end):
+                bounds = ("table",) if end in TABLE_PARTS else () if end in ("table", "html", "body") else ("td", "th", "caption")
+                if innermost(bounds) < places[end][-1]:
+                    pop_to(places[end][-1])
         elif tag := m["start"] or m["odd"]:
             tag, attrs = tag.lower(), _attributes(m["attrs"] or m["rest"] or "")
-            foreign = any(depth.get(t) for t in FOREIGN)
+            foreign = any(places.get(t) for t in FOREIGN)
             if foreign and tag in FOREIGN_HIDDEN:
                 attrs["hidden"] = ""
-            if depth.get("head") and tag not in HEAD_ONLY and tag != "head":
+            if places.get("head") and tag not in HEAD_ONLY and tag != "head":
                 close({"head"}, set())
-            if tag in ("html", "head", "body") and (depth.get(tag) or tag == "head" and depth.get("body")):
+            if tag in ("html", "head", "body") and (places.get(tag) or tag == "head" and places.get("body")):
                 continue
-            if tag in ENDS_P and depth.get("p"):
+            if tag in ENDS_P and places.get("p"):
                 close({"p"}, {"td", "th", "caption", "button", "table"} if tag != "table" else {"td", "th", "caption", "button"})
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
@@ -203,11 +199,61 @@ def visible(node: Node, inherited: bool) -> bool:
     return inherited if m is None else m[1].lower() == "visible"
 
 
+class _Lines:
+    """Lines, and lines of inner tables by reference with the columns that they are moved by.
+
+    So a line is not copied at each table that it lies in.  How many lines there are of each length that counts for
+    a column's width is kept along; what is taken from the front is gone.
+    """
+
+    def __init__(self) -> None:
+        self.items: deque[str | tuple[int, _Lines]] = deque()
+        self.count = 0
+        self.lengths: dict[int, int] = {}
+
+    def append(self, line: str) -> None:
+        self.items.append(line)
+        self.count += 1
+        if len(line) <= COLUMN_WIDTH:
+            self.lengths[len(line)] = self.lengths.get(len(line), 0) + 1
+
+    def extend(self, moved: int, other: _Lines) -> None:
+        if other.count:
+            self.items.append((moved, other))
+            self.count += other.count
+            for length, n in other.lengths.items():
+                length += moved if length else 0  # an empty line stays empty
+                if length <= COLUMN_WIDTH:
+                    self.lengths[length] = self.lengths.get(length, 0) + n
+
+    def take(self, most: int) -> list[str]:
+        """The first lines, ``most`` at most, taken away.  Lines that have been passed on may not be used on their own."""
+        out: list[str] = []
+        stack: list[tuple[int, _Lines]] = [(0, self)]
+        while stack:
+            moved, own = stack[-1]
+            if len(out) == most:
+                break
+            if not own.items:
+                stack.pop()
+                if stack:
+                    stack[-1][1].items.popleft()
+            elif isinstance(item := own.items[0], str):
+                own.items.popleft()
+                out.append(" " * min(moved, LINE) + item if item else item)
+                if item and len(item) + moved <= COLUMN_WIDTH or not item:
+                    self.lengths[len(item) + moved if item else 0] -= 1
+            else:
+                stack.append((moved + item[0], item[1]))
+        self.count -= len(out)
+        return out
+
+
 class _Flow:
     """Lines that grow; margins collapse, indents and list marks go before each line."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines = _Lines()
         self.buffer: list[str] = []
         self.gap = 0
         self.indent = 0
@@ -234,12 +280,17 @@ class _Flow:
             self.put(line)
 
     def put(self, line: str) -> None:
-        if self.lines and self.gap:
-            self.lines.extend([""] * self.gap)
+        for _ in range(self.gap if self.lines.count else 0):
+            self.lines.append("")
         self.gap = 0
         self.lines.append((" " * min(self.indent - len(self.mark), INDENT) + self.mark + line).rstrip())
         self.mark = ""
 
+    def put_all(self, lines: _Lines) -> None:
+        for first in lines.take(1):
+            self.put(first)
+        self.lines.extend(min(self.indent, INDENT), lines)
+
     def block(self, margin: int) -> None:
         if self.buffer:
             self.end_line()
@@ -247,7 +298,7 @@ class _Flow:
             self.gap = max(self.gap, margin)
 
 
-def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+def _placed(rows: list[list[tuple[int, int, _Lines]]]) -> list[list[tuple[int, int, _Lines]]]:
     """Cells as ``(column, columns, lines)``; a cell that spans rows keeps its columns in those below."""
     out, held = [], {}  # column -> the last row that a cell above takes it in
     for r, row in enumerate(rows):
@@ -263,26 +314,30 @@ def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int
     return out
 
 
-def _table_lines(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+def _table_lines(rows: list[list[tuple[int, int, _Lines]]]) -> _Lines:
     placed = _placed(rows)
     widths: dict[int, int] = {}
     for row in placed:
         for at, columns, lines in row:
             if columns == 1:
-                widths[at] = max([widths.get(at, 0), *(len(x) for x in lines if len(x) <= COLUMN_WIDTH)])
+                widths[at] = max([widths.get(at, 0), *(length for length, n in lines.lengths.items() if n)])
     known = sorted(widths)
     before = list(accumulate((widths[c] for c in known), initial=0))
     start = lambda at: min(2 * at + before[bisect_left(known, at)], LINE)
-    out = []
+    out = _Lines()
     for row in placed:
-        for i in range(max([0, *(len(lines) for _, _, lines in row)])):
+        cells = [(at, lines) for at, _, lines in row if lines.count]
+        *_, second, _ = sorted([0, 0, *(lines.count for _, lines in cells)])
+        for together in zip_longest(*(lines.take(second) for _, lines in cells)):
             line, length = [], 0
-            for at, _, lines in row:
-                if i < len(lines) and lines[i]:
+            for (at, _), part in zip(cells, together):
+                if part:
                     pad = max(start(at) - length, 2 if line else 0)
-                    line.append(" " * pad + lines[i])
-                    length += pad + len(lines[i])
+                    line.append(" " * pad + part)
+                    length += pad + len(part)
             out.append("".join(line).rstrip())
+        for at, lines in cells:  # what the highest cell has beyond the others
+            out.extend(start(at), lines)
     return out
 
 
@@ -386,12 +441,11 @@ def render(root: Node) -> str:
         elif tag in ("blockquote", "dd"):
             flow.indent -= 2
         elif tag == "table":
-            for line in _table_lines(tables.pop()):
-                flow.put(line)
+            flow.put_all(_table_lines(tables.pop()))
         if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists):
             flow.gap = max(flow.gap, 1)
     flows[0].end_line()
-    return "\n".join(flows[0].lines).strip("\n")
+    return "\n".join(flows[0].lines.take(flows[0].lines.count)).strip("\n")
 
 
 def extract_text(html: str | None) -> str:
