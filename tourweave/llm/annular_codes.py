@@ -144,13 +144,12 @@ def compress(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds: int
 
     coded = cut(rows.mapInArrow(encode, out_schema))
     same, salt = internal("label"), internal("salt")
-    totals = coded.groupBy(F.col(label_col).alias(same)).agg(F.try_sum("error").alias("label_error"))
-    totals = cut(totals)
+    totals = cut(coded.groupBy(F.col(label_col).alias(same)).agg(F.try_sum("error").alias("label_error")))
     if totals.count() <= BROADCAST_LABELS:
         joined = coded.join(F.broadcast(totals), coded[label_col].eqNullSafe(totals[same]))
     else:
         dealt = coded.withColumn(salt, F.pmod(F.xxhash64("code", id_col), F.lit(SALTS)))
-        totals = totals.withColumn(f"{salt}r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        totals = totals.withColumn(f"{salt}r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = dealt.join(totals, dealt[label_col].eqNullSafe(totals[same]) & (F.col(salt) == F.col(f"{salt}r")))
     return joined.select(id_col, label_col, "code", "error", "label_error"), books
 

@@ -46,14 +46,14 @@ SALTS = 16
 def nearest_sum(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
     """How many of each length to take, ``counts`` at most, so that the sum is nearest to ``budget`` (the lower of two).
 
-    Dynamic programming over sums up to the budget and the one step beyond it that could be nearer: a sum keeps the bundle
+    Dynamic programming over the sums up to twice the budget (none beyond is nearer than 0): a sum keeps the bundle
     (a length some number of times) that first reached it.  Time is sums x lengths x log counts, memory the sums.
     """
     taken = [0] * len(lengths)
     usable = [i for i, (length, count) in enumerate(zip(lengths, counts)) if length > 0 and count > 0]
     if budget <= 0 or not usable:
         return taken
-    top = budget + min(budget, min(lengths[i] for i in usable))  # beyond twice the budget none is nearer
+    top = 2 * budget
     reached = np.zeros(top + 1, bool)
     reached[0] = True
     by = np.full(top + 1, -1, np.int32)
@@ -149,7 +149,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     h, source, size, row, part, bits, place, before, need, n, rank = (internal(x) for x in ("h", "source", "size", "row", "part", "bits", "place", "before", "need", "n", "rank"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = list(dict.fromkeys([id_col, *carry]))
-    sized = docs.select(*kept, F.col(source_col).alias(source), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias(size), F.xxhash64(F.lit(seed), F.col(id_col), text).alias(h))
+    sized = docs.select(*kept, F.col(source_col).alias(source), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias(size), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 1).alias(h))
     sized = cut(sized.withColumn(row, F.monotonically_increasing_id()))
     sources = cut(with_targets(ranked_sources(sized, source, size), weights, share, most))
 
@@ -165,14 +165,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, m
     lengths = cut(lengths.groupBy("source").applyInPandas(fitted, "source string, length long, count long, source_size long, target double, whole int, extra long"))
     stats = lengths.agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
     width = min(RANGE_BITS, max(0, (int(stats["most"] or 0) // RANGE_ROWS).bit_length()))
-    span = F.shiftrightunsigned(h, 64 - width).cast("int") if width else F.lit(0)
+    span = F.shiftright(h, 63 - width).cast("int") if width else F.lit(0)
 
     def near(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
         """A join by source and length: a table of lengths is broadcast while it is small, else its rows are repeated for the pieces of a hot length."""
         on = lambda: [F.col(a).eqNullSafe(F.col(b)) for a, b in keys]
         if stats["n"] <= BROADCAST_LENGTHS:
             return left.join(F.broadcast(right), on(), "left")
-        salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         return left.withColumn(place, F.pmod(F.xxhash64(row), F.lit(SALTS))).join(salted, [*on(), F.col(place) == F.col("__salt")], "left").drop(place, "__salt")
 
     # the range of hashes in which a length's limit lies: of those before it all rows are taken, of those after it none

@@ -113,26 +113,34 @@ class Whitening:
         return (self.matrix != 0).any(axis=0)
 
 
-def _summed(fit: DataFrame, dim: int, of, shape: tuple[int, ...], kind: str) -> np.ndarray:
-    """The sum over all vectors of what ``of`` makes of a batch of them."""
-    dtype = np.int64 if kind == "long" else np.float64
+def _summed(fit: DataFrame, dim: int, of, shape: tuple[int, int], kind: type) -> np.ndarray:
+    """The sum over all vectors of the matrix that ``of`` makes of a batch of them.
+
+    A task sends on its matrix row by row, and the rows of one place are added up together, ``MOST_PARTIALS`` at most; in order
+    of size, so that it doesn't matter which came first.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, dtype)
+        total = np.zeros(shape, kind)
         for b in batches:
             total += of(unpacked(b.column("__x"), dim))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["cell", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array([r.tobytes() for r in total], pa.binary())], ["place", "s"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        values = np.frombuffer(b"".join(rows.column("s").to_pylist()), kind).reshape(len(rows), shape[1])
+        return pa.table({"place": rows.column("place").slice(0, 1), "s": pa.array([np.sort(values, axis=0).sum(axis=0).tobytes()], pa.binary())})
 
-    sums = fit.coalesce(MOST_PARTIALS).mapInArrow(partial, f"cell long, s {kind}").groupBy("cell").agg(F.sum("s").alias("s"))
-    out = np.zeros(shape, dtype)
-    for r in sums.collect():  # as many numbers as the shape has
-        out.reshape(-1)[r["cell"]] = r["s"]
+    schema = "place long, s binary"
+    sums = fit.coalesce(MOST_PARTIALS).mapInArrow(partial, schema).groupBy("place").applyInArrow(added, schema)
+    out = np.zeros(shape, kind)
+    for r in sums.collect():  # one matrix
+        out[r["place"]] = np.frombuffer(bytes(r["s"]), kind)
     return out
 
 
 def fit_whitening(fit: DataFrame, dim: int, components: int) -> tuple[Whitening, float]:
     """The whitening of the distinct vectors ``fit(__x)`` and the largest entry by which their whitened covariance differs from the identity."""
-    sums = _summed(fit, dim, lambda x: np.append(x.sum(axis=0), len(x)), (dim + 1,), "long")
+    sums = _summed(fit, dim, lambda x: np.append(x.sum(axis=0), len(x))[None, :], (1, dim + 1), np.int64)[0]
     n, total = int(sums[-1]), sums[:-1]
     if not n:
         return Whitening(0, total, np.zeros(dim), np.zeros((dim, min(components, dim)))), 0.0
@@ -142,7 +150,7 @@ def fit_whitening(fit: DataFrame, dim: int, components: int) -> tuple[Whitening,
         y = centred(x)
         return y.T @ y
 
-    values, vectors = jacobi(_summed(fit, dim, scatter, (dim, dim), "double") / n)
+    values, vectors = jacobi(_summed(fit, dim, scatter, (dim, dim), np.float64) / n)
     kept = min(components, dim)
     live = values[:kept] > np.finfo(float).eps * dim * values.max(initial=0)
     matrix = np.where(live, vectors[:, :kept] / np.sqrt(np.where(live, values[:kept], 1)), 0.0)
@@ -152,7 +160,7 @@ def fit_whitening(fit: DataFrame, dim: int, components: int) -> tuple[Whitening,
         y = np.column_stack([made.apply(x), np.ones(len(x))])
         return y.T @ y
 
-    second = _summed(fit, dim, moments, (kept + 1, kept + 1), "double") / n
+    second = _summed(fit, dim, moments, (kept + 1, kept + 1), np.float64) / n
     mean = second[-1, :-1]  # the matrix is applied to centred vectors, so this is rounding only
     covariance = second[:-1, :-1] - np.outer(mean, mean)
     error = np.abs(covariance - np.eye(kept))[np.ix_(made.live, made.live)]
