@@ -1,0 +1,86 @@
+"""Backups as one file, whatever their layout."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tourweave.sources import backups as B
+
+NOW = "2024-05-06T07:08:09.123Z"
+NASTY = 'brace } in "text" \\ and [ { "tours":[ \\" ,"}'
+
+
+def document():
+    stop = lambda i, **more: {"id": f"s{i}", "name": f"Firma {i} {NASTY}", "address": f"Weg {i}", "postal": "2070 Retz", "deliveryType": "Kollektion 38 B", "deliveryReview": "note", "deliverySource": "source", "note": "n", "status": "done", "completedAt": "2024-01-02T03:04:05.678Z", "needsReview": True} | more
+    tours = [
+        {"id": "a", "name": 'Tour "A" }', "source": "import", "createdAt": "2024-01-01T00:00:00.000Z", "updatedAt": NOW, "currentIndex": 1, "stops": [stop(1), stop(2)], "routeUndo": {"before": ["s2", "s1"], "after": ["s1", "s2"], "currentId": "s1"}, "routeMap": None},
+        {"id": "b", "stops": [{"name": "only a name", "deliveryType": 3, "deliveryReview": None, "completedAt": None}], "currentIndex": 1.5, "routeMap": {"version": 2}},
+        {"name": "no stops, no id"},
+        {"id": "a", "name": "again", "stops": []},
+        {"id": "c", "name": "map", "stops": [stop(3)], "routeMap": {"version": 1, "order": [0, 1], "points": [{"lat": 1, "lon": 2, "id": "x"}, {"lat": 1.5, "lon": 2, "id": "y"}], "before": {"duration": 2, "distance": 3}, "after": {"duration": 1, "distance": 3}}},
+    ]
+    return {"version": 5, "exportedAt": NOW, "tours": tours, "meta": {"currentTourId": "a"}}
+
+
+def read(spark, path, existing=(), run="run"):
+    return B.read_backup(spark, str(path), spark.createDataFrame([(e,) for e in existing], "tour_id string"), F.lit(NOW).cast("timestamp"), run)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("split", [None, "700b"])
+def test_a_file_of_any_layout(spark, tmp_path, indent, split):
+    """Also where blocks end within tours and within strings."""
+    (tmp_path / "b.json").write_text(json.dumps(document(), indent=indent, ensure_ascii=False), "utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split or old)
+        got = read(spark, tmp_path / "b.json", ["b"])
+        tours = {r["old_id"] if r["name"] != "again" else "again": r for r in got.tours.collect()}
+        stops = got.stops.orderBy("tour_id", "pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(tours) == 5 and got.errors.count() == 0
+    a = tours["a"]
+    assert (a["tour_id"], a["name"], a["source"], a["current_index"], a["route_map"]) == ("a", 'Tour "A" }', "import", 1, None) and json.loads(a["route_undo"])["before"] == ["s2", "s1"]
+    assert str(a["created_at"]) == "2024-01-01 00:00:00" and tours["c"]["route_map"] and json.loads(tours["c"]["route_map"])["order"] == [0, 1]
+    b = tours["b"]
+    assert b["tour_id"] != "b" and len(b["tour_id"]) == 32 and (b["name"], b["source"], b["current_index"], b["route_map"]) == ("Unbenannte Tour", "manual", 0, None)
+    assert tours["again"]["tour_id"] != "a" and len({t["tour_id"] for t in tours.values()}) == 5
+    (first, *_) = [s for s in stops if s["tour_id"] == "a"]
+    assert first["name"] == f"Firma 1 {NASTY}" and (first["delivery_type"], first["delivery_review"], first["delivery_source"], first["needs_review"]) == ("Kollektion 38 B", "note", "source", True)
+    assert first["completed_at"].microsecond == 678000
+    (bare,) = [s for s in stops if s["name"] == "only a name"]
+    assert (bare["delivery_type"], bare["status"], bare["completed_at"], bare["needs_review"], bare["tour_id"]) == ("", "pending", None, False, b["tour_id"]) and len(bare["stop_id"]) == 32
+    assert {r["key"]: r["value"] for r in got.meta.collect()} == {"currentTourId": "a"}
+    again = read(spark, tmp_path / "b.json", ["b"])
+    assert sorted(r["tour_id"] for r in again.tours.collect()) == sorted(t["tour_id"] for t in tours.values())  # a task that runs again gives the same ids
+    assert {r["tour_id"] for r in read(spark, tmp_path / "b.json", ["b"], "other").tours.collect()} != {t["tour_id"] for t in tours.values()}
+
+
+def test_round_trip_keeps_every_field(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps(document()), "utf-8")
+    first = read(spark, tmp_path / "b.json")
+    lines = B.backup_lines(first.tours, first.stops, first.meta, F.lit(NOW).cast("timestamp"))
+    B.write_backup(lines.repartition(5), str(tmp_path / "out.json"))
+    written = json.loads((tmp_path / "out.json").read_text("utf-8"))
+    assert written["version"] == 5 and written["exportedAt"] == NOW and written["meta"] == {"currentTourId": "a"} and len(written["tours"]) == 5
+    again = read(spark, tmp_path / "out.json")
+    for x, y in ((first.tours.drop("old_id"), again.tours.drop("old_id")), (first.stops, again.stops)):
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.collect())) and x.count()
+
+
+def test_bad_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"version":5,"stops":[{"id":"x"}]}')
+    (tmp_path / "in" / "b.json").write_text("not json at all")
+    (tmp_path / "in" / "c.json").write_text('{"tours":[],"meta":{"currentTourId":null}}')
+    (tmp_path / "in" / "d.json").write_text('{"version":5,"tours":[{"id":"good","stops":[]},{"id":"bad","stops":[}]}')
+    got = read(spark, tmp_path / "in")
+    (tmp_path / "in" / "e.json").write_text('{"tours":[{"id":"good","stops":[]},{"id":"bad","stops":{"id":1}},7]}\n')
+    got = read(spark, tmp_path / "in")
+    assert sorted((r["path"][-6:], r["error"]) for r in got.errors.collect()) == [("a.json", "no tours array"), ("b.json", "not a whole document"), ("d.json", "not a whole document"), ("e.json", "tour 1 can't be read")]
+    assert [r["old_id"] for r in got.tours.collect()] == ["good"] and [tuple(r) for r in got.meta.collect()] == [("currentTourId", None)]
+    empty = spark.createDataFrame([], got.tours.drop("old_id").schema)
+    B.write_backup(B.backup_lines(empty, got.stops.where("false"), spark.createDataFrame([], "key string, value string"), F.lit(NOW).cast("timestamp")), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["tours"] == []

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tourweave.queries import whole
+from tourweave.queries import reread, whole
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,9 +27,12 @@ def rows(columns, values):
     return [columns[i] for i in order], sorted(repr([plain(r[i]) for i in order]) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(whole.QUERIES))
+ALL, STATED = whole.QUERIES | reread.QUERIES, whole.SQL | reread.SQL
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query_and_sql_agree(spark, tables, name):
-    found = whole.QUERIES[name](spark, SF)
-    stated = tables.sql(whole.SQL[name])
+    found = ALL[name](spark, SF)
+    stated = tables.sql(STATED[name])
     got, expected = rows(found.columns, found.collect()), rows(stated.columns, stated.fetchall())
     assert got == expected and expected[1]

@@ -110,11 +110,11 @@ HEADER_WORDS = {
 
 
 def find_header(words: DataFrame, pages: DataFrame) -> DataFrame:
-    """``(page_id, class_x, class_y, lief_x, preis_x, lieferung_x, n_found, score)`` of pages whose class column is found.
+    """``(page_id, class_x, class_y, lief_x, preis_x, lieferung_x, n_found, score, points)`` of pages whose class column is found.
 
     The topmost word close to the class column's title fixes it; if its box is wide, its left
     end and where the title would begin at its right end are both tried, and the other titles
-    and what stands in the columns below decide.
+    and what stands in the columns below decide.  ``points`` has the middle and the height of each title found.
     """
     w = words.join(pages, "page_id").withColumn("c", core(F.col("text"))).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
     edits = lambda c, word: F.levenshtein(c, F.lit(word))
@@ -122,20 +122,22 @@ def find_header(words: DataFrame, pages: DataFrame) -> DataFrame:
     first = titled.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("y", "word_id"))).where("n = 1")
     wide = F.col("x1") - F.col("x0") > 0.065 * F.col("width")
     guesses = F.when(wide, F.array(F.col("x0"), F.col("x1") - 0.051 * F.col("width"))).otherwise(F.array(F.col("x0")))
-    tried = first.select("page_id", F.col("y").alias("ky"), F.posexplode(guesses).alias("guess", "kx"))
+    title = F.named_struct(F.lit("x"), (F.col("x0") + F.col("x1")) / 2, F.lit("y"), F.col("y"), F.lit("h"), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")))
+    tried = first.select("page_id", F.col("y").alias("ky"), title.alias("kp"), F.posexplode(guesses).alias("guess", "kx"))
     seen = w.join(tried, "page_id")
     off = (F.col("x0") - F.col("kx")) / F.col("width")
     near, below = F.abs(F.col("y") - F.col("ky")) <= 0.06 * F.col("width"), (F.col("y") > F.col("ky")) & (F.col("y") < F.col("ky") + 0.5 * F.col("width"))
     found = []
     for name, (word, least, most, k, low, high) in HEADER_WORDS.items():
         close = edits(F.substring("c", 1, 4) if name == "lief" else F.col("c"), word) <= k
-        found.append(F.min_by(F.when(near & close & F.length("c").between(least, most) & off.between(low, high), F.col("x0")), F.when(near & close & F.length("c").between(least, most) & off.between(low, high), F.struct("y", "word_id"))).alias(f"{name}_x"))
-    body = (D.canonical_word(F.col("text")).isin("Lieferpaket", "Kollektion") & off.between(-0.25, -0.17)) | (F.lower("text").eqNullSafe("neu") & off.between(-0.01, 0.05))
-    scored = seen.groupBy("page_id", "guess", "kx", "ky").agg(*found, F.count_if(below & body).alias("hits"))
-    n = sum(F.col(f"{x}_x").isNotNull().cast("int") for x in HEADER_WORDS)
+        fits = near & close & F.length("c").between(least, most) & off.between(low, high)
+        found.append(F.min_by(F.when(fits, F.struct("x0", title.alias("p"))), F.when(fits, F.struct("y", "word_id"))).alias(name))
+    body = ((D.says(F.col("text"), "Lieferpaket") | D.says(F.col("text"), "Kollektion")) & off.between(-0.25, -0.17)) | (F.lower("text").eqNullSafe("neu") & off.between(-0.01, 0.05))
+    scored = seen.groupBy("page_id", "guess", "kx", "ky", "kp").agg(*found, F.count_if(below & body).alias("hits"))
+    n = sum(F.col(x).isNotNull().cast("int") for x in HEADER_WORDS)
     best = scored.withColumn("n_found", n).withColumn("score", 2 * F.col("n_found") + F.col("hits"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "guess"))).where("r = 1")
-    return best.select("page_id", F.col("kx").alias("class_x"), F.col("ky").alias("class_y"), "lief_x", "preis_x", "lieferung_x", "n_found", "score")
+    return best.select("page_id", F.col("kx").alias("class_x"), F.col("ky").alias("class_y"), *(F.col(f"{x}.x0").alias(f"{x}_x") for x in ("lief", "preis", "lieferung")), "n_found", "score", F.filter(F.array("kp", *(F.col(f"{x}.p") for x in HEADER_WORDS)), lambda p: p.isNotNull()).alias("points"))
 
 
 def measured_columns(headers: DataFrame, pages: DataFrame) -> DataFrame:
@@ -186,11 +188,11 @@ def bands_from_rows(rows: DataFrame) -> DataFrame:
     return grouped.withColumn("to", F.coalesce(F.lead("from").over(Window.partitionBy("page_id").orderBy("from")), F.lit(float("inf"))))
 
 
-def group_rows(words: DataFrame) -> DataFrame:
+def group_rows(words: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Words of a line: sorted by height, a word joins the last row if it is within 0.55 of the
     smaller of their heights from the row's running mean.
 
-    The threshold depends on the row so far: a page's words are gathered into one array, whose
+    The threshold depends on the row so far: the words of a page (or of what else ``keys`` name) are gathered into one array, whose
     heights alone are folded in Python, many pages a batch; the words stay where they are.
     """
 
@@ -209,17 +211,17 @@ def group_rows(words: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     first = ("yd", "x", "word_id")
-    rest = [c for c in words.columns if c not in (*first, "page_id")]
-    pages = words.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias("w"))
-    held = pages.select("page_id", "w", fold(F.col("w.yd"), F.col("w.h")).alias("r"))
-    numbered = held.select("page_id", F.explode(F.arrays_zip("w", "r")).alias("z"))
-    return numbered.select("page_id", *(F.col(f"z.w.`{c}`").alias(c) for c in words.columns if c != "page_id"), F.col("z.r").alias("row_id"))
+    rest = [c for c in words.columns if c not in (*first, *keys)]
+    pages = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias("w"))
+    held = pages.select(*keys, "w", fold(F.col("w.yd"), F.col("w.h")).alias("r"))
+    numbered = held.select(*keys, F.explode(F.arrays_zip("w", "r")).alias("z"))
+    return numbered.select(*keys, *(F.col(f"z.w.`{c}`").alias(c) for c in words.columns if c not in keys), F.col("z.r").alias("row_id"))
 
 
 def visual_rows(words: DataFrame) -> DataFrame:
-    """``(page_id, row_id, yd, h, text, min_confidence)`` of words with their ``row_id``; words from left to right."""
-    grouped = words.groupBy("page_id", "row_id").agg(F.avg("yd").alias("yd"), F.max("h").alias("h"), F.sort_array(F.collect_list(F.struct("x", "word_id", "text"))).alias("w"), F.min(F.coalesce("confidence", F.lit(100.0))).alias("c"))
-    return grouped.select("page_id", "row_id", "yd", "h", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"), F.least(F.lit(100.0), F.col("c")).alias("min_confidence"))
+    """``(page_id, row_id, yd, h, usual_h, text, min_confidence)`` of words with their ``row_id``; words from left to right."""
+    grouped = words.groupBy("page_id", "row_id").agg(F.avg("yd").alias("yd"), F.max("h").alias("h"), F.sort_array(F.collect_list(F.struct("x", "word_id", "text"))).alias("w"), F.min(F.coalesce("confidence", F.lit(100.0))).alias("c"), upper_median(F.collect_list("h")).alias("usual_h"))
+    return grouped.select("page_id", "row_id", "yd", "h", "usual_h", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"), F.least(F.lit(100.0), F.col("c")).alias("min_confidence"))
 
 
 def merge_regions(regions: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

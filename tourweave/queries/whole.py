@@ -11,8 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import proxies as P
-from ..functions import delivery, geo, lines
-from ..operators import layout as Y, match, pages, raster, records, stats
+from ..functions import geo, lines
+from ..operators import layout as Y, match, pages, raster, records, rereads, stats
 from ..plans import routes
 from ..sources import store
 from .pages import WORDS_SQL, words
@@ -286,7 +286,7 @@ def refined_stops(spark, d):
     orders = P.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("stop_id"), (F.col("o_orderkey") % n).cast("int").alias("case"))
     pages_ = spark.createDataFrame([(i, *e[0][:4], list(e[0][4])) for i, e in enumerate(EVIDENCE)], "case int, label string, number string, number_text string, confidence double, companion_numbers array<string>")
     cells = spark.createDataFrame([(i, kind, variant, 0, text, sure) for i, e in enumerate(EVIDENCE) for kind, variant, text, sure in e[1]], "case int, kind string, variant int, y_shift int, text string, confidence double")
-    return delivery.refine(orders.join(F.broadcast(pages_), "case").drop("case"), orders.join(F.broadcast(cells), "case").drop("case"))
+    return rereads.refine(orders.join(F.broadcast(pages_), "case").drop("case"), orders.join(F.broadcast(cells), "case").drop("case"))
 
 
 # --- pixels -----------------------------------------------------------------------------------------
