@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tourweave.queries import reread, whole
+from tourweave.queries import reread, stored, whole
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,7 @@ def rows(columns, values):
     return [columns[i] for i in order], sorted(repr([plain(r[i]) for i in order]) for r in values)
 
 
-ALL, STATED = whole.QUERIES | reread.QUERIES, whole.SQL | reread.SQL
+ALL, STATED = whole.QUERIES | reread.QUERIES | stored.QUERIES, whole.SQL | reread.SQL | stored.SQL
 
 
 @pytest.mark.parametrize("name", sorted(ALL))

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,9 +18,16 @@ TEXT_FORMATS, UNREAD_FORMATS = ("txt", "csv", "text"), ("pdf", "png", "jpg", "jp
 
 
 # --- store ---------------------------------------------------------------------------------------
-def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same key."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def last_of_each(rows: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """Of rows that repeat a key the last by ``order``, or by where they stand in ``rows``."""
+    last = Window.partitionBy(*keys).orderBy(F.desc("__at"))
+    placed = rows.withColumn("__at", F.monotonically_increasing_id() if order is None else order)
+    return placed.withColumn("__n", F.row_number().over(last)).where("__n = 1").select(*rows.columns)
+
+
+def upsert(old: DataFrame, new: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with the same key; the last write wins among those of ``new``."""
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(last_of_each(new.select(*old.columns), *keys, order=order))
 
 
 def delete(old: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
@@ -80,7 +87,7 @@ class Store:
 
     def put(self, name: str, rows: DataFrame, *keys: str) -> None:
         old = self.read(name)
-        self.write(name, rows if old is None else upsert(old, rows, *keys))
+        self.write(name, last_of_each(rows, *keys) if old is None else upsert(old, rows, *keys))
 
     def remove(self, name: str, gone: DataFrame, *keys: str) -> None:
         if (old := self.read(name)) is not None:
