@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from ..functions import geo, text as X
 SAME_BUILDING_METRES = 120
 CANDIDATE_LIMIT = 5
 PLACES_MAX = 10_000
+PATTERNS_MAX = 200
 
 
 def label(name: Column, street: Column, house: Column, postal: Column, place: Column, country: Column) -> Column:
@@ -66,32 +71,75 @@ def automatic_matches(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     return one.select("request_id", F.col("best.cand_pos").alias("cand_pos"), F.col("best.lat").alias("lat"), F.col("best.lon").alias("lon"), "exact")
 
 
+def distinct_requests(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """One request for each address that the cache lacks, by the smallest id of those that have it: what a geocoder is asked."""
+    keyed = _keyed(requests).join(cache.select("address_key"), "address_key", "left_anti")
+    return keyed.groupBy("address_key").agg(F.min_by(F.struct(*requests.columns), "request_id").alias("r"), F.count("*").alias("n_requests")).select("r.*", "address_key", "n_requests")
+
+
+def _keyed(requests: DataFrame) -> DataFrame:
+    return requests.withColumn("address_key", X.address_key(F.col("country"), F.col("address"), F.col("postal")))
+
+
 def locate(requests: DataFrame, cache: DataFrame, candidates: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(located, fresh, unresolved)``: cache first, then manual choices, then automatic matches.
 
-    ``fresh`` are the rows to append to the cache; requests without a place are all reported.
+    Requests with one address are one question: candidates or a choice for any of them count for all (of several choices that
+    for the smallest id).  ``fresh`` has a row for each address to append to the cache; requests without a place are all reported.
     """
-    keyed = requests.withColumn("address_key", X.address_key(F.col("country"), F.col("address"), F.col("postal")))
+    keyed = _keyed(requests)
     known = keyed.join(cache.select("address_key", "lat", "lon").dropDuplicates(["address_key"]), "address_key").select("request_id", "address_key", "lat", "lon", F.lit("cache").alias("origin"))
-    misses = keyed.join(known.select("request_id"), "request_id", "left_anti")
-    found = automatic_matches(misses, candidates).select("request_id", "lat", "lon", F.lit("match").alias("origin"))
+    misses = keyed.join(cache.select("address_key"), "address_key", "left_anti")
+    asked = distinct_requests(requests, cache)
+    leader = misses.select("request_id", "address_key").join(asked.select("address_key", F.col("request_id").alias("__asked")), "address_key")
+    own = candidates.join(leader.select("request_id", "__asked"), "request_id").drop("request_id").withColumnRenamed("__asked", "request_id").dropDuplicates()
+    found = automatic_matches(asked, own.select(*candidates.columns)).select("request_id", "lat", "lon", F.lit("match").alias("origin"))
     if overrides is not None:
-        chosen = overrides.select("request_id", "lat", "lon", F.lit("manual").alias("origin"))
+        picked = overrides.join(leader, "request_id").groupBy("__asked").agg(F.min_by(F.struct("lat", "lon"), "request_id").alias("p"))
+        chosen = picked.select(F.col("__asked").alias("request_id"), "p.lat", "p.lon", F.lit("manual").alias("origin"))
         found = chosen.unionByName(found.join(chosen.select("request_id"), "request_id", "left_anti"))
-    fresh = misses.select("request_id", "address_key").join(found, "request_id").select("request_id", "address_key", "lat", "lon", "origin")
-    return known.unionByName(fresh), fresh, misses.join(fresh.select("request_id"), "request_id", "left_anti")
+    fresh = asked.select("request_id", "address_key").join(found, "request_id").select("request_id", "address_key", "lat", "lon", "origin")
+    fanned = misses.select("request_id", "address_key").join(fresh.drop("request_id"), "address_key").select("request_id", "address_key", "lat", "lon", "origin")
+    return known.unionByName(fanned), fresh, misses.join(fanned.select("request_id"), "request_id", "left_anti")
 
 
 def infer_postal(lines: DataFrame, places: DataFrame, text_col: str = "text") -> DataFrame:
-    """The place of least ``priority`` whose name occurs in the text; ``places(pattern, postal, city, priority)`` is a small lookup table."""
-    hit = F.rlike(F.lower(X.clean_line(F.col(text_col))), F.col("pattern"))
-    # no equality to join on: the lookup table must be small, and is refused if it is not
-    if places.limit(PLACES_MAX + 1).count() > PLACES_MAX:
+    """The place of least ``priority`` whose name occurs in the text; ``places(pattern, postal, city, priority)`` is a small lookup table.
+
+    Plain names are sought all at once, by one automaton that walks each line once; the few that are patterns are tried
+    in order of priority.  Lines without a place drop out; each line keeps a row of its own.
+    """
+    rows = places.select("priority", "postal", "city", "pattern").limit(PLACES_MAX + 1).collect()
+    if len(rows) > PLACES_MAX:
         raise ValueError(f"more than {PLACES_MAX} places")
-    found = lines.join(F.broadcast(places), hit)
-    best = F.min(F.struct("priority", "postal", "city")).alias("best")
-    keys = [c for c in lines.columns if c != text_col]
-    return found.groupBy(*keys).agg(best).select(*keys, F.col("best.postal").alias("postal"), F.col("best.city").alias("city"))
+    ranked = sorted(rows, key=lambda r: (r["priority"], r["postal"] or "", r["city"] or ""))
+    plain = {}
+    for i, r in enumerate(ranked):
+        if not re.search(r"[\\^$.|?*+()\[\]{}]", r["pattern"]):
+            plain.setdefault(r["pattern"], i)
+    patterns = [(i, r["pattern"]) for i, r in enumerate(ranked) if r["pattern"] not in plain]
+    if len(patterns) > PATTERNS_MAX:
+        raise ValueError(f"more than {PATTERNS_MAX} places are patterns")
+    shared = lines.sparkSession.sparkContext.broadcast(plain)
+
+    @F.pandas_udf("int")
+    def first_name(texts: pd.Series) -> pd.Series:
+        automaton = ahocorasick.Automaton()
+        for name, i in shared.value.items():
+            automaton.add_word(name, i)
+        automaton.make_automaton()
+        return pd.Series([min((i for _, i in automaton.iter(t)), default=None) for t in texts], dtype="Int32")
+
+    text = F.lower(X.clean_line(F.col(text_col)))
+    by_name = first_name(text) if plain else F.lit(None).cast("int")
+    by_pattern = F.coalesce(*(F.when(text.rlike(p), F.lit(i)) for i, p in patterns), F.lit(None).cast("int")) if patterns else F.lit(None).cast("int")
+    kept = [c for c in lines.columns if c != text_col]
+    hit = lines.select(*kept, by_name.alias("__n"), by_pattern.alias("__p")).withColumn("__i", F.least("__n", "__p")).where("__i IS NOT NULL")
+    table = F.array(*(F.struct(F.lit(r["postal"]).alias("postal"), F.lit(r["city"]).alias("city")) for r in ranked)) if len(ranked) <= PATTERNS_MAX else None
+    if table is not None:
+        return hit.withColumn("__r", F.element_at(table, F.col("__i") + 1)).select(*kept, "__r.postal", "__r.city")
+    named = lines.sparkSession.createDataFrame([(i, r["postal"], r["city"]) for i, r in enumerate(ranked)], "__i int, postal string, city string")
+    return hit.join(F.broadcast(named), "__i").select(*kept, "postal", "city")
 
 
 def marker_groups(points: DataFrame) -> DataFrame:

@@ -284,6 +284,16 @@ def cached_locations(spark, d):
     return located.select("request_id", F.lit(True).alias("cached")).unionByName(unresolved.select("request_id", F.lit(False).alias("cached")))
 
 
+@query("asked_addresses", S + f"""
+, keyed AS (SELECT stop_id, {KEY}::VARCHAR AS k FROM stops WHERE address <> ''), cache AS (SELECT DISTINCT k FROM keyed WHERE stop_id % 64 = 0)
+SELECT min(stop_id) AS request_id, count(*) AS n_requests FROM keyed WHERE k NOT IN (FROM cache) GROUP BY k""")
+def asked_addresses(spark, d):
+    """One question for each address that the cache of some stops lacks."""
+    stops = P.stops(spark, d).where("address <> ''").select(F.col("stop_id").alias("request_id"), "address", "postal", F.lit("AT").alias("country"))
+    cache = stops.where("request_id % 64 = 0").select(X.address_key(F.col("country"), F.col("address"), F.col("postal")).alias("address_key")).distinct()
+    return match.distinct_requests(stops, cache).select("request_id", "n_requests")
+
+
 # --- plans: the order by a hash of the stop, faster or slower by the tour ---------------------------
 ANSWERS_SQL = """
 ranked AS (SELECT tour_id, pos, CASE WHEN pos = 0 THEN 0 ELSE row_number() OVER (PARTITION BY tour_id ORDER BY pos > 0, (stop_id * 7919) % 1009, stop_id) - 1 END AS rank FROM stops),

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stages import cut
+
 OPEN = ("pending", "later")
 ACTIONS = ("done", "not_delivered", "later", "reset")
 STATE = "tour_id long, stop_ids array<long>, statuses array<string>, current_index int, n_events long, n_navigations long"
@@ -58,27 +60,52 @@ def _in_order(events: pd.DataFrame) -> pd.Series:
     return events.sort_values(["ts", "event_id"], kind="stable")["action"]
 
 
-def replay(stops: DataFrame, events: DataFrame, navigate: bool = True) -> DataFrame:
+#: Events that one task holds at once, about.
+CHUNK_ROWS = 1_000_000
+
+
+def replay(stops: DataFrame, events: DataFrame, navigate: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The state of every tour after all its events; tours without stops are left out.
 
-    A tour is one row, its stops and its known actions arrays in order; many tours are folded a batch.
+    A tour is one row, its stops and its known actions arrays in order; many tours are folded a batch.  Events beyond
+    ``chunk_rows`` are dealt to ranges of tour, time and id, so that no task sorts or holds all events of a hot tour:
+    a tour's ranges are folded one after the other, each from the state that the one before left, and only tours that go on take part in the next round.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for tour_id, ids, statuses, actions in zip(b["tour_id"], b["ids"], b["statuses"], b["actions"]):
-                tour = Tour(ids.tolist(), statuses.tolist())
+            for tour_id, ids, statuses, index, n, navigations, actions in zip(*(b[c] for c in (*COLUMNS, "actions"))):
+                tour = Tour(ids.tolist(), statuses.tolist(), int(index), int(n), int(navigations))
                 for action in actions if actions is not None else ():
                     tour.apply(action, navigate)
                 out.append(tour.row(tour_id))
             yield pd.DataFrame(out, columns=COLUMNS)
 
+    def folded(state: DataFrame, told: DataFrame) -> DataFrame:
+        actions = told.groupBy("tour_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "action"))).alias("e")).select("tour_id", F.col("e.action").alias("actions"))
+        return state.join(actions, "tour_id", "left").mapInPandas(fold, STATE)
+
     mine = stops.groupBy("tour_id").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_id", "status"))).alias("s"))
-    known = events.where(F.col("action").isin(*ACTIONS))
-    told = known.groupBy("tour_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "action"))).alias("e"))
-    rows = mine.join(told, "tour_id", "left").select("tour_id", F.col("s.stop_id").alias("ids"), F.col("s.status").alias("statuses"), F.col("e.action").alias("actions"))
-    return rows.mapInPandas(fold, STATE)
+    state = mine.select("tour_id", F.col("s.stop_id").alias("stop_ids"), F.col("s.status").alias("statuses"), F.lit(0).alias("current_index"), F.lit(0).cast("long").alias("n_events"), F.lit(0).cast("long").alias("n_navigations"))
+    known = events.where(F.col("action").isin(*ACTIONS)).select("tour_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "action")
+    total = known.count()
+    if total <= chunk_rows:
+        return folded(state, known)
+    known = cut(known.repartitionByRange(-(-total // chunk_rows), "tour_id", "ts", "event_id").withColumn("__part", F.spark_partition_id()))
+    parts = known.groupBy("tour_id", "__part").count().withColumn("__chunk", F.row_number().over(Window.partitionBy("tour_id").orderBy("__part")))
+    chunks = cut(parts.select("tour_id", "__part", "__chunk", F.max("__chunk").over(Window.partitionBy("tour_id")).alias("__last")))
+    rounds = chunks.agg(F.max("__last")).first()[0] or 0
+    lasts = chunks.groupBy("tour_id").agg(F.max("__last").alias("__last"))
+    open_ = cut(state.join(lasts, "tour_id", "left"))
+    done = open_.where("__last IS NULL").select(*COLUMNS)
+    open_ = open_.where("__last IS NOT NULL")
+    for number in range(1, rounds + 1):
+        told = known.join(chunks.where(F.col("__chunk") == number).select("tour_id", "__part"), ["tour_id", "__part"], "left_semi")
+        after = cut(folded(open_.select(*COLUMNS), told))
+        done = done.unionByName(after.join(lasts.where(F.col("__last") == number), "tour_id", "left_semi"))
+        open_ = after.join(lasts.where(F.col("__last") > number), "tour_id", "left_semi")
+    return done
 
 
 def last_status(events: DataFrame) -> DataFrame:
