@@ -47,36 +47,38 @@ class Codebook:
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """For each part the index of the nearest entry (ties: the lowest) and the squared distance; and how many entries were evaluated."""
-        n, k = len(parts), len(self.order)
+        k, none = len(self.order), np.iinfo(np.int64).max
         own = np.sqrt((parts**2).sum(axis=1))
         left = np.searchsorted(self.norms, own)
-        right = left.copy()
-        best = np.full(n, np.iinfo(np.int64).max)  # distance * k + index, so that the lower index wins a tie
-        active, step, evaluated = np.arange(n), 2, 0
+        right = left.copy()  # entries from left to right have been evaluated
+        best = np.full(len(parts), none)  # distance * k + index, so that the lower index wins a tie
+        columns = [(np.ascontiguousarray(p), np.ascontiguousarray(e)) for p, e in zip(parts.T, self.sorted.T)]
+
+        def evaluate(who: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
+            some = ends > starts
+            who, starts, sizes = who[some], starts[some], (ends - starts)[some]
+            if not len(who):
+                return 0
+            first = np.cumsum(sizes) - sizes
+            entry, part = np.arange(sizes.sum()) - np.repeat(first - starts, sizes), np.repeat(who, sizes)
+            distance = np.zeros(len(entry), np.int64)
+            for of_parts, of_entries in columns:
+                distance += (of_parts[part] - of_entries[entry]) ** 2
+            best[who] = np.minimum(best[who], np.minimum.reduceat(distance * k + self.order[entry], first))
+            return len(entry)
+
+        active, step, evaluated = np.arange(len(parts)), 2, 0
         while len(active):
-            reach = np.where(best[active] == np.iinfo(np.int64).max, np.inf, np.sqrt(best[active] // k))
+            reach = np.where(best[active] == none, np.inf, np.sqrt(best[active] // k))
             slack = 1e-9 * (1 + own[active]) + np.where(np.isinf(reach), 0, 1e-9 * reach)  # norms are rounded, so the bounds give way a little
             low = np.searchsorted(self.norms, own[active] - reach - slack, "left")
             high = np.searchsorted(self.norms, own[active] + reach + slack, "right")
             more = (left[active] > low) | (right[active] < high)
             active, low, high = active[more], low[more], high[more]
-            starts = np.concatenate([np.minimum(left[active], np.maximum(low, left[active] - step)), right[active]])
-            ends = np.concatenate([left[active], np.maximum(right[active], np.minimum(high, right[active] + step))])
-            who = np.concatenate([active, active])
-            some = ends > starts
-            starts, ends, who = starts[some], ends[some], who[some]
-            if len(who):
-                sizes = ends - starts
-                first = np.cumsum(sizes) - sizes
-                at = np.arange(sizes.sum()) - np.repeat(first - starts, sizes)
-                distance = ((parts[np.repeat(who, sizes)] - self.sorted[at]) ** 2).sum(axis=1)
-                found = np.minimum.reduceat(distance * k + self.order[at], first)
-                np.minimum.at(best, who, found)
-                evaluated += len(at)
-            half = len(active)
-            left[active] = np.minimum(left[active], np.maximum(low, left[active] - step))
-            right[active] = np.maximum(right[active], np.minimum(high, right[active] + step))
-            step = step * 2 if half else step
+            at, to = left[active], right[active]
+            left[active], right[active] = np.minimum(at, np.maximum(low, at - step)), np.maximum(to, np.minimum(high, to + step))
+            evaluated += evaluate(active, left[active], at) + evaluate(active, to, right[active])
+            step *= 2
         return best % k, best // k, evaluated
 
 
