@@ -99,6 +99,22 @@ def test_scores_by_brute_force_wherever_the_trunk_ends(spark, depth, min_count):
         assert found == pytest.approx(expected, rel=1e-9), (min_share, hot_tokens)
 
 
+@pytest.mark.parametrize("head_words", [1, 4])
+def test_words_that_are_not_broadcast_are_contexts_and_continuations(spark, monkeypatch, head_words):
+    monkeypatch.setattr(m, "HEAD_WORDS", head_words)
+    texts = chained(60, list("abcdEf"), 40, 8) + ["", "once", "twice twice e\u0301 \u6f22 \u6f22"]
+    split = [m.tokens(t.encode()) for t in texts]
+    train = [t for i, t in enumerate(split) if i % 3]
+    expected, uni = brute_force(train, split, 3, 3), Counter(w for t in train for w in t)
+    for min_share, hot_tokens, part_tokens, fan in [(0.1, 0, 60, 3), (1e-6, 60, 150, 4096), (1e-6, 1 << 18, 100, 4096)]:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        rows = m.score(docs, F.col("doc_id") % 3 != 0, depth=3, min_count=3, min_share=min_share, part_tokens=part_tokens, fan=fan, hot_tokens=hot_tokens).orderBy("doc_id").collect()
+        assert [r["score"] for r in rows] == pytest.approx(expected, rel=1e-9), (min_share, hot_tokens)
+        assert [r["n_known"] for r in rows] == [sum(uni[w] > 0 for w in t) for t in split]
+        n, v = sum(uni.values()), len(uni)
+        assert [r["base_score"] for r in rows] == pytest.approx([sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t) for t in split], rel=1e-9)
+
+
 def test_a_hot_context_and_words_of_held_out_texts_only(spark):
     """One word precedes a third of all tokens, with many different ones behind it; others are frequent in held-out texts only."""
     rng = np.random.default_rng(5)

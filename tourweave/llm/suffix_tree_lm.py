@@ -15,8 +15,9 @@ mean log-likelihood gain on its own training tokens reaches ``MIN_GAIN``.  A tok
 longest suffix of the words before it that stays.
 
 How it is worked out.  Texts are turned into word ids once.  The ``HEAD_WORDS`` most frequent words are
-broadcast; contexts and continuations are made of them.  All other words are counted and looked up by a
-shuffled join.  No group of tokens may be hot, so what is frequent is set apart; the scores are the same
+broadcast, with all that are frequent in the sense below.  The ids of all others that occur twice or more come back, for each
+chunk of the corpus, from the part that holds the word; contexts and continuations are made of all words alike.  A word that
+occurs once is no kept continuation and in no candidate, so it needs no id, only its probability.  No group of tokens may be hot, so what is frequent is set apart; the scores are the same
 wherever the line is drawn.  Frequent is what ``HOT_TOKENS`` tokens or more have, of training rows or not, or a
 share of ``MIN_SHARE`` where that is more; so there are ``1 / MIN_SHARE`` frequent contexts a length at most.
 
@@ -41,6 +42,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -62,7 +64,8 @@ PART_TOKENS, FAN = 1 << 20, 4096
 #: From how many tokens, and from which share, a context or continuation is frequent.
 HOT_TOKENS, MIN_SHARE = PART_TOKENS, 1e-6
 END = b""
-_BITS = 20  # ids of frequent words fit
+_BITS, _WIDE = 20, 36  # ids of frequent words fit, those of all words
+_BUCKET_BITS = 17  # words that a task looks up at a time
 # what a worker holds at a time: distinct words, tokens, keys, documents
 _FLUSH, _CHUNK, _KEYS, _ROWS = 200_000, 1 << 19, 1 << 21, 256
 _BLOCK = 2048  # documents whose sums travel together
@@ -107,14 +110,17 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of small whole numbers, by bytes of the same weight, compressed."""
-    planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    """Columns of whole numbers from 0 on, by bytes of the same weight, compressed; the first byte is their width."""
+    width = max(1, *(-(-int(c.max(initial=0)).bit_length() // 8) for c in columns))
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for c in columns]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _unpack(packed: bytes, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return [np.ascontiguousarray(c.T).view("<u4").ravel().astype(np.int64) for c in raw.reshape(columns, 4, -1)]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(columns, packed[0], -1)
+    out = np.zeros((columns, raw.shape[2], 8), np.uint8)
+    out[:, :, : packed[0]] = raw.transpose(0, 2, 1)
+    return [c.view("<i8").ravel() for c in out]
 
 
 def before(ids: np.ndarray, sizes: np.ndarray, depth: int, limit: int) -> np.ndarray:
@@ -130,6 +136,28 @@ def before(ids: np.ndarray, sizes: np.ndarray, depth: int, limit: int) -> np.nda
     return out
 
 
+@dataclass
+class Vocabulary:
+    """What ids say: those below ``head`` are words that are broadcast, those from there on follow each other by falling counts."""
+
+    log_head: np.ndarray
+    starts: np.ndarray  # where the other words' counts change
+    logs: np.ndarray  # and the log probability from there on
+    may: tuple[int, int, int]  # ids below the first, and from the second to below the third, may be in contexts
+
+    def log(self, x: np.ndarray) -> np.ndarray:
+        """Log probability by the root; 0 for what is -1."""
+        out = np.where(x >= 0, self.log_head[np.minimum(x, len(self.log_head) - 1)], 0.0)
+        if len(self.starts):
+            other = x >= self.starts[0]
+            out[other] = self.logs[np.searchsorted(self.starts, x[other], "right") - 1]
+        return out
+
+    def before(self, ids: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+        limit, first, end = self.may
+        return before(np.where((ids < limit) | (ids >= first) & (ids < end), ids, -1), sizes, depth, end)
+
+
 @dataclass
 class Level:
     """The trunk's contexts of one length: key ``shorter context << 20 | first word``, sorted."""
@@ -142,18 +170,26 @@ class Level:
     rest: np.ndarray = field(default_factory=lambda: np.empty(0))
     keep: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
 
+    def entry(self, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Where the tokens ``x`` are among the frequent continuations, -1 if they are not."""
+        return _find(self.next_keys, np.where((x >= 0) & (x < 1 << _BITS), s << _BITS | x, -1))
+
 
 @dataclass
 class Trunk:
     log_root: np.ndarray
     min_count: int
     levels: list[Level] = field(default_factory=list)
+    vocabulary: Vocabulary | None = None
+
+    def root(self, x: np.ndarray) -> np.ndarray:
+        return np.where(x >= 0, self.log_root[x], 0.0) if self.vocabulary is None else self.vocabulary.log(x)
 
     def states(self, words: np.ndarray) -> Iterator[np.ndarray]:
         """Level by level each token's context, -1 where it is not in the trunk."""
         state, alive = np.zeros(words.shape[1], np.int64), np.ones(words.shape[1], bool)
         for level, w in zip(self.levels, words):
-            alive = alive & (w >= 0)
+            alive = alive & (w >= 0) & (w < 1 << _BITS)
             found = np.full(len(w), -1, np.int64)
             found[alive] = _find(level.keys, state[alive] << _BITS | w[alive])
             alive, state = found >= 0, found
@@ -176,9 +212,9 @@ class Trunk:
     def steps(self, words: np.ndarray, x: np.ndarray, seen: np.ndarray) -> Iterator[tuple[Level, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Level by level: tokens, their candidates, the gain over the shorter context, and all log probabilities so far.
         ``seen`` has, a row a level, the counts of tails.  Unknown tokens go without the root's share."""
-        log = np.where(x >= 0, self.log_root[x], 0.0)
+        log = self.root(x)
         for (level, at, s), counted in zip(self.candidates(words), seen):
-            entry = _find(level.next_keys, np.where(x[at] >= 0, s << _BITS | x[at], -1))
+            entry = level.entry(s, x[at])
             n = np.where(entry >= 0, level.next_n[entry] if len(level.next_n) else 0, counted[at])
             more = np.log(n / (level.counts[s] + PRIOR) * np.exp(-log[at]) + level.rest[s])
             log[at] += more
@@ -186,7 +222,7 @@ class Trunk:
 
     def walk(self, words: np.ndarray, x: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per token the log probability by its longest candidate in the trunk, and that by the longest one that stays."""
-        log = np.where(x >= 0, self.log_root[x], 0.0)
+        log = self.root(x)
         best = log.copy()
         for level, at, s, _, log in self.steps(words, x, seen):  # noqa: B007
             best[at] = np.where(level.keep[s], log[at], best[at])
@@ -205,17 +241,16 @@ class Trunk:
         out = np.full(len(x), -1, np.int64)
         for k, (level, at, s) in enumerate(self.candidates(words)):
             free = (out[at] < 0) & (x[at] >= 0)
-            pair = s[free] << _BITS | x[at[free]]
-            out[at[free]] = np.where(_find(level.next_keys, pair) < 0, pair * len(self.levels) + k, -1)
+            pair = s[free] << _WIDE | x[at[free]]
+            out[at[free]] = np.where(level.entry(s[free], x[at[free]]) < 0, pair * len(self.levels) + k, -1)
         return out
 
     def count_tails(self, words: np.ndarray, x: np.ndarray, learn: np.ndarray) -> np.ndarray:
         """``seen`` for all tokens of a part: how often training tokens are the same continuation; 0 unless it is kept."""
         seen = np.zeros((len(self.levels), len(x)), np.int64)
         for row, (level, at, s) in zip(seen, self.candidates(words)):
-            pair = s << _BITS | x[at]
-            loose = _find(level.next_keys, pair) < 0
-            at, pair = at[loose], pair[loose]
+            loose = level.entry(s, x[at]) < 0
+            at, pair = at[loose], (s << _WIDE | x[at])[loose]
             keys, n = np.unique(pair[learn[at]], return_counts=True)
             entry = _find(keys, pair)
             n = np.where(entry >= 0, n[entry] if len(n) else 0, 0)
@@ -264,15 +299,15 @@ def branches(trunk: Trunk, words: np.ndarray, x: np.ndarray, learn: np.ndarray,
         if not alive.any():
             break
         # contexts of k words, numbered in this part
-        own[alive] = np.unique(own[alive] << _BITS | w[alive], return_inverse=True)[1]
+        own[alive] = np.unique(own[alive] << _WIDE | w[alive], return_inverse=True)[1]
         at = np.flatnonzero(alive & (depth < k))
         taught = at[learn[at]]
         size = int(own[alive].max()) + 1
         c = np.bincount(own[taught], minlength=size).astype(np.float64)
         pairs = taught[x[taught] >= 0]
-        next_keys, n = np.unique(own[pairs] << _BITS | x[pairs], return_counts=True)
+        next_keys, n = np.unique(own[pairs] << _WIDE | x[pairs], return_counts=True)
         next_keys, n = next_keys[n > 1], n[n > 1].astype(np.float64)
-        left = c - np.bincount(next_keys >> _BITS, n, size)[:size]
+        left = c - np.bincount(next_keys >> _WIDE, n, size)[:size]
         rest = (left + PRIOR) / (c + PRIOR)
         at = at[c[own[at]] >= min_count]
         alive = alive & (depth >= k)
@@ -280,7 +315,7 @@ def branches(trunk: Trunk, words: np.ndarray, x: np.ndarray, learn: np.ndarray,
         if not len(at):
             continue
         s = own[at]
-        entry = np.where(x[at] >= 0, _find(next_keys, s << _BITS | np.maximum(x[at], 0)), -1)
+        entry = np.where(x[at] >= 0, _find(next_keys, s << _WIDE | np.maximum(x[at], 0)), -1)
         seen = np.where(entry >= 0, n[entry] if len(n) else 0.0, 0.0)
         new = np.log(seen / (c[s] + PRIOR) * np.exp(-log[at]) + rest[s])  # relative to the parent
         gain = np.bincount(s[learn[at]], new[learn[at]], size)[:size]
@@ -365,7 +400,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int = _CHUNK, gaps: bool =
         yield np.concatenate(ids), np.array(sizes), np.array(learn, bool), first
 
 
-def _count_level(coded: DataFrame, trunk, least: float, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _count_level(coded: DataFrame, trunk, least: float) -> tuple[np.ndarray, np.ndarray]:
     """The continuations of the trunk's last level with at least ``least`` tokens: sorted keys and training tokens."""
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -375,8 +410,8 @@ def _count_level(coded: DataFrame, trunk, least: float, limit: int) -> tuple[np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held, size = trunk.value, [], 0
         for ids, sizes, learn, _ in _chunks(batches, gaps=True):
-            state = model.last(before(ids, sizes, len(model.levels), limit))
-            at = np.flatnonzero((state >= 0) & (ids >= 0))
+            state = model.last(model.vocabulary.before(ids, sizes, len(model.levels)))
+            at = np.flatnonzero((state >= 0) & (ids >= 0) & (ids < len(model.log_root)))  # no other word is frequent
             held.append((state[at] << _BITS | ids[at]) << 1 | np.repeat(learn, sizes)[at])
             size += len(at)
             if size >= _KEYS:
@@ -390,8 +425,8 @@ def _count_level(coded: DataFrame, trunk, least: float, limit: int) -> tuple[np.
 
 
 def _head_least(unigrams: DataFrame) -> float:
-    """The least count of which there are ``HEAD_WORDS`` words at most, from a histogram by quarters of octaves."""
-    by_size = unigrams.groupBy(F.floor(F.log2("n") * 4).alias("q")).count().orderBy(F.desc("q")).collect()  # some 250 rows at most
+    """From which count on words are broadcast, ``HEAD_WORDS`` of them at most, from a histogram by quarters of octaves."""
+    by_size = unigrams.groupBy(F.floor(F.log2("all") * 4).alias("q")).count().orderBy(F.desc("q")).collect()  # some 250 rows at most
     held, least = 0, 1.0
     for r in by_size:
         held += r["count"]
@@ -400,6 +435,93 @@ def _head_least(unigrams: DataFrame) -> float:
     return least
 
 
+def _numbered(words: DataFrame, first: int) -> tuple[DataFrame, list]:
+    """``(word, id)`` with the numbers from ``first`` on by falling counts, and how many words have each count."""
+    placed = cut(words.orderBy(F.desc("n"), "word").select("word", "n", F.monotonically_increasing_id().alias("at")))
+    placed = placed.select("word", "n", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at"))
+    ranges = placed.groupBy("range").count().orderBy("range").collect()  # a row a partition
+    ends = first + np.cumsum([r["count"] for r in ranges])
+    offsets = words.sparkSession.createDataFrame([(r["range"], int(end) - r["count"]) for r, end in zip(ranges, ends)], "range long, offset long")
+    runs = placed.groupBy("n").count().orderBy(F.desc("n")).collect()  # these words are the rarer ones, so there are few counts
+    return placed.join(F.broadcast(offsets), "range").select("word", (F.col("offset") + F.col("at")).alias("id")), runs
+
+
+def _coded(rows: DataFrame, train: Column, words: list[bytes], others: DataFrame, vocabulary: Vocabulary, total: int, distinct: int) -> DataFrame:
+    """Texts as ids, numbered.  A chunk of documents asks once for each of its words that is not broadcast, a bucket of words at a time;
+    ``others`` has their ids, or -1 for words that occur once."""
+    head, buckets = len(words), 1 + (distinct >> _BUCKET_BITS)
+    context = rows.sparkSession.sparkContext
+    lookup, shipped = context.broadcast({w: i for i, w in enumerate(words)}), context.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, chunk, asked, held = lookup.value, -1, {}, 0
+
+        def batch(n: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in _CODED], [k for k, _ in _CODED])
+
+        def questions() -> pa.RecordBatch:
+            found: dict[int, tuple[list, list]] = {}
+            for w, j in asked.items():
+                own = found.setdefault(crc32(w) % buckets, ([], []))
+                own[0].append(w)
+                own[1].append(j)
+            of = [zstandard.ZstdCompressor(level=3).compress(b" ".join(w)) for w, _ in found.values()]
+            which = [_pack(np.diff(np.array(j), prepend=0)) for _, j in found.values()]
+            return batch(len(found), chunk=pa.array([chunk] * len(found), pa.int64()), bucket=pa.array(list(found), pa.int64()), ids=pa.array(which, pa.binary()), words=pa.array(of, pa.binary()))
+
+        for b in _slices(batches):
+            chunk, packed = b.column("row")[0].as_py() if chunk < 0 else chunk, []
+            for text in b.column("text").to_pylist():
+                split = tokens(text)
+                ids = np.fromiter(map(place.get, split, repeat(-1)), np.int64, len(split))
+                for i in np.flatnonzero(ids < 0).tolist():
+                    ids[i] = head + asked.setdefault(split[i], len(asked))
+                packed.append(_pack(ids))
+                held += len(split)
+            yield batch(b.num_rows, chunk=pa.array([chunk] * b.num_rows, pa.int64()), ids=pa.array(packed, pa.binary()), **{c: b.column(c) for c in ("row", "doc_id", "learn")})
+            if held >= _CHUNK * 3 // 4:
+                yield questions()
+                chunk, asked, held = -1, {}, 0
+        yield questions()
+
+    def answer(questions: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        place, out = dict(zip(known["word"], known["id"])), []
+        for asked in questions["words"]:
+            split = zstandard.ZstdDecompressor().decompress(asked).split(b" ")
+            out.append(_pack(np.fromiter(map(place.get, split, repeat(-2)), np.int64, len(split)) + 2))
+        return pd.DataFrame({"chunk": questions["chunk"], "which": questions["ids"], "found": out})
+
+    def fill(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = docs.sort_by("row")
+        which = [np.cumsum(_unpack(w, 1)[0]) for w in answers["which"].to_pylist()]
+        found = np.full(sum(map(len, which)), -2, np.int64)
+        for w, f in zip(which, answers["found"].to_pylist()):
+            found[w] = _unpack(f, 1)[0] - 2
+        each = [_unpack(p, 1)[0] for p in docs["ids"].to_pylist()]
+        sizes, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
+        asked = ids >= head
+        ids[asked] = found[ids[asked] - head]
+        starts = np.cumsum(sizes) - sizes
+        known, more = ids > -2, np.add.reduceat(np.where(ids < 0, np.log10(np.where(ids == -1, 2, 1) / (total + distinct + 1)), 0.0), starts)
+        ids = np.maximum(ids, -1)
+        base = np.add.reduceat(shipped.value.log(ids), starts) / np.log(10) + more
+        packed = [_pack(x + 1) for x in np.split(ids, starts[1:])]
+        columns = [sizes, np.add.reduceat(known.astype(np.int64), starts), base, more, pa.array(packed, pa.binary())]
+        return pa.table([*(docs[c] for c in ("row", "doc_id", "learn")), *map(pa.array, columns)], ["row", "doc_id", "learn", "n_tokens", "n_known", "base_score", "more", "ids"])
+
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(train, F.lit(False)).alias("learn"), "text")
+    # the partitions are files from here on, so the numbers are stable
+    asked = cut(numbered.mapInArrow(encode, "chunk long, row long, doc_id long, learn boolean, ids binary, bucket long, words binary"))
+    questions = asked.where("bucket IS NOT NULL").select("chunk", "bucket", "ids", "words").groupBy("bucket")
+    known = others.withColumn("bucket", F.crc32("word") % buckets).groupBy("bucket")
+    answers = questions.cogroup(known).applyInPandas(answer, "chunk long, which binary, found binary").groupBy("chunk")
+    docs = asked.where("bucket IS NULL").select("chunk", "row", "doc_id", "learn", "ids").groupBy("chunk")
+    return cut(docs.cogroup(answers).applyInArrow(fill, "row long, doc_id long, learn boolean, n_tokens long, n_known long, base_score double, more double, ids binary"))
+
+
+_CODED = [("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.binary()), ("bucket", pa.int64()), ("words", pa.binary())]
+
+
 def score(
     docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, part_tokens: int = PART_TOKENS, fan: int = FAN, hot_tokens: int = HOT_TOKENS
 ) -> DataFrame:
@@ -409,39 +531,28 @@ def score(
     marked = docs.select(text_or_empty(text_col).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
     counted_words = marked.mapInArrow(_count_words, "word binary, all long, n long").groupBy("word").agg(F.sum("all").alias("all"), F.sum("n").alias("n"))
     unigrams = cut(counted_words.where("n > 0"))
-    sums = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    sums = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("all").alias("all")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    head_least = _head_least(unigrams)
-    head = unigrams.where(F.col("n") >= head_least).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    # what is frequent is broadcast, however many words are before it
+    head_least = min(_head_least(unigrams), max(min_share * (sums["all"] or 0), min_count, hot_tokens))
+    head = unigrams.where(F.col("all") >= head_least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, counts, everywhere = head["word"].map(bytes).tolist(), head["n"].to_numpy(np.int64), head["all"].to_numpy(np.int64)
-    limit = int((counts >= min_count).sum())  # no candidate holds a word behind it
-    log_root = np.log(np.append((counts + 1) / (total + distinct + 1), 1.0))
-    lookup = context.broadcast(({w: i for i, w in enumerate(words)}, log_root))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (place, logs), log10 = lookup.value, np.log(10)
-        for b in _slices(batches):
-            sizes, known, base, packed, rare = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                split = tokens(text)
-                ids = np.fromiter(map(place.get, split, repeat(-1)), np.int64, len(split))
-                unknown = np.flatnonzero(ids < 0)
-                sizes.append(len(split))
-                known.append(len(split) - len(unknown))
-                base.append(float(logs[ids].sum()) / log10)  # the last of logs is that of -1
-                packed.append(_pack(ids + 1))
-                rare.append(b" ".join([split[i] for i in unknown.tolist()]))
-            columns = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(packed, pa.binary()), pa.array(rare, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "doc_id", "learn")), *columns], ["row", "doc_id", "learn", "n_tokens", "n_head", "base_head", "ids", "rare"])
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(train, F.lit(False)).alias("learn"), "text")
-    # the partitions are files from here on, so the numbers are stable
-    coded = cut(numbered.mapInArrow(encode, "row long, doc_id long, learn boolean, n_tokens long, n_head long, base_head double, ids binary, rare binary"))
+    others = unigrams.where(F.col("all") < head_least)
+    numbers, runs = _numbered(others.where("n > 1"), len(words))
+    of_run, learned_run = np.array([r["count"] for r in runs], np.int64), np.array([r["n"] for r in runs], np.int64)
+    vocabulary = Vocabulary(
+        np.log(np.append((counts + 1) / (total + distinct + 1), 1.0)),
+        len(words) + np.cumsum(of_run) - of_run,
+        np.log((learned_run + 1) / (total + distinct + 1)),
+        # no candidate holds a word that is rarer
+        (int((counts >= min_count).sum()), len(words), len(words) + int(of_run[learned_run >= min_count].sum())),
+    )
+    coded = _coded(rows, train, words, numbers.unionByName(others.where("n = 1").select("word", F.lit(-1).cast("long").alias("id"))), vocabulary, total, distinct)
 
     all_tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
     least = max(min_share * all_tokens, min_count, hot_tokens)
     parts = max(1, -(-all_tokens // part_tokens))
-    trunk, frequent = Trunk(log_root, min_count), []
+    trunk, frequent = Trunk(vocabulary.log_head[:-1], min_count, vocabulary=vocabulary), []
     end = words.index(END) if END in words else -1  # nothing follows an end
     next_keys = np.flatnonzero(everywhere >= least)
     learned = counts[next_keys]
@@ -450,7 +561,7 @@ def score(
         if not len(keys):
             break
         trunk.levels.append(Level(contexts, keys, learned, *(np.empty(0, np.int64),) * 2))
-        next_keys, learned = _count_level(coded, context.broadcast(trunk), least, limit)
+        next_keys, learned = _count_level(coded, context.broadcast(trunk), least)
         trunk.levels[-1].next_keys, trunk.levels[-1].next_n = next_keys, np.where(learned > 1, learned, 0)
         frequent.append(learned)
 
@@ -468,7 +579,7 @@ def score(
             spans = [slice(a, a + _CHUNK) for a in range(0, len(t.x), _CHUNK)]
             return pd.DataFrame({"n": [len(t.x[span]) for span in spans], "packed": [t.pack(span) for span in spans]})
 
-        tails = cut(_dealt([(plain, _coded_tokens(depth, 0, limit), place_tails)], depth, 0, parts, fan).groupBy("part").applyInPandas(count, "n long, packed binary"))
+        tails = cut(_dealt([(plain, _coded_tokens(depth, 0, counted), place_tails)], depth, 0, parts, fan).groupBy("part").applyInPandas(count, "n long, packed binary"))
         # sums for each context of the trunk, of which there are 1 / min_share a length at most
         kept, learned_tails = _context_sums(tails, counted, depth, _kept_tails, 2)
         trunk.weigh(kept)
@@ -479,7 +590,7 @@ def score(
     def by_trunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for ids, each, _, first in _chunks(batches):
-            context = before(ids, each, depth, limit)
+            context = model.vocabulary.before(ids, each, depth)
             _, best = model.walk(context, ids, np.zeros((levels, len(ids)), np.int64))
             best[model.tails(context, ids) >= 0] = 0
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(each))), pa.array(np.add.reduceat(best, np.cumsum(each) - each) / np.log(10))], ["row", "score_head"])
@@ -500,7 +611,7 @@ def score(
 
     pieces = [] if tails is None else [tails.mapInArrow(by_tails, _SUMS)]
     if least > min_count:
-        sources = [(plain, _coded_tokens(depth, levels, limit), place_others)] + ([] if tails is None else [(tails, _packed_tokens(depth, levels), place_branches)])
+        sources = [(plain, _coded_tokens(depth, levels, shipped), place_others)] + ([] if tails is None else [(tails, _packed_tokens(depth, levels), place_branches)])
         pieces.append(_dealt(sources, depth, levels, parts, fan).groupBy("part").applyInPandas(grow, _SUMS))
     scored = plain.mapInArrow(by_trunk, "row long, score_head double")
     for piece in pieces:
@@ -508,20 +619,8 @@ def score(
         scored = scored.unionByName(piece.groupBy("block").applyInPandas(_add_up, "row long, score_head double"))
     scored = scored.groupBy("row").agg(F.sum("score_head").alias("score_head"))
 
-    # the words are UTF-8 without spaces; an end is among them only where no training document is
-    rare = coded.where(F.col("n_tokens") > F.col("n_head")).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
-    tail = unigrams.where(F.col("n") < head_least).select(F.col("word").cast("string").alias("word"), "n")
-    term = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    looked = rare.join(tail, "word", "left").groupBy("row").agg(F.sum(term).alias("more"), F.count("n").alias("n_tail"))
-    out = coded.select("row", "doc_id", "n_tokens", "n_head", "base_head").join(scored, "row").join(looked, "row", "left")
-    zero = F.lit(0)
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("n_tail", zero)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_head") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score_head") + F.coalesce("more", F.lit(0.0))).alias("score"),
+    return coded.select("row", "doc_id", "n_tokens", "n_known", "base_score", "more").join(scored, "row").select(
+        "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("score_head") + F.col("more")).alias("score")
     )
 
 
@@ -535,13 +634,13 @@ def _mixed_parts(key: np.ndarray, parts: int) -> np.ndarray:
     return np.where(key >= 0, ((mixed ^ mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64), -1)
 
 
-def _coded_tokens(depth: int, levels: int, limit: int):
+def _coded_tokens(depth: int, levels: int, trunk):
     """Reads tokens of coded texts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
         for ids, each, learn, first in _chunks(batches):
             row = first + np.repeat(np.arange(len(each)), each)
-            yield Tokens(before(ids, each, depth, limit), ids, np.repeat(learn, each), row, np.zeros((levels, len(ids)), np.int64))
+            yield Tokens(trunk.value.vocabulary.before(ids, each, depth), ids, np.repeat(learn, each), row, np.zeros((levels, len(ids)), np.int64))
 
     return read
 
@@ -594,14 +693,14 @@ def _dealt(sources: list[tuple], depth: int, levels: int, parts: int, fan: int)
 def _kept_tails(model: Trunk, t: Tokens) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Level by level the contexts of training tokens that are tails there; 1 if the continuation is kept, and 1."""
     for seen, (level, at, s) in zip(t.seen, model.candidates(t.words)):
-        loose = t.learn[at] & (_find(level.next_keys, s << _BITS | t.x[at]) < 0)
+        loose = t.learn[at] & (level.entry(s, t.x[at]) < 0)
         yield s[loose], [(seen[at[loose]] > 0).astype(np.float64), np.ones(int(loose.sum()))]
 
 
 def _gained_tails(model: Trunk, t: Tokens) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Level by level the contexts of training tokens that are tails there, and what each gains over the shorter context."""
     for level, at, s, more, _ in model.steps(t.words, t.x, t.seen):
-        loose = t.learn[at] & (_find(level.next_keys, s << _BITS | t.x[at]) < 0)
+        loose = t.learn[at] & (level.entry(s, t.x[at]) < 0)
         yield s[loose], [more[loose]]
 
 
