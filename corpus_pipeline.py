@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept:
 
 1. quality    drops the documents that the Bradley-Terry classifier rejects;
-2. near_dups  keeps one document of each group of near copies (five-word shingles, Jaccard 0.8 or more);
+2. near_dups  keeps one document of each group of texts linked by op1's SimHash (2 bits or fewer, vantage-point tree)
+              or, farther apart than fingerprints reach, as near copies (five-word shingles, Jaccard 0.8 or more);
 3. leaks      drops documents with passages of the benchmark, also re-parameterised ones;
 4. secrets    replaces every secret by a mark of its kind and counts the characters anew;
 5. encode     returns the token ids of what is left: doc_id, lang, source, n_tokens, ids.
@@ -29,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.drop_near_copies(docs)
+    return near_copies.drop_simhash_and_near_copies(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

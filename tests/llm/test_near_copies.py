@@ -81,6 +81,23 @@ def test_the_stage_drops_what_simhash_at_two_bits_keeps(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_dups(spark, docs, "").collect()] == [1]
 
 
+def test_the_stage_links_by_simhash_and_by_near_copies_together(spark):
+    """1 and 2 are linked by their fingerprints only, as passages that repeat decide them; 3 and 4 are near copies only."""
+    import corpus_pipeline
+    from tourweave.llm import simhash_dedup
+
+    rng = random.Random(4)
+    line = " ".join(f"l{i}" for i in range(51))  # an odd number of shingles, so each bit has a majority
+    texts = {n: f"{line} " * 60 + " ".join(f"x{n}.{i}" for i in range(10)) for n in (1, 2)}
+    words = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts |= {3: " ".join(words), 4: " ".join(edited(rng, words, 2)), 5: "a text of its own, and nothing is like it at all"}
+    rows = sorted(texts.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert brute_force(rows) == {1, 2, 3, 5}
+    assert {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(docs).collect()} == {1, 3, 4, 5}
+    assert {r["doc_id"] for r in corpus_pipeline.near_dups(spark, docs, "").collect()} == {1, 3, 5}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     kept = m.drop_near_copies(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == 6

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
-from .simhash_dedup import keep_first
+from .simhash_dedup import keep_first, simhash_components
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -160,8 +160,8 @@ def _apart(tested: DataFrame, roots: DataFrame) -> DataFrame:
     return asking.unionByName(asked).groupBy("v", "i", "j").applyInPandas(_compare, "u long, v long")
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text_key, component_id, root)``, a row per row of ``docs``."""
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, text_key, component_id, root)``, a row per row of ``docs``; ``known(u, v)`` has text keys that are linked already."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
     signed = cut(texts.mapInArrow(_sign, "text_key long, keys array<long>"))
@@ -173,7 +173,8 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lead = member.groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("text_key").alias("rank"), "text_key")).alias("lead"))
     pairs = member.join(lead, "bucket").where(F.col("text_key") != F.col("lead.text_key")).select(F.col("text_key").alias("u"), F.col("lead.text_key").alias("v")).distinct()
     tested = _tested(cut(pairs), texts)
-    edges = cut(tested.where(similar(F.col("both"), F.col("n"), F.col("m"))).select("u", "v"))
+    edges = tested.where(similar(F.col("both"), F.col("n"), F.col("m"))).select("u", "v")
+    edges = cut(edges if known is None else edges.unionByName(known.select("u", "v")))
 
     roots = cut(connected_components(edges))
     more = cut(_apart(tested, roots))
@@ -186,6 +187,18 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return named.join(firsts, "root").select("doc_id", "text_key", "component_id", "root")
 
 
+def simhash_links(found: DataFrame) -> DataFrame:
+    """``(u, v)`` for ``known``: the text keys of each component that ``simhash_dedup`` found, linked to the least of them."""
+    least = found.groupBy("root").agg(F.min("text_key").alias("v"))
+    return found.join(least, "root").where("text_key <> v").select(F.col("text_key").alias("u"), "v").distinct()
+
+
+def drop_simhash_and_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``keep_first`` leaves of each component of near fingerprints and near copies together."""
+    known = simhash_links(simhash_components(docs, id_col, text_col))
+    return keep_first(docs, near_copy_components(docs, id_col, text_col, known), id_col, text_col)
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``keep_first`` leaves of each component of near copies."""
     return keep_first(docs, near_copy_components(docs, id_col, text_col), id_col, text_col)
