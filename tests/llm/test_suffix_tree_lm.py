@@ -115,6 +115,15 @@ def test_words_that_are_not_broadcast_are_contexts_and_continuations(spark, monk
         assert [r["base_score"] for r in rows] == pytest.approx([sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t) for t in split], rel=1e-9)
 
 
+def test_word_counts_travel_in_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(m, "_FLUSH", 50)
+    texts = chained(40, [f"w{i}" for i in range(200)], 80, 6) + ["", "\u6f22 e\u0301"]
+    rows = [(t.encode(), i % 3 != 0) for i, t in enumerate(texts)]
+    found = m._word_counts(spark.createDataFrame(rows, "text binary, learn boolean").repartition(2))
+    every, learned = (Counter(w for t, learn in rows if learn or not some for w in m.tokens(t)) for some in (False, True))
+    assert {bytes(r["word"]): (r["all"], r["n"]) for r in found.collect()} == {w: (every[w], n) for w, n in learned.items()}
+
+
 def test_a_hot_context_and_words_of_held_out_texts_only(spark):
     """One word precedes a third of all tokens, with many different ones behind it; others are frequent in held-out texts only."""
     rng = np.random.default_rng(5)

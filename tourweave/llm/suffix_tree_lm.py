@@ -84,21 +84,45 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, _ROWS)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        n = pa.array(list(counts.values()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), n, n if counts is learned else pa.array([0] * len(n), pa.int64())], ["word", "all", "n"])
-
-    learned, others = Counter(), Counter()
-    for b in _slices(batches):
-        for text, learn in zip(b.column("text").to_pylist(), b.column("learn").to_pylist()):
-            counts = learned if learn else others
-            counts.update(tokens(text))
-            if len(counts) >= _FLUSH:
-                yield out(counts)
-                counts.clear()
-    yield out(learned)
-    yield out(others)
+def _word_counts(marked: DataFrame) -> DataFrame:
+    """``(word, all, n)``: how often the words of training rows occur in all rows and in those.  Counts travel sorted and compressed, by buckets of words."""
+    buckets = 64 + marked.rdd.getNumPartitions() // 4
+
+    def out(counts: Counter, learn: bool) -> pa.RecordBatch:
+        found: dict[int, list[tuple[bytes, int]]] = {}
+        for item in counts.items():
+            found.setdefault(crc32(item[0]) % buckets, []).append(item)
+        columns = [[], []]
+        for items in found.values():
+            words, n = zip(*sorted(items))
+            columns[0].append(zstandard.ZstdCompressor(level=3).compress(b" ".join(words)))
+            columns[1].append(_pack(np.array(n, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([learn] * len(found), pa.bool_()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "learn", "words", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learned, others = Counter(), Counter()
+        for b in _slices(batches):
+            for text, learn in zip(b.column("text").to_pylist(), b.column("learn").to_pylist()):
+                counts = learned if learn else others
+                counts.update(tokens(text))
+                if len(counts) >= _FLUSH:
+                    yield out(counts, learn)
+                    counts.clear()
+        yield out(learned, True)
+        yield out(others, False)
+
+    def add(bucket: pa.Table) -> pa.Table:
+        learned, others = Counter(), Counter()
+        for learn, words, counts in zip(*(bucket.column(c).to_pylist() for c in ("learn", "words", "counts"))):
+            total = learned if learn else others
+            for w, n in zip(zstandard.ZstdDecompressor().decompress(words).split(b" "), _unpack(counts, 1)[0].tolist()):
+                total[w] += n
+        n = np.array(list(learned.values()), np.int64)
+        every = n + np.fromiter((others.get(w, 0) for w in learned), np.int64, len(n))
+        return pa.table([pa.array(list(learned), pa.binary()), pa.array(every), pa.array(n)], ["word", "all", "n"])
+
+    counted = marked.mapInArrow(count, "bucket long, learn boolean, words binary, counts binary")
+    return counted.groupBy("bucket").applyInArrow(add, "word binary, all long, n long")
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -529,8 +553,7 @@ def score(
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     marked = docs.select(text_or_empty(text_col).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("learn"))
-    counted_words = marked.mapInArrow(_count_words, "word binary, all long, n long").groupBy("word").agg(F.sum("all").alias("all"), F.sum("n").alias("n"))
-    unigrams = cut(counted_words.where("n > 0"))
+    unigrams = cut(_word_counts(marked))
     sums = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("all").alias("all")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
     # what is frequent is broadcast, however many words are before it
