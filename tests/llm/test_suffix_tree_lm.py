@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,39 @@ def test_word_counts_travel_in_few_rows(spark, monkeypatch):
     assert {bytes(r["word"]): (r["all"], r["n"]) for r in found.collect()} == {w: (every[w], n) for w, n in learned.items()}
 
 
+def test_texts_are_split_by_columns():
+    odd = [bytes([i]) for i in range(256)] + [b"A" + bytes([i]) + b"b" for i in range(256)]
+    texts = [b"", b" ", b" \t\n\x0b\x0c\r ", b" a  B\x0b\x0cc ", "\u0130\u212a \u00a0x \u2028".encode(), b"one", *odd]
+    batch = pa.array([b"skipped", *texts], pa.binary()).slice(1)
+    words, sizes = m._split(batch)
+    assert words.view(pa.binary()).to_pylist() == [w for t in texts for w in m.tokens(t)]
+    assert sizes.tolist() == [len(m.tokens(t)) for t in texts]
+    distinct, at = m._distinct([words, words.slice(0, 0), words.slice(5)])
+    every = words.view(pa.binary()).to_pylist()
+    assert len(distinct) == len(set(every)) and distinct.take(pa.array(at)).view(pa.binary()).to_pylist() == every + every[5:]
+    found = {int(i): w for _, own, joined in m._by_buckets(distinct, 7) for i, w in zip(own, m._joined(joined).view(pa.binary()).to_pylist(), strict=True)}
+    assert [found[i] for i in range(len(distinct))] == distinct.view(pa.binary()).to_pylist()
+
+
+def test_each_column_travels_by_its_own_width():
+    columns = [np.array([0, 1, 255]), np.array([256, 0, 7]), np.array([1 << 40, 3, (1 << 62) + 5]), np.zeros(3, np.int64)]
+    packed = m._pack(*columns)
+    assert list(packed[:4]) == [1, 2, 8, 1]
+    assert all(np.array_equal(a, b) for a, b in zip(m._unpack(packed, 4), columns, strict=True))
+    assert [len(c) for c in m._unpack(m._pack(np.empty(0, np.int64), np.empty(0, np.int64)), 2)] == [0, 0]
+
+
+def test_chunks_of_a_partition_ask_for_their_own_words(spark, monkeypatch):
+    monkeypatch.setattr(m, "HEAD_WORDS", 2)
+    monkeypatch.setattr(m, "_CHUNK", 100)
+    texts = chained(600, list("abcdEf"), 12, 9)
+    split = [m.tokens(t.encode()) for t in texts]
+    expected = brute_force([t for i, t in enumerate(split) if i % 3], split, 3, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    rows = m.score(docs, F.col("doc_id") % 3 != 0, depth=3, min_count=3, min_share=1e-6, part_tokens=500, hot_tokens=300).orderBy("doc_id").collect()
+    assert [r["score"] for r in rows] == pytest.approx(expected, rel=1e-9)
+
+
 def test_a_hot_context_and_words_of_held_out_texts_only(spark):
     """One word precedes a third of all tokens, with many different ones behind it; others are frequent in held-out texts only."""
     rng = np.random.default_rng(5)

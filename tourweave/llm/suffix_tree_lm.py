@@ -28,7 +28,7 @@ share of ``MIN_SHARE`` where that is more; so there are ``1 / MIN_SHARE`` freque
   continuations, what they gain) are sums a context.
 * The branches: every token goes, with the words before it and its counts in the trunk, to the part that holds its
   shortest context outside the trunk.  A part grows its branches and scores its tokens; only sums
-  a document come back.  Branches grow with the corpus without a bound and are never gathered.
+  a document and bundle of parts come back.  Branches grow with the corpus without a bound and are never gathered.
 
 Edge cases: null text counts as empty (one end); a null ``doc_id`` counts as the empty text in
 the training condition; repeated rows are learned from and scored once each; without training
@@ -38,7 +38,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -47,6 +47,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +67,12 @@ HOT_TOKENS, MIN_SHARE = PART_TOKENS, 1e-6
 END = b""
 _BITS, _WIDE = 20, 36  # ids of frequent words fit, those of all words
 _BUCKET_BITS = 17  # words that a task looks up at a time
-# what a worker holds at a time: distinct words, tokens, keys, documents
-_FLUSH, _CHUNK, _KEYS, _ROWS = 200_000, 1 << 19, 1 << 21, 256
+# what a worker holds at a time: tokens to count, tokens, keys, documents, bytes of words
+_FLUSH, _CHUNK, _KEYS, _ROWS, _BYTES = 1 << 21, 1 << 19, 1 << 21, 256, 1 << 26
 _BLOCK = 2048  # documents whose sums travel together
+_BUNDLE = 2  # parts that a worker takes one after another, so that their sums travel as one
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NUMBERS, _WORDS, _READ = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -84,47 +87,71 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, _ROWS)
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens`` of all texts, one text after another, and how many each has."""
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    # what is empty behind the last space is the end
+    split = pc.ascii_split_whitespace(pc.if_else(pc.greater(pc.binary_length(low), 0), pc.binary_join_element_wise(low, "", " "), low))
+    return split.flatten(), np.diff(split.offsets.to_numpy())
+
+
+def _distinct(words: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, and the place of each word among them."""
+    chunks = pa.chunked_array(words, pa.string()).dictionary_encode().chunks
+    return chunks[-1].dictionary, np.concatenate([c.indices.to_numpy() for c in chunks])
+
+
+def _by_buckets(words: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """``(bucket, places, words)`` of distinct words, sorted in each bucket, joined and compressed."""
+    order = pc.sort_indices(words).to_numpy()
+    each = words.take(pa.array(order)).view(pa.binary()).to_numpy(zero_copy_only=False)
+    bucket = np.fromiter(map(crc32, each), np.int64, len(each)) % buckets
+    dealt = np.argsort(bucket, kind="stable")
+    ends = np.flatnonzero(np.diff(bucket[dealt], append=-1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield int(bucket[dealt[a]]), order[dealt[a:b]], _WORDS.compress(b" ".join(each[dealt[a:b]]))
+
+
 def _word_counts(marked: DataFrame) -> DataFrame:
     """``(word, all, n)``: how often the words of training rows occur in all rows and in those.  Counts travel sorted and compressed, by buckets of words."""
     buckets = 64 + marked.rdd.getNumPartitions() // 4
 
-    def out(counts: Counter, learn: bool) -> pa.RecordBatch:
-        found: dict[int, list[tuple[bytes, int]]] = {}
-        for item in counts.items():
-            found.setdefault(crc32(item[0]) % buckets, []).append(item)
-        columns = [[], []]
-        for items in found.values():
-            words, n = zip(*sorted(items))
-            columns[0].append(zstandard.ZstdCompressor(level=3).compress(b" ".join(words)))
-            columns[1].append(_pack(np.array(n, np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([learn] * len(found), pa.bool_()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "learn", "words", "counts"])
+    def out(held: list[pa.Array], learn: list[np.ndarray]) -> pa.RecordBatch:
+        words, at = _distinct(held)
+        counts = [np.bincount(x, minlength=len(words)) for x in (at, at[np.concatenate(learn)])]
+        bucket, packed, n = zip(*((b, joined, _pack(*(c[own] for c in counts))) for b, own, joined in _by_buckets(words, buckets)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(packed, pa.binary()), pa.array(n, pa.binary())], ["bucket", "words", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned, others = Counter(), Counter()
+        held, learn, size, weight = [], [], 0, 0
         for b in _slices(batches):
-            for text, learn in zip(b.column("text").to_pylist(), b.column("learn").to_pylist()):
-                counts = learned if learn else others
-                counts.update(tokens(text))
-                if len(counts) >= _FLUSH:
-                    yield out(counts, learn)
-                    counts.clear()
-        yield out(learned, True)
-        yield out(others, False)
+            words, sizes = _split(b.column("text"))
+            held.append(words)
+            learn.append(np.repeat(b.column("learn").to_numpy(zero_copy_only=False), sizes))
+            size, weight = size + len(words), weight + words.nbytes
+            if size >= _FLUSH or weight >= _BYTES:
+                yield out(held, learn)
+                held, learn, size, weight = [], [], 0, 0
+        if held:
+            yield out(held, learn)
 
     def add(bucket: pa.Table) -> pa.Table:
-        learned, others = Counter(), Counter()
-        for learn, words, counts in zip(*(bucket.column(c).to_pylist() for c in ("learn", "words", "counts"))):
-            total = learned if learn else others
-            for w, n in zip(zstandard.ZstdDecompressor().decompress(words).split(b" "), _unpack(counts, 1)[0].tolist()):
-                total[w] += n
-        n = np.array(list(learned.values()), np.int64)
-        every = n + np.fromiter((others.get(w, 0) for w in learned), np.int64, len(n))
-        return pa.table([pa.array(list(learned), pa.binary()), pa.array(every), pa.array(n)], ["word", "all", "n"])
-
-    counted = marked.mapInArrow(count, "bucket long, learn boolean, words binary, counts binary")
+        words = [_joined(w) for w in bucket.column("words").to_pylist()]
+        every, learned = (np.concatenate(c) for c in zip(*(_unpack(c, 2) for c in bucket.column("counts").to_pylist())))
+        counted = pa.table([pa.chunked_array(words, pa.string()), pa.array(every), pa.array(learned)], ["word", "all", "n"]).group_by("word").aggregate([("all", "sum"), ("n", "sum")])
+        counted = counted.filter(pc.greater(counted["n_sum"], 0))
+        word = [c.view(pa.binary()) for c in counted["word"].chunks]
+        return pa.table([pa.chunked_array(word, pa.binary()), counted["all_sum"], counted["n_sum"]], ["word", "all", "n"])
+
+    counted = marked.mapInArrow(count, "bucket long, words binary, counts binary")
     return counted.groupBy("bucket").applyInArrow(add, "word binary, all long, n long")
 
 
+def _joined(words: bytes) -> pa.Array:
+    """Words that were joined by spaces and compressed."""
+    return pc.split_pattern(pa.array([_READ.decompress(words)], pa.binary()).view(pa.string()), " ").flatten()
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Positions in the sorted ``keys``, -1 where absent."""
     if not len(keys):
@@ -134,17 +161,21 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers from 0 on, by bytes of the same weight, compressed; the first byte is their width."""
-    width = max(1, *(-(-int(c.max(initial=0)).bit_length() // 8) for c in columns))
-    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() for c in columns]
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    """Columns of whole numbers from 0 on, by bytes of the same weight, compressed; the first bytes are their widths."""
+    widths = [max(1, -(-int(c.max(initial=0)).bit_length() // 8)) for c in columns]
+    planes = [(c >> 8 * k).astype(np.uint8).tobytes() for c, width in zip(columns, widths) for k in range(width)]
+    return bytes(widths) + _NUMBERS.compress(b"".join(planes))
 
 
 def _unpack(packed: bytes, columns: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(columns, packed[0], -1)
-    out = np.zeros((columns, raw.shape[2], 8), np.uint8)
-    out[:, :, : packed[0]] = raw.transpose(0, 2, 1)
-    return [c.view("<i8").ravel() for c in out]
+    widths = packed[:columns]
+    planes, out = iter(np.frombuffer(_READ.decompress(packed[columns:]), np.uint8).reshape(sum(widths), -1)), []
+    for width in widths:
+        column = next(planes).astype(np.int64)
+        for k in range(1, width):
+            column |= next(planes).astype(np.int64) << 8 * k
+        out.append(column)
+    return out
 
 
 def before(ids: np.ndarray, sizes: np.ndarray, depth: int, limit: int) -> np.ndarray:
@@ -275,10 +306,9 @@ class Trunk:
         for row, (level, at, s) in zip(seen, self.candidates(words)):
             loose = level.entry(s, x[at]) < 0
             at, pair = at[loose], (s << _WIDE | x[at])[loose]
-            keys, n = np.unique(pair[learn[at]], return_counts=True)
-            entry = _find(keys, pair)
-            n = np.where(entry >= 0, n[entry] if len(n) else 0, 0)
-            row[at] = np.where(n > 1, n, 0)
+            place = np.unique(pair, return_inverse=True)[1]
+            n = np.bincount(place[learn[at]], minlength=len(place))
+            row[at] = np.where(n > 1, n, 0)[place]
         return seen
 
     def longer(self, next_keys: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,22 +355,20 @@ def branches(trunk: Trunk, words: np.ndarray, x: np.ndarray, learn: np.ndarray,
         # contexts of k words, numbered in this part
         own[alive] = np.unique(own[alive] << _WIDE | w[alive], return_inverse=True)[1]
         at = np.flatnonzero(alive & (depth < k))
-        taught = at[learn[at]]
         size = int(own[alive].max()) + 1
-        c = np.bincount(own[taught], minlength=size).astype(np.float64)
-        pairs = taught[x[taught] >= 0]
-        next_keys, n = np.unique(own[pairs] << _WIDE | x[pairs], return_counts=True)
-        next_keys, n = next_keys[n > 1], n[n > 1].astype(np.float64)
-        left = c - np.bincount(next_keys >> _WIDE, n, size)[:size]
-        rest = (left + PRIOR) / (c + PRIOR)
+        c = np.bincount(own[at[learn[at]]], minlength=size).astype(np.float64)
         at = at[c[own[at]] >= min_count]
         alive = alive & (depth >= k)
         alive[at] = True
         if not len(at):
             continue
-        s = own[at]
-        entry = np.where(x[at] >= 0, _find(next_keys, s << _WIDE | np.maximum(x[at], 0)), -1)
-        seen = np.where(entry >= 0, n[entry] if len(n) else 0.0, 0.0)
+        s, known = own[at], x[at] >= 0
+        pairs, place = np.unique(s[known] << _WIDE | x[at[known]], return_inverse=True)
+        n = np.bincount(place[learn[at[known]]], minlength=len(pairs)).astype(np.float64)
+        n[n < 2] = 0
+        rest = (c - np.bincount(pairs >> _WIDE, n, size)[:size] + PRIOR) / (c + PRIOR)
+        seen = np.zeros(len(at))
+        seen[known] = n[place]
         new = np.log(seen / (c[s] + PRIOR) * np.exp(-log[at]) + rest[s])  # relative to the parent
         gain = np.bincount(s[learn[at]], new[learn[at]], size)[:size]
         log[at] += new
@@ -372,19 +400,31 @@ class Tokens:
 
     def pack(self, at: np.ndarray | slice) -> bytes:
         step = np.diff(self.row[at], prepend=0)  # tokens are in the order of their documents
-        return _pack(*(self.words[:, at] + 1), self.x[at] + 1, self.learn[at].astype(np.int64), step & 0xFFFFFFFF, step >> 32 & 0xFFFFFFFF, *self.seen[:, at])
+        ids = [*(self.words[:, at] + 1), self.x[at] + 1]
+        others = _pack(self.learn[at].astype(np.int64), step & 0xFFFFFFFF, step >> 32 & 0xFFFFFFFF, *self.seen[:, at])
+        # bytes of different weights are spread differently, so they are compressed apart
+        packed = [_pack(*(c & 0xFF for c in ids)), _pack(*(c >> 8 & 0xFF for c in ids)), _pack(*(c >> 16 for c in ids)), others]
+        return b"".join(len(p).to_bytes(4, "little") + p for p in packed)
 
     @staticmethod
-    def of(packed: list[bytes], depth: int, levels: int) -> Tokens:
-        held = []
-        for p in packed:
-            columns = _unpack(p, depth + 4 + levels)
-            low, high = columns[depth + 2 : depth + 4]
-            columns[depth + 2 : depth + 4] = [np.cumsum(low | high << 32)]
-            held.append(columns)
-        columns = [np.concatenate(c) for c in zip(*held)]
-        x, learn, row, *seen = columns[depth:]
-        return Tokens(np.stack(columns[:depth]) - 1, x - 1, learn > 0, row, np.array(seen, np.int64).reshape(levels, len(x)))
+    def of(packed: list[bytes], sizes: list[int], depth: int, levels: int) -> Tokens:
+        n = sum(sizes)
+        out = Tokens(np.empty((depth, n), np.int64), np.empty(n, np.int64), np.empty(n, bool), np.empty(n, np.int64), np.empty((levels, n), np.int64))
+        ends = np.cumsum(sizes).tolist()
+        for p, a, b in zip(packed, [0, *ends], ends):
+            columns, at = [], 0
+            for count in (*[depth + 1] * 3, 3 + levels):
+                end = at + 4 + int.from_bytes(p[at : at + 4], "little")
+                columns.append(_unpack(p[at + 4 : end], count))
+                at = end
+            for to, low, middle, high in zip([*out.words, out.x], *columns[:3]):
+                np.subtract(low | middle << 8 | high << 16, 1, out=to[a:b])
+            learn, low, high, *seen = columns[3]
+            out.learn[a:b] = learn > 0
+            np.cumsum(low | high << 32, out=out.row[a:b])
+            for to, column in zip(out.seen, seen):
+                to[a:b] = column
+        return out
 
 
 def _payloads(part: np.ndarray, t: Tokens) -> Iterator[tuple[int, int, int, bytes]]:
@@ -424,8 +464,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int = _CHUNK, gaps: bool =
         yield np.concatenate(ids), np.array(sizes), np.array(learn, bool), first
 
 
-def _count_level(coded: DataFrame, trunk, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The continuations of the trunk's last level with at least ``least`` tokens: sorted keys and training tokens."""
+def _count_level(coded: DataFrame, trunk, least: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The continuations of the trunk's last level with at least ``least`` tokens: sorted keys and training tokens.
+    ``common`` are the words that have as many; no other word is frequent behind a context."""
+    may = np.isin(np.arange(int(common.max(initial=0)) + 2), common)  # the last one stands for all greater ids
 
     def out(held: list[np.ndarray]) -> pa.RecordBatch:
         key, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
@@ -435,7 +477,7 @@ def _count_level(coded: DataFrame, trunk, least: float) -> tuple[np.ndarray, np.
         model, held, size = trunk.value, [], 0
         for ids, sizes, learn, _ in _chunks(batches, gaps=True):
             state = model.last(model.vocabulary.before(ids, sizes, len(model.levels)))
-            at = np.flatnonzero((state >= 0) & (ids >= 0) & (ids < len(model.log_root)))  # no other word is frequent
+            at = np.flatnonzero((state >= 0) & (ids >= 0) & may[np.minimum(ids, len(may) - 1)])
             held.append((state[at] << _BITS | ids[at]) << 1 | np.repeat(learn, sizes)[at])
             size += len(at)
             if size >= _KEYS:
@@ -471,56 +513,56 @@ def _numbered(words: DataFrame, first: int) -> tuple[DataFrame, list]:
 
 
 def _coded(rows: DataFrame, train: Column, words: list[bytes], others: DataFrame, vocabulary: Vocabulary, total: int, distinct: int) -> DataFrame:
-    """Texts as ids, numbered.  A chunk of documents asks once for each of its words that is not broadcast, a bucket of words at a time;
-    ``others`` has their ids, or -1 for words that occur once."""
+    """Texts as ids, numbered.  A chunk of documents asks once for each of its words that is not broadcast, a bucket of words at a time,
+    and numbers them in that order; in questions ``row`` is the first one's number.  ``others`` has their ids, or -1 for words that occur once."""
     head, buckets = len(words), 1 + (distinct >> _BUCKET_BITS)
     context = rows.sparkSession.sparkContext
     lookup, shipped = context.broadcast({w: i for i, w in enumerate(words)}), context.broadcast(vocabulary)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, chunk, asked, held = lookup.value, -1, {}, 0
-
-        def batch(n: int, **columns) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in _CODED], [k for k, _ in _CODED])
+    def batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in _CODED], [k for k, _ in _CODED])
 
-        def questions() -> pa.RecordBatch:
-            found: dict[int, tuple[list, list]] = {}
-            for w, j in asked.items():
-                own = found.setdefault(crc32(w) % buckets, ([], []))
-                own[0].append(w)
-                own[1].append(j)
-            of = [zstandard.ZstdCompressor(level=3).compress(b" ".join(w)) for w, _ in found.values()]
-            which = [_pack(np.diff(np.array(j), prepend=0)) for _, j in found.values()]
-            return batch(len(found), chunk=pa.array([chunk] * len(found), pa.int64()), bucket=pa.array(list(found), pa.int64()), ids=pa.array(which, pa.binary()), words=pa.array(of, pa.binary()))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, size, weight = lookup.value, [], 0, 0
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            number, (found, at) = held[0][0].column("row")[0].as_py(), _distinct([words for _, words, _ in held])
+            each = found.view(pa.binary()).to_numpy(zero_copy_only=False)
+            ids = np.fromiter(map(place.get, each, repeat(-1)), np.int64, len(each))
+            asked, first, rows = np.flatnonzero(ids < 0), 0, []
+            for bucket, own, joined in _by_buckets(found.take(pa.array(asked)), buckets):
+                ids[asked[own]] = head + first + np.arange(len(own))
+                rows.append((bucket, first, joined))
+                first += len(own)
+            sizes = np.concatenate([n for _, _, n in held])
+            packed = iter([_pack(x) for x in np.split(ids[at], np.cumsum(sizes)[:-1])])
+            for b, _, n in held:
+                yield batch(len(n), chunk=pa.array([number] * len(n), pa.int64()), ids=pa.array([next(packed) for _ in n], pa.binary()), **{c: b.column(c) for c in ("row", "doc_id", "learn")})
+            bucket, first, joined = zip(*rows) if rows else ((), (), ())
+            yield batch(len(rows), chunk=pa.array([number] * len(rows), pa.int64()), row=pa.array(first, pa.int64()), bucket=pa.array(bucket, pa.int64()), words=pa.array(joined, pa.binary()))
 
         for b in _slices(batches):
-            chunk, packed = b.column("row")[0].as_py() if chunk < 0 else chunk, []
-            for text in b.column("text").to_pylist():
-                split = tokens(text)
-                ids = np.fromiter(map(place.get, split, repeat(-1)), np.int64, len(split))
-                for i in np.flatnonzero(ids < 0).tolist():
-                    ids[i] = head + asked.setdefault(split[i], len(asked))
-                packed.append(_pack(ids))
-                held += len(split)
-            yield batch(b.num_rows, chunk=pa.array([chunk] * b.num_rows, pa.int64()), ids=pa.array(packed, pa.binary()), **{c: b.column(c) for c in ("row", "doc_id", "learn")})
-            if held >= _CHUNK * 3 // 4:
-                yield questions()
-                chunk, asked, held = -1, {}, 0
-        yield questions()
+            words, sizes = _split(b.column("text"))
+            held.append((b.select(["row", "doc_id", "learn"]), words, sizes))
+            size, weight = size + len(words), weight + words.nbytes
+            if size >= _CHUNK * 3 // 2 or weight >= _BYTES:
+                yield from chunk()
+                held, size, weight = [], 0, 0
+        if held:
+            yield from chunk()
 
     def answer(questions: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         place, out = dict(zip(known["word"], known["id"])), []
         for asked in questions["words"]:
-            split = zstandard.ZstdDecompressor().decompress(asked).split(b" ")
+            split = _joined(asked).view(pa.binary()).to_numpy(zero_copy_only=False)
             out.append(_pack(np.fromiter(map(place.get, split, repeat(-2)), np.int64, len(split)) + 2))
-        return pd.DataFrame({"chunk": questions["chunk"], "which": questions["ids"], "found": out})
+        return pd.DataFrame({"chunk": questions["chunk"], "first": questions["row"], "found": out})
 
     def fill(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = docs.sort_by("row")
-        which = [np.cumsum(_unpack(w, 1)[0]) for w in answers["which"].to_pylist()]
-        found = np.full(sum(map(len, which)), -2, np.int64)
-        for w, f in zip(which, answers["found"].to_pylist()):
-            found[w] = _unpack(f, 1)[0] - 2
+        # the words of a chunk are numbered as they are asked for
+        answers = answers.sort_by("first")
+        found = np.concatenate([np.empty(0, np.int64), *(_unpack(f, 1)[0] - 2 for f in answers["found"].to_pylist())])
         each = [_unpack(p, 1)[0] for p in docs["ids"].to_pylist()]
         sizes, ids = np.array([len(x) for x in each], np.int64), np.concatenate(each)
         asked = ids >= head
@@ -536,9 +578,9 @@ def _coded(rows: DataFrame, train: Column, words: list[bytes], others: DataFrame
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(train, F.lit(False)).alias("learn"), "text")
     # the partitions are files from here on, so the numbers are stable
     asked = cut(numbered.mapInArrow(encode, "chunk long, row long, doc_id long, learn boolean, ids binary, bucket long, words binary"))
-    questions = asked.where("bucket IS NOT NULL").select("chunk", "bucket", "ids", "words").groupBy("bucket")
+    questions = asked.where("bucket IS NOT NULL").select("chunk", "bucket", "row", "words").groupBy("bucket")
     known = others.withColumn("bucket", F.crc32("word") % buckets).groupBy("bucket")
-    answers = questions.cogroup(known).applyInPandas(answer, "chunk long, which binary, found binary").groupBy("chunk")
+    answers = questions.cogroup(known).applyInPandas(answer, "chunk long, first long, found binary").groupBy("chunk")
     docs = asked.where("bucket IS NULL").select("chunk", "row", "doc_id", "learn", "ids").groupBy("chunk")
     return cut(docs.cogroup(answers).applyInArrow(fill, "row long, doc_id long, learn boolean, n_tokens long, n_known long, base_score double, more double, ids binary"))
 
@@ -546,6 +588,12 @@ def _coded(rows: DataFrame, train: Column, words: list[bytes], others: DataFrame
 _CODED = [("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("ids", pa.binary()), ("bucket", pa.int64()), ("words", pa.binary())]
 
 
+def _free(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to go now, and not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(
     docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, part_tokens: int = PART_TOKENS, fan: int = FAN, hot_tokens: int = HOT_TOKENS
 ) -> DataFrame:
@@ -571,20 +619,22 @@ def score(
         (int((counts >= min_count).sum()), len(words), len(words) + int(of_run[learned_run >= min_count].sum())),
     )
     coded = _coded(rows, train, words, numbers.unionByName(others.where("n = 1").select("word", F.lit(-1).cast("long").alias("id"))), vocabulary, total, distinct)
+    del unigrams, others, numbers
+    _free(docs.sparkSession)
 
     all_tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
     least = max(min_share * all_tokens, min_count, hot_tokens)
     parts = max(1, -(-all_tokens // part_tokens))
     trunk, frequent = Trunk(vocabulary.log_head[:-1], min_count, vocabulary=vocabulary), []
     end = words.index(END) if END in words else -1  # nothing follows an end
-    next_keys = np.flatnonzero(everywhere >= least)
+    next_keys = common = np.flatnonzero(everywhere >= least)
     learned = counts[next_keys]
     for _ in range(depth):
         contexts, keys, learned = trunk.longer(next_keys, learned, end)
         if not len(keys):
             break
         trunk.levels.append(Level(contexts, keys, learned, *(np.empty(0, np.int64),) * 2))
-        next_keys, learned = _count_level(coded, context.broadcast(trunk), least)
+        next_keys, learned = _count_level(coded, context.broadcast(trunk), least, common)
         trunk.levels[-1].next_keys, trunk.levels[-1].next_n = next_keys, np.where(learned > 1, learned, 0)
         frequent.append(learned)
 
@@ -608,6 +658,7 @@ def score(
         trunk.weigh(kept)
         (gained,) = _context_sums(tails, context.broadcast(trunk), depth, _gained_tails, 1)
         trunk.prune(learned_tails, gained, frequent)
+        _free(docs.sparkSession)
     shipped, levels = context.broadcast(trunk), len(trunk.levels)
 
     def by_trunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -629,13 +680,19 @@ def score(
         return np.where(shipped.value.tails(t.words, t.x) < 0, place_branches(t), -1)
 
     def grow(payloads: pd.DataFrame) -> pd.DataFrame:
-        t = _gathered(payloads, depth, levels)
-        return _document_sums(t.row, branches(shipped.value, t.words, t.x, t.learn, t.seen, min_count), int(payloads["part"].iloc[0]))
+        rows, sums = [], []
+        for _, part in payloads.groupby("part"):
+            t = _gathered(part, depth, levels)
+            row, more = _changed(t.row, branches(shipped.value, t.words, t.x, t.learn, t.seen, min_count))
+            rows.append(row)
+            sums.append(more)
+            del t
+        return _document_sums(np.concatenate(rows), np.concatenate(sums), int(payloads["part"].min()))
 
     pieces = [] if tails is None else [tails.mapInArrow(by_tails, _SUMS)]
     if least > min_count:
         sources = [(plain, _coded_tokens(depth, levels, shipped), place_others)] + ([] if tails is None else [(tails, _packed_tokens(depth, levels), place_branches)])
-        pieces.append(_dealt(sources, depth, levels, parts, fan).groupBy("part").applyInPandas(grow, _SUMS))
+        pieces.append(_dealt(sources, depth, levels, parts, fan).groupBy(F.floor(F.col("part") / _BUNDLE).alias("bundle")).applyInPandas(grow, _SUMS))
     scored = plain.mapInArrow(by_trunk, "row long, score_head double")
     for piece in pieces:
         # sums of many documents travel in blocks of documents, not as a row for each document and part
@@ -672,16 +729,16 @@ def _packed_tokens(depth: int, levels: int):
     """Reads tokens that have travelled."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
-        held, size = [], 0
+        held, sizes = [], []
         for b in batches:
             for packed, n in zip(b.column("packed").to_pylist(), b.column("n").to_pylist()):
                 held.append(packed)
-                size += n
-                if size >= _CHUNK:
-                    yield Tokens.of(held, depth, levels)
-                    held, size = [], 0
+                sizes.append(n)
+                if sum(sizes) >= _CHUNK:
+                    yield Tokens.of(held, sizes, depth, levels)
+                    held, sizes = [], []
         if held:
-            yield Tokens.of(held, depth, levels)
+            yield Tokens.of(held, sizes, depth, levels)
 
     return read
 
@@ -689,7 +746,7 @@ def _packed_tokens(depth: int, levels: int):
 def _gathered(payloads: pd.DataFrame, depth: int, levels: int) -> Tokens:
     """All tokens of a part, in an order that does not depend on arrival."""
     payloads = payloads.sort_values(["row", "n"], kind="stable")
-    return Tokens.of(payloads["packed"].tolist(), depth, levels)
+    return Tokens.of(payloads["packed"].tolist(), payloads["n"].tolist(), depth, levels)
 
 
 def _dealt(sources: list[tuple], depth: int, levels: int, parts: int, fan: int) -> DataFrame:
@@ -751,11 +808,17 @@ def _context_sums(tails: DataFrame, trunk, depth: int, terms, values: int) -> li
     return out
 
 
-def _document_sums(row: np.ndarray, more: np.ndarray, part: int) -> pd.DataFrame:
-    """Sums for each document that there is something for, in blocks of documents."""
+def _changed(row: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that there is something for, and their sums."""
     changed = more != 0
     found, place = np.unique(row[changed], return_inverse=True)
-    sums, block = np.bincount(place, more[changed], len(found)), found // _BLOCK
+    return found, np.bincount(place, more[changed], len(found))
+
+
+def _document_sums(row: np.ndarray, more: np.ndarray, part: int) -> pd.DataFrame:
+    """Sums for each document that there is something for, in blocks of documents."""
+    found, sums = _changed(row, more)
+    block = found // _BLOCK
     ends = np.flatnonzero(np.diff(block, append=-1)) + 1
     spans = list(zip([0, *ends[:-1].tolist()], ends.tolist())) if len(found) else []
     return pd.DataFrame(
