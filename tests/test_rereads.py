@@ -213,3 +213,45 @@ def test_refined_stops(spark):
 def test_no_pages(spark):
     none = spark.createDataFrame([], WORDS), spark.createDataFrame([], PAGE)
     assert rereads.read_with_regions(*none, lambda q: q)[0].count() == 0 and Y.find_header(*none).count() == 0
+
+
+def _stored(df, path):
+    """As from files, whose size Spark knows."""
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lean_is_measured_without_broadcasts(spark, tmp_path):
+    """Files say little about what a side of a join takes in memory, so pages are never broadcast; families of all sizes give together what each gives alone."""
+    rng = random.Random(5)
+    points = [(p, str(f), i, 200.0 * f + 0.01 * (p - 5) * y + (40 if rng.random() < 0.1 else rng.random()), y) for p in range(12) for f in range(1, 4) for i, y in enumerate(rng.uniform(0, 900) for _ in range(rng.randrange(1, 14)))]
+    points.append((3, "1", 99, float("nan"), 100.0))
+    anchors = _stored(spark.createDataFrame(points, "page_id long, family string, pos long, x double, y double"), tmp_path / "anchors")
+    found = Y.column_drift(anchors, _stored(spark.createDataFrame([(p, 1000.0) for p in range(12)], PAGE), tmp_path / "pages"))
+    assert "Broadcast" not in _plan(found)
+
+    middle = lambda v: sorted(v)[len(v) // 2]
+    slopes = lambda ps: [(b[0] - a[0]) / (b[1] - a[1]) for i, a in enumerate(ps) for b in ps[i + 1 :] if abs(b[1] - a[1]) > 120]
+    expected = {}
+    for page_ in range(12):
+        fits = []
+        for family in "123":
+            own = [(x, y) for p, f, _, x, y in points if (p, f) == (page_, family) and x == x]
+            if len(own) < 3 or max(y for _, y in own) - min(y for _, y in own) < 300 or not slopes(own) or abs(middle(slopes(own))) > 0.12:
+                continue
+            rest = [x - middle(slopes(own)) * y for x, y in own]
+            kept = [p for p, r in zip(own, rest) if abs(r - middle(rest)) < 20]
+            if len(kept) >= 3 and slopes(kept):
+                fits.append((len(kept), middle([x for x, _ in kept]), middle(slopes(kept))))
+        if fits:
+            w = sum(f[0] for f in fits)
+            mx, md = sum(f[0] * f[1] for f in fits) / w, sum(f[0] * f[2] for f in fits) / w
+            bent = len(fits) >= 2 and max(f[1] for f in fits) - min(f[1] for f in fits) > 200
+            expected[page_] = [md, sum(f[0] * (f[1] - mx) * (f[2] - md) for f in fits) / sum(f[0] * (f[1] - mx) ** 2 for f in fits) if bent else 0.0, mx]
+    got = {r["page_id"]: [r["drift_m"], r["drift_b"], r["drift_x0"]] for r in found.collect()}
+    assert got.keys() == expected.keys() and len(got) >= 8
+    assert all(v == pytest.approx(expected[p], abs=1e-9) for p, v in got.items())
