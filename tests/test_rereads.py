@@ -255,3 +255,11 @@ def test_lean_is_measured_without_broadcasts(spark, tmp_path):
     got = {r["page_id"]: [r["drift_m"], r["drift_b"], r["drift_x0"]] for r in found.collect()}
     assert got.keys() == expected.keys() and len(got) >= 8
     assert all(v == pytest.approx(expected[p], abs=1e-9) for p, v in got.items())
+
+
+def test_geometry_is_measured_without_broadcasts(spark, tmp_path):
+    boxes = [(1, 1, "Klasse", 620.0, 660.0, 20.0, 32.0), (1, 2, "neu", 621.0, 650.0, 100.0, 112.0), (2, 3, "x", 1.0, 9.0, 5.0, 9.0), (2, 4, "Klasse", 1.0, float("nan"), 5.0, 9.0), (2, 5, None, 1.0, 9.0, 5.0, 9.0)]
+    words = _stored(spark.createDataFrame(boxes, "page_id long, word_id long, text string, x0 double, x1 double, y0 double, y1 double"), tmp_path / "words")
+    found = G.measure(words, _stored(spark.createDataFrame([(1, 1000.0), (2, 1000.0)], PAGE), tmp_path / "pages"))
+    assert "Broadcast" not in _plan(found)
+    assert [(r["page_id"], r["found"], r["class"]) for r in found.orderBy("page_id").collect()] == [(1, True, 614.0), (2, False, 545.0)]
