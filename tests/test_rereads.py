@@ -263,3 +263,25 @@ def test_geometry_is_measured_without_broadcasts(spark, tmp_path):
     found = G.measure(words, _stored(spark.createDataFrame([(1, 1000.0), (2, 1000.0)], PAGE), tmp_path / "pages"))
     assert "Broadcast" not in _plan(found)
     assert [(r["page_id"], r["found"], r["class"]) for r in found.orderBy("page_id").collect()] == [(1, True, 614.0), (2, False, 545.0)]
+
+
+def test_a_round_of_readings_is_one_join_and_decides_alike_stops_once(spark):
+    """The first round works on what a stop has, without broadcasts; stops that say the same are decided once."""
+    evidence = ("Kollektion (B)", None, "", 90.0, [], 0)
+    cells = (100.0, 12.0, 0.0, 18.0, 318.0, 545.0, 600.0, 675.0)
+    stops = spark.createDataFrame([(f"s{i}", evidence, cells, "", "", "") for i in range(40)] + [("odd", (None, None, None, None, None, None), cells, "a", "b", "c"), ("none", evidence, None, "a", "b", "c")], "stop_id string, evidence struct<label:string,number:string,number_text:string,confidence:double,companion_numbers:array<string>,other_rows:int>, cells struct<yd:double,h:double,slope:double,gap:double,label_x0:double,label_x1:double,number_x0:double,number_x1:double>, delivery_type string, delivery_review string, delivery_source string")
+    asked = []
+
+    def answer(q):
+        asked.append(q)
+        said = F.when(F.col("kind") == "label", "Kollektion (B)").otherwise("38/ 37")
+        return q.select("stop_id", "kind", "variant", "y_shift", said.alias("text"), F.lit(float("nan")).alias("confidence"), F.lit(None).cast("array<struct<text:string,x0:double,x1:double>>").alias("words"), (F.col("stop_id") == "odd").alias("failed"))
+
+    got, log = rereads.refine_in_rounds(stops, answer)
+    assert {r["stop_id"]: r["delivery_type"] for r in got.collect()} == {f"s{i}": "Kollektion 38 B" for i in range(40)} | {"odd": "a", "none": "a"}
+    assert sorted((r["round"], r["n"]) for r in log.groupBy("round").agg(F.count("*").alias("n")).collect()) == [(1, 41), (2, 80)]
+    # the boxes of a round come from the stops' own rows
+    assert "Join" not in _plan(asked[0]) and "Join" not in _plan(asked[1])
+    rereads._decided.cache_clear()
+    one = '{"evidence":{"label":"Lieferpaket","confidence":90.0}}'
+    assert rereads._decided(one, False) is rereads._decided(one, False)

@@ -27,10 +27,12 @@ HALF, TALL_HALF, MARGIN, PAD = 0.62, 1.5, 0.6, 0.4
 LONE_SHARE = 0.45
 
 
-def cell_boxes(cells: DataFrame) -> DataFrame:
-    """Every variant of a stop's two cells, with the size of its picture and the part that is kept."""
+def cell_boxes(cells: DataFrame, asked: tuple[Column, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every variant of a stop's two cells, with the size of its picture and the part that is kept; only the ``asked`` kind and variant of a row if that is given.  ``keep`` names further columns of ``cells``."""
     fields = ("kind", "variant", "tall", "follow", "along", "block", "scale", "threshold")
     table = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(fields, row))) for row in VARIANTS))
+    if asked is not None:
+        table = F.filter(table, lambda v: (v["kind"] == asked[0]) & (v["variant"] == asked[1]))
     c = cells.withColumn("v", F.explode(table)).select("*", "v.*").drop("v")
     number, h, s = F.col("kind") == "number", F.col("h"), F.col("scale")
     c = c.withColumn("cell_x0", F.when(number, F.col("number_x0")).otherwise(F.col("label_x0"))).withColumn("x1", F.when(number, F.col("number_x1")).otherwise(F.col("label_x1")))
@@ -38,7 +40,7 @@ def cell_boxes(cells: DataFrame) -> DataFrame:
     m, rounded = F.col("margin"), lambda x: F.floor(x + 0.5)
     inner = F.when(F.col("follow"), F.col("half") - h * HALF).otherwise(F.lit(0.0))
     return c.select(
-        "stop_id", "kind", "variant", "block", "follow", "threshold", "scale", "x0", "x1", "yd", "half",
+        "stop_id", *keep, "kind", "variant", "block", "follow", "threshold", "scale", "x0", "x1", "yd", "half",
         rounded((F.col("x1") - F.col("x0") + 2 * m) * s).alias("width"), rounded((2 * F.col("half") + 2 * m) * s).alias("height"), rounded(h * PAD * s).alias("pad"),
         ((m + F.col("cell_x0") - F.col("x0")) * s).alias("keep_x0"), ((m + F.col("x1") - F.col("x0")) * s).alias("keep_x1"),
         ((m + inner) * s).alias("keep_y0"), ((m + 2 * F.col("half") - inner) * s).alias("keep_y1"),
