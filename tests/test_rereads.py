@@ -285,3 +285,22 @@ def test_a_round_of_readings_is_one_join_and_decides_alike_stops_once(spark):
     rereads._decided.cache_clear()
     one = '{"evidence":{"label":"Lieferpaket","confidence":90.0}}'
     assert rereads._decided(one, False) is rereads._decided(one, False)
+
+
+def test_lines_and_slopes_are_read_once_and_alike(spark):
+    """What begins a customer and what holds a postal line, by scalars as by columns; slopes by columns as by scalars, without Python."""
+    from tourweave.functions import lines as L
+
+    texts = ["1 KNR: 12345", "Weg 3 A-2020 Retz", "A-2020 Retz", "2020 Tel: 1", "Weg 3 A-2020 Retz Tel: 5", "x KN. 12345 y", "12 Firma 123456", "Firma", "", "===PAGE_3===", "| 2070  Retz P"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    column = (L.is_header(F.col("t")) | F.col("t").rlike(pages.CUSTOMER)).alias("a"), F.exists(L.split_lines(F.col("t")), lambda x: L.postal_line(x).isNotNull()).alias("p")
+    assert [tuple(r) for r in df.select(*column).collect()] == [tuple(r) for r in df.select(pages.line_kinds(F.col("t")).alias("k")).select("k.*").collect()]
+
+    knots = [([100.0, 150.0, 160.0, 700.0], [0.01, 0.03, 0.02, 0.05]), ([100.0, 500.0, 900.0], [0.01, 0.09, 0.095]), ([1.0, 2.0], [0.05, 0.05]), (None, None)]
+    rows = [(y, ky, ks, fallback, 1000.0) for y in (0.0, 120.0, 640.0, 2000.0) for ky, ks in knots for fallback in (0.004, -0.2)]
+    df = spark.createDataFrame(rows, "y double, knot_y array<double>, knot_slope array<double>, fallback double, width double").select("*", G.slope_at(F.col("y")).alias("slope"))
+    assert "Python" not in _plan(df)
+    import numpy as np
+
+    array = lambda v: None if v is None else np.array(v)
+    assert [r["slope"] for r in df.collect()] == [G._slope(y, array(ky), array(ks), f, w) for y, ky, ks, f, w in rows]
